@@ -7,6 +7,7 @@ import importlib
 #: Module of each operator's query.
 QUERIES = {
     "op2_arc_to_warc": "warc",
+    "op3_secret_scan": "secrets",
     "op5_token_records": "token_records",
     "op6_chat_format": "chat",
 }
