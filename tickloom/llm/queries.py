@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secret_scan": "secrets",
     "op5_token_records": "token_records",
     "op6_chat_format": "chat",
+    "op8_fingerprints": "fingerprints",
 }
 
 
