@@ -39,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of so many rows at most, for bounded memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also inside lambdas."""
     return F.transform(F.array(value), body)[0]
@@ -65,15 +71,9 @@ def range_of(key: Column, bounds: list[int]) -> Column:
     if not bounds:
         return F.lit(0)
 
-    def tree(lo: int, hi: int) -> Column:
-        # bounds[:lo] are known to be <= key, bounds[hi:] to be > key
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    if len(bounds) <= 16:
-        return F.coalesce(tree(0, len(bounds)), F.lit(0))
-    # two levels keep the generated code small: coarse bounds first, then one slice
-    edges = F.array(*[F.lit(b) for b in bounds])
-    return F.when(key.isNull(), 0).otherwise(F.size(F.filter(edges, lambda b: b <= key)))
+    # two short searches: the coarse edge, then the run of bounds behind it
+    step = max(1, int(len(bounds) ** 0.5))
+    edges, coarse = F.array(*[F.lit(b) for b in bounds]), F.array(*[F.lit(b) for b in bounds[::step]])
+    at_most = lambda a: F.size(F.filter(a, lambda b: b <= key))
+    fine = let(at_most(coarse), lambda c: F.when(c == 0, 0).otherwise((c - 1) * step + at_most(F.slice(edges, (c - 1) * step + 1, F.lit(step)))))
+    return F.when(key.isNull(), 0).otherwise(fine)

@@ -23,6 +23,7 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import new_folder, parts
+from tickloom.llm.shared import new_folder, parts, small_batches
 
 NULL_ID = -(2**63)
 CHUNK = 1024
@@ -151,46 +152,65 @@ class Encoder:
     """Ids of whole texts by a ``tokenizers`` file, remembered by word.
 
     White space separates words of this vocabulary for good (the file's own
-    normaliser and pre-tokeniser drop it), so a text's ids are its words' ids in
-    order. Words not seen yet are encoded together in one call, with a mark between
-    them whose id no other piece of theirs has.
+    normaliser and pre-tokeniser drop it), as do a letter and a sign beside it, and
+    letters are lowered. So a text's ids are its words' ids in order, and a stop or
+    comma between a letter and white space is a word of its own. Words not seen yet
+    go through the library together in one call; a word of letters alone ends at
+    the one piece that ends a word.
     """
 
-    MARK, MOST = "§", 400_000
+    #: Words remembered at most (some 150 MB); then the memory starts anew.
+    MOST = 1_000_000
+    #: A stop or comma behind another sign belongs to that sign's run.
+    RUN = re.compile(r"(?:[^\w\s]|[_\u0130])[.,](?=\s|$)")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        # the same model for lower-case letters alone, which need no normaliser and no pattern
+        self.lean = Tokenizer(self.tokenizer.model)
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        marks = self._ids(self.MARK)
-        self.mark = marks[0] if len(marks) == 1 else None
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > self.MOST:
-            self.known = {}
-        plain = [w for w in words if self.MARK not in w and self.mark is not None]
+        plain = [w for w in words if w.isalpha() and w.islower() and max(w) < "\u0130"]
         for w in words.difference(plain):
-            self.known[w] = np.array(self._ids(w), self.kind).tobytes()
-        if plain:
-            ids = np.array(self._ids(f" {self.MARK} ".join(plain)), self.kind)
-            cuts = np.flatnonzero(ids == self.mark)
-            assert len(cuts) == len(plain) - 1
+            self.known[w] = self._ids(w).tobytes()
+        for lo in range(0, len(plain), 20_000):
+            some = plain[lo : lo + 20_000]
+            ids = np.array(self.lean.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):  # a word that the library parts after all
+                self.known.update((w, self._ids(w).tobytes()) for w in some)
+                continue
             size, data = ids.itemsize, ids.tobytes()
-            starts, ends = np.concatenate([[0], cuts + 1]) * size, np.concatenate([cuts, [len(ids)]]) * size
-            self.known.update(zip(plain, (data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
+            ends = (cuts * size).tolist()
+            self.known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+
+    def words(self, text: str) -> list[str]:
+        if self.RUN.search(text) is None:
+            for sign in ".,":
+                for space in " \n":
+                    text = text.replace(sign + space, f" {sign} ")
+            if text[-1:] in (".", ","):
+                text = f"{text[:-1]} {text[-1]}"
+        # letters below U+0130 are lowered alike by all; others are left to the library
+        return (text.lower() if text.isascii() or max(text) < "\u0130" else text).split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        words: set[str] = set().union(*split)
+        split = [self.words(t) for t in texts]
         if len(self.known) > self.MOST:
             self.known = {}
-        if new := words - self.known.keys():
+        if new := set().union(*split) - self.known.keys():
             self.learn(new)
         known = self.known.__getitem__
         return [b"".join(map(known, s)) for s in split]
@@ -246,6 +266,7 @@ def _write(folder: str, vocabulary: str, end_id: int):
 def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
     """Writes the files; returns a row per shard: shard, n_records, n_tokens, n_bytes (a written table)."""
     spark = docs.sparkSession
+    small_batches(spark)
     fs, own = filesystem(folder)
     fs.create_dir(own, recursive=True)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
