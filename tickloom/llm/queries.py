@@ -8,6 +8,7 @@ import importlib
 QUERIES = {
     "op2_arc_to_warc": "warc",
     "op3_secret_scan": "secrets",
+    "op4_decontaminate": "decontaminate",
     "op5_token_records": "token_records",
     "op6_chat_format": "chat",
     "op8_fingerprints": "fingerprints",
