@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,7 +218,7 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path, dropout, seed, variants)
         for batch in batches:
-            size = np.cumsum([0 if n is None else n for n in pa.compute.utf8_length(batch.column(text)).to_pylist()]) // 1_500_000
+            size = np.cumsum([0 if n is None else n for n in pc.utf8_length(batch.column(text)).to_pylist()]) // 1_500_000
             cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if hi > lo:

@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontaminate": "decontaminate",
     "op5_token_records": "token_records",
     "op6_chat_format": "chat",
+    "op7_ngram_jaccard": "jaccard",
     "op8_fingerprints": "fingerprints",
     "op9_sentencepiece": "pieces",
     "op10_language_id": "langid",
