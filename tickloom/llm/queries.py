@@ -6,6 +6,7 @@ import importlib
 
 #: Module of each operator's query.
 QUERIES = {
+    "op1_line_dedup": "lines",
     "op2_arc_to_warc": "warc",
     "op3_secret_scan": "secrets",
     "op4_decontaminate": "decontaminate",
