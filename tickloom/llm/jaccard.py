@@ -17,7 +17,9 @@ and a set with too few shared segments takes no part at all.
 
 Pairs are not expanded in a group: the members of a signature's group are first
 verified against one of them, and only what then still lies in different
-components is compared further. Candidates are verified exactly on the whole sets.
+components is compared further. Before two sets meet, the parities of their
+shingles' counts in ``PARITIES`` bits must allow it: bits that differ are no more
+than shingles that differ. Candidates are verified exactly on the whole sets.
 Equal sets are one node from the start.
 
 Defined results: null, empty and blank texts are empty sets and linked with
@@ -47,6 +49,8 @@ WORDS, PERCENT = 5, 75
 BROADCAST = 1_000_000
 SINGLE, DELETE = 26, 100  # sizes below: a segment a shingle; exact and one-deletion
 BITS = 16
+PARITIES = 1024
+_WORDS = [f"p{i}" for i in range(PARITIES // 64)]
 
 
 @dataclass(frozen=True)
@@ -112,20 +116,32 @@ def signatures(tokens: np.ndarray, percent: int = PERCENT) -> list[tuple[Band, n
     return found
 
 
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """``PARITIES`` bits as 64-bit integers: whether an odd number of tokens falls on each."""
+    odd = np.bincount((tokens & U(PARITIES - 1)).astype(np.intp), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _apart(p: str, q: str):
+    """At least so many shingles two sets don't share."""
+    return sum((F.bit_count(F.col(f"{p}{w}").bitwiseXOR(F.col(f"{q}{w}"))) for w in _WORDS), F.lit(0))
+
+
 def _nodes(text: str, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, text):
-                rows = []
-                for s in shingles(batch.column(text), WORDS):
+                rows, bits = [], np.zeros((batch.num_rows, len(_WORDS)), np.int64)
+                for i, s in enumerate(shingles(batch.column(text), WORDS)):
                     if len(s):
+                        bits[i] = _parities(s)
                         spare = {b.number: left for b, _, left in signatures(s, percent)}
                         k = band_of(len(s), percent).number
                         rows.append((set_hash(s), len(s), spare.get(k, 0), spare.get(k - 1, 0)))
                     else:
                         rows.append((None, 0, 0, 0))
                 node, n, own, below = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.int32()), pa.array(below, pa.int32())], names=["_id", "node", "n_shingles", "spare", "spare_below"])
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.int32()), pa.array(below, pa.int32()), *map(pa.array, np.ascontiguousarray(bits.T))], names=["_id", "node", "n_shingles", "spare", "spare_below", *_WORDS])
 
     return run
 
@@ -170,7 +186,10 @@ def _few(df: DataFrame, n: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes that are linked; a written table."""
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda c: heads.select(F.col("node").alias(c), F.col("n").alias(f"{c}n"), *[F.col(w).alias(f"{c}{w}") for w in _WORDS])
+    may = (100 + percent) * _apart("a", "b") <= (F.col("an") + F.col("bn")) * (100 - percent)
+    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b"))
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     n = wanted.count()
     ids = heads.join(_few(wanted, n), "node", "left_semi").select(F.col("head").alias("_head")).distinct()
@@ -194,8 +213,8 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"))
-    rows = cut(texts.mapInArrow(_nodes("_text", percent), f"_id {dict(texts.dtypes)['_id']}, node long, n_shingles long, spare int, spare_below int"))
-    heads = cut(rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("head"), F.max("n_shingles").alias("n"), F.max("spare").alias("spare"), F.max("spare_below").alias("spare_below")))
+    rows = cut(texts.mapInArrow(_nodes("_text", percent), f"_id {dict(texts.dtypes)['_id']}, node long, n_shingles long, spare int, spare_below int, {', '.join(f'{w} long' for w in _WORDS)}"))
+    heads = cut(rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("head"), F.max("n_shingles").alias("n"), F.max("spare").alias("spare"), F.max("spare_below").alias("spare_below"), *[F.max(w).alias(w) for w in _WORDS]))
 
     signed = texts.select("_text").mapInArrow(_signed("_text", percent), "sig long, node long")
     w = Window.partitionBy("sig")
@@ -205,9 +224,6 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     # by set and band: segments in order of what they cost; the weight to spare leaves the first of them out
     segment = hits.groupBy("node", _band().alias("band"), F.col("sig").bitwiseAND(F.lit(2**BITS - 1)).alias("segment")).agg(F.max("count").alias("count"), F.collect_set("sig").alias("sigs"))
     costly = Window.partitionBy("node", "band").orderBy(F.desc("count"), "segment")
-    top = 1
-    while band(top, percent).high < DELETE:
-        top += 1
     starts = [band(k, percent) for k in range(64)]
     own = F.when(F.lit(False), 0)
     for b in starts:
@@ -224,9 +240,10 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     # what still lies apart: signed alike, in different components, not yet compared
     classes = cut(components(edges))
     named = used.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = cut(named.join(named.groupBy("sig").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min("node").alias("centre"), F.max("probe").alias("any")).where("c != d and any").select("sig", "centre"), "sig"))
+    apart = cut(named.join(named.groupBy("sig").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min("node").alias("centre"), F.max("probe").alias("any")).where("c != d and any").select("sig", "centre"), "sig").join(heads.select("node", *_WORDS), "node"))
     p, q = apart.where("probe").alias("p"), apart.alias("q")
-    fits = (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")) & (F.col("p.component") != F.col("q.component")) & (F.col("p.node") != F.col("p.centre")) & (F.col("q.node") != F.col("q.centre"))
+    may = (100 + percent) * _apart("p.", "q.") <= (F.col("p.n") + F.col("q.n")) * (100 - percent)
+    fits = (F.col("p.component") != F.col("q.component")) & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")) & (F.col("p.node") != F.col("p.centre")) & (F.col("q.node") != F.col("q.centre")) & may
     rest = p.join(q, (F.col("p.sig") == F.col("q.sig")) & fits).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
     edges = edges.unionByName(_verified(rest, texts, heads, percent))
 
@@ -257,7 +274,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     least = named.groupBy("component").agg(F.min("head").alias("component_id"), F.sum("copies").alias("members"))
     # only nodes that share their component with another row need a look-up
     shared = cut(named.select("node", "component").join(least.where("members > 1"), "component").select("node", "component_id"))
-    found = rows.join(_few(shared, shared.count()), "node", "left")
+    found = rows.select("_id", "node", "n_shingles").join(_few(shared, shared.count()), "node", "left")
     return found.select(F.col("_id").alias(key), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
 
 
