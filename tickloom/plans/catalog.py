@@ -46,3 +46,15 @@ for _name, (_n, _) in W.OPERATORS.items():
     _args = {1: [_X], 2: [_X, _Y], 3: [_GATE, _X, _Y]}[_n]
     _add_formula(f"factor_op_{_name.lower()}", [*map(formula.token, _args), formula.token(_name)])
 _add_formula("formula_nested", [formula.token(n) for n in ("RET", "TS_MEAN_5", "VOL_Z", "TS_CORR_10", "CS_RANK", "HL_RANGE", "MUL", "TANH_SQUASH")])
+
+
+def load() -> dict[str, tuple[Query, str | None]]:
+    """All queries; the modules that register them are read on first use."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"tickloom.plans.{name}")
+    return CATALOG
+
+
+MODULES = ("market_queries",)
