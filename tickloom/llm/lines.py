@@ -202,7 +202,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     at = F.struct(F.col("doc").alias("doc"), F.col("place").alias("place"))
     out = rows.join(_few(gone, gone.count()), "line_id").where(F.col("at").isNull() | (F.col("at") != at))
     places = cut(out.groupBy("doc").agg(F.collect_set("place").alias("_places")))
-    found = docs.join(_few(places, places.agg(F.coalesce(F.sum(F.size("_places") + 4), F.lit(0))).first()[0]), docs[key].eqNullSafe(F.col("doc")), "left").drop("doc")
+    # the texts are dealt by id whatever the number of places is: one plan at every size
+    found = docs.join(places, docs[key].eqNullSafe(F.col("doc")), "left").drop("doc")
     every = F.split(F.col(text), "\n", -1)
     kept = F.when(F.col("_places").isNull(), F.col(text)).otherwise(F.array_join(F.filter(every, lambda x, i: ~F.array_contains("_places", i)), "\n"))
     counts = {"_lines": F.when(F.col(text).isNull() | (F.col(text) == ""), 0).otherwise(F.size(every)).cast("long"), "_dropped": F.coalesce(F.size("_places"), F.lit(0)).cast("long")}
