@@ -22,9 +22,11 @@ def collapse(c: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-@F.pandas_udf("string")
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+def _nfkc(c: Column) -> Column:
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+    return F.pandas_udf(run, "string")(c)
 
 
 def normalize(c: Column) -> Column:

@@ -12,8 +12,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-S = Window.partitionBy("symbol").orderBy("bar_idx")
-UP = S.rowsBetween(Window.unboundedPreceding, 0)
+
+def S():  # noqa: N802
+    """Along a symbol's time."""
+    return Window.partitionBy("symbol").orderBy("bar_idx")
+
+def UP():  # noqa: N802
+    """All rows up to the current one."""
+    return S().rowsBetween(Window.unboundedPreceding, 0)
+
+
 #: Rates of a turnover's value; stamp duty on sales alone.
 RATES = {"commission": 0.0003, "stamp_duty": 0.0005, "transfer_fee": 0.00001, "slippage": 0.0002}
 #: Bars a year by timeframe.
@@ -24,7 +32,7 @@ def schedule(positions: DataFrame, lag: int = 1) -> DataFrame:
     """A signal is held from ``lag`` bars later on; nothing before."""
     if lag < 1:
         raise ValueError("a signal can't be executed on its own bar")
-    return positions.withColumn("target", F.coalesce(F.lag("position", lag).over(S), F.lit(0.0)))
+    return positions.withColumn("target", F.coalesce(F.lag("position", lag).over(S()), F.lit(0.0)))
 
 
 def costs(delta, equity, stress=1.0) -> dict:
@@ -70,17 +78,17 @@ def metrics(sim: DataFrame, periods: int = 252, keys: tuple[str, ...] = ("symbol
 
 
 def rolling_sharpe(sim: DataFrame, window: int, periods: int = 252) -> DataFrame:
-    w = S.rowsBetween(1 - window, 0)
+    w = S().rowsBetween(1 - window, 0)
     sd = F.stddev_pop("ret").over(w)
-    full = F.row_number().over(S) >= window
+    full = F.row_number().over(S()) >= window
     return sim.withColumn("rolling_sharpe", F.when(full & (sd > 1e-12), F.avg("ret").over(w) / sd * F.sqrt(F.lit(float(periods)))).otherwise(0.0))
 
 
 def trades(sim: DataFrame) -> DataFrame:
     """Runs of one direction: entry, exit (the first bar of the next run; the last bar where there is none), bars, product of growths."""
     side = F.signum("target")
-    rows = sim.withColumn("side", side).withColumn("start", F.when(F.coalesce(F.lag("side").over(S), F.lit(0.0)) != F.col("side"), 1).otherwise(0))
-    runs = rows.withColumn("run", F.sum("start").over(UP)).groupBy("symbol", "run", "side").agg(F.min("bar_idx").alias("entry"), F.max("bar_idx").alias("final"), F.count("*").alias("bars"), F.sum(F.ln("growth")).alias("log_growth"))
+    rows = sim.withColumn("side", side).withColumn("start", F.when(F.coalesce(F.lag("side").over(S()), F.lit(0.0)) != F.col("side"), 1).otherwise(0))
+    runs = rows.withColumn("run", F.sum("start").over(UP())).groupBy("symbol", "run", "side").agg(F.min("bar_idx").alias("entry"), F.max("bar_idx").alias("final"), F.count("*").alias("bars"), F.sum(F.ln("growth")).alias("log_growth"))
     w = Window.partitionBy("symbol").orderBy("run")
     ended = runs.withColumn("exit", F.coalesce(F.lead("entry").over(w), F.col("final")))
     return ended.where("side != 0").select("symbol", F.col("side").cast("int").alias("side"), "entry", "exit", "bars", (F.exp("log_growth") - 1).alias("pnl"))
@@ -100,7 +108,7 @@ def compounded(sim: DataFrame, period, name: str = "period") -> DataFrame:
 
 
 def subperiods(sim: DataFrame, k: int = 4) -> DataFrame:
-    return sim.withColumn("part", F.ntile(k).over(S))
+    return sim.withColumn("part", F.ntile(k).over(S()))
 
 
 def turnover_audit(sim: DataFrame) -> DataFrame:

@@ -9,21 +9,25 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.recurrence import ema
 
-S = Window.partitionBy("symbol").orderBy("bar_idx")
+
+def S():  # noqa: N802
+    """Along a symbol's time."""
+    return Window.partitionBy("symbol").orderBy("bar_idx")
+
 
 
 def rows(lo: int, hi: int):
-    return S.rowsBetween(lo, hi)
+    return S().rowsBetween(lo, hi)
 
 
 def true_range(bars: DataFrame) -> DataFrame:
-    before = F.coalesce(F.lag("close").over(S), F.col("close"))
+    before = F.coalesce(F.lag("close").over(S()), F.col("close"))
     return bars.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
 def density_atr(bars: DataFrame, n: int = 14) -> DataFrame:
     """Mean true range up to bar ``n``; from then on n + 1 ranges over n, as its calibration expects."""
-    k = F.row_number().over(S)
+    k = F.row_number().over(S())
     return true_range(bars).withColumn("atr", F.when(k <= n, F.sum("tr").over(rows(-n, 0)) / k).otherwise(F.sum("tr").over(rows(-n, 0)) / n))
 
 
@@ -42,9 +46,9 @@ def seeded_average(df: DataFrame, columns: dict[str, tuple[str, int, float]]) ->
 def indicators(bars: DataFrame) -> DataFrame:
     """ema20, ema60, atr14, clv, body_ratio, overlap10, er20, slope20, adv20; null until their windows are full."""
     made = seeded_average(true_range(bars), {"ema20": ("close", 20, 20), "ema60": ("close", 60, 60), "atr14": ("tr", 14, 27)})
-    k, span = F.row_number().over(S), F.col("high") - F.col("low")
+    k, span = F.row_number().over(S()), F.col("high") - F.col("low")
     full = lambda n, x: F.when(k >= n, x)
-    ph, pl, pc = (F.lag(c).over(S) for c in ("high", "low", "close"))
+    ph, pl, pc = (F.lag(c).over(S()) for c in ("high", "low", "close"))
     over = F.when((ph > F.col("low")) & (pl < F.col("high")), (F.least("high", ph) - F.greatest("low", pl)) / (F.greatest("high", ph) - F.least("low", pl))).otherwise(1.0)
     made = made.withColumns({
         "clv": F.when(span > 0, (F.col("close") - F.col("low")) / span).otherwise(0.5), "body_ratio": F.when(span > 0, F.abs(F.col("close") - F.col("open")) / span).otherwise(0.0),
@@ -52,8 +56,8 @@ def indicators(bars: DataFrame) -> DataFrame:
     })
     path = F.sum("_step").over(rows(-19, 0))
     return made.withColumns({
-        "overlap10": full(10, F.avg("_overlap").over(rows(-9, 0))), "er20": full(21, F.when(path > 0, F.abs(F.col("close") - F.lag("close", 20).over(S)) / path).otherwise(0.0)),
-        "slope20": (F.col("ema20") - F.lag("ema20", 5).over(S)) / F.col("atr14"), "adv20": full(20, F.avg("turnover").over(rows(-19, 0))), "ema20_lag5": F.lag("ema20", 5).over(S),
+        "overlap10": full(10, F.avg("_overlap").over(rows(-9, 0))), "er20": full(21, F.when(path > 0, F.abs(F.col("close") - F.lag("close", 20).over(S())) / path).otherwise(0.0)),
+        "slope20": (F.col("ema20") - F.lag("ema20", 5).over(S())) / F.col("atr14"), "adv20": full(20, F.avg("turnover").over(rows(-19, 0))), "ema20_lag5": F.lag("ema20", 5).over(S()),
     }).drop("_overlap", "_step")
 
 
@@ -192,8 +196,8 @@ def spaced(found: DataFrame, least: int, value: str = "volume") -> DataFrame:
 def touches(bars: DataFrame, zones: DataFrame, hold: int = 10, break_atr: float = 0.5, target_atr: float = 1.0) -> DataFrame:
     """Entries of zones (symbol, zone, lo, hi, support) from their own side, with what came first in ``hold`` bars: held or broken.
     A window of later bars replaces the join of every entry with its bars."""
-    later = S.rowsBetween(0, hold)
-    b = density_atr(bars).withColumn("before", F.coalesce(F.lag("close").over(S), F.col("close"))).withColumn("next", F.collect_list(F.struct("high", "low", "close")).over(later))
+    later = S().rowsBetween(0, hold)
+    b = density_atr(bars).withColumn("before", F.coalesce(F.lag("close").over(S()), F.col("close"))).withColumn("next", F.collect_list(F.struct("high", "low", "close")).over(later))
     j = b.join(zones, "symbol").where((F.col("low") <= F.col("hi")) & (F.col("high") >= F.col("lo")) & F.when(F.col("support"), F.col("before") > F.col("hi")).otherwise(F.col("before") < F.col("lo")))
     floor, roof = F.col("lo"), F.col("hi")
     out = lambda x: F.when(F.col("support"), x["close"] < floor - break_atr * F.col("atr")).otherwise(x["close"] > roof + break_atr * F.col("atr"))
@@ -302,7 +306,7 @@ def swings(pivots: DataFrame) -> DataFrame:
 
 def breakouts(bars: DataFrame) -> DataFrame:
     """Bars that close beyond the running extreme of all bars before."""
-    up = S.rowsBetween(Window.unboundedPreceding, -1)
+    up = S().rowsBetween(Window.unboundedPreceding, -1)
     hi, lo = F.max("high").over(up), F.min("low").over(up)
     kind = F.when(F.col("close") > hi, 1).when(F.col("close") < lo, -1)
     return bars.withColumn("kind", kind).where("kind is not null")
@@ -355,7 +359,7 @@ def with_resistance(bars: DataFrame, k: int = 2, width_atr: float = 0.35) -> Dat
     made = indicators(bars)
     p = fractals(bars, k).where("kind = 1").select("symbol", F.col("confirm_idx").alias("bar_idx"), F.col("price").alias("_p"))
     j = made.join(p, ["symbol", "bar_idx"], "left")
-    known = F.last("_p", ignorenulls=True).over(S.rowsBetween(Window.unboundedPreceding, 0))
+    known = F.last("_p", ignorenulls=True).over(S().rowsBetween(Window.unboundedPreceding, 0))
     j = j.withColumn("_z", known)
     return j.withColumns({"zone_lo": F.col("_z") - width_atr * F.col("atr14"), "zone_hi": F.col("_z") + width_atr * F.col("atr14"), "regime": regime()}).drop("_p", "_z")
 

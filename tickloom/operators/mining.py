@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import vocabulary as W
 
-S = Window.partitionBy("symbol").orderBy("bar_idx")
+
+def S():  # noqa: N802
+    """Along a symbol's time."""
+    return Window.partitionBy("symbol").orderBy("bar_idx")
+
 
 
 def forward_label(bars: DataFrame, horizon: int = 1) -> DataFrame:
     """Log return from this close to the one ``horizon`` bars on; null at the end."""
-    return bars.withColumn("label", F.ln(F.lead("close", horizon).over(S) / F.col("close")))
+    return bars.withColumn("label", F.ln(F.lead("close", horizon).over(S()) / F.col("close")))
 
 
 def average_rank(column: str, by: list[str]):
@@ -55,9 +59,9 @@ def in_folds(rows: DataFrame, table: Sequence[tuple[int, int, int, int, int]]) -
 def reward(rows: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """One row: means over symbols of return, volatility, drawdown, turnover and the weighted score."""
     w = {"ret": 1.0, "volatility": 0.2, "drawdown": 0.3, "turnover": 0.05} | (weights or {})
-    pnl = rows.withColumns({"pnl": F.col("position") * F.col("label"), "_before": F.coalesce(F.lag("position").over(S), F.lit(0.0))})
-    curve = F.sum(F.ln(1 + F.greatest(F.coalesce("pnl", F.lit(0.0)), F.lit(-0.99)))).over(S.rowsBetween(Window.unboundedPreceding, 0))
-    falls = pnl.withColumn("_curve", F.exp(curve)).withColumn("_fall", 1 - F.col("_curve") / F.greatest(F.lit(1.0), F.max("_curve").over(S.rowsBetween(Window.unboundedPreceding, 0))))
+    pnl = rows.withColumns({"pnl": F.col("position") * F.col("label"), "_before": F.coalesce(F.lag("position").over(S()), F.lit(0.0))})
+    curve = F.sum(F.ln(1 + F.greatest(F.coalesce("pnl", F.lit(0.0)), F.lit(-0.99)))).over(S().rowsBetween(Window.unboundedPreceding, 0))
+    falls = pnl.withColumn("_curve", F.exp(curve)).withColumn("_fall", 1 - F.col("_curve") / F.greatest(F.lit(1.0), F.max("_curve").over(S().rowsBetween(Window.unboundedPreceding, 0))))
     own = falls.groupBy("symbol").agg(F.avg("pnl").alias("ret"), F.stddev_pop("pnl").alias("volatility"), F.max("_fall").alias("drawdown"), F.avg(F.abs(F.col("position") - F.col("_before"))).alias("turnover"))
     mean = own.agg(*[F.avg(c).alias(c) for c in ("ret", "volatility", "drawdown", "turnover")])
     return mean.withColumn("score", w["ret"] * F.col("ret") - w["volatility"] * F.col("volatility") - w["drawdown"] * F.col("drawdown") - w["turnover"] * F.col("turnover"))

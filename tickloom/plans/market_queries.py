@@ -25,17 +25,18 @@ def s6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) + 0e0 as {n}" for n in names)
 
 
-epoch = F.unix_timestamp("bar_ts").alias("t")
+def epoch():
+    return F.unix_timestamp("bar_ts").alias("t")
 
 
 @query("ohlcv_bars", f"select symbol, bar_idx, cast(epoch(bar_ts) as bigint) as t, open, high, low, close, volume from {BE}")
 def ohlcv_bars(spark: SparkSession, d: str) -> DataFrame:
-    return bars_from_events(spark, d).select("symbol", "bar_idx", epoch, "open", "high", "low", "close", "volume")
+    return bars_from_events(spark, d).select("symbol", "bar_idx", epoch(), "open", "high", "low", "close", "volume")
 
 
 @query("ohlcv_bars_daily", f"select symbol, bar_idx, cast(epoch(bar_ts) as bigint) as t, open, high, low, close, volume from ({LINEITEM_SQL})")
 def ohlcv_bars_daily(spark, d):
-    return bars_from_lineitem(spark, d).select("symbol", "bar_idx", epoch, "open", "high", "low", "close", "volume")
+    return bars_from_lineitem(spark, d).select("symbol", "bar_idx", epoch(), "open", "high", "low", "close", "volume")
 
 
 _ODD = "case when bar_idx % 7 = 0 then high * 1.01e0 else low end as low, case when bar_idx % 11 = 0 then -1e0 when bar_idx % 13 = 0 then null else volume end as volume, case when bar_idx % 17 = 0 then -open else open end as open"
