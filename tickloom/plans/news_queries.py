@@ -16,7 +16,7 @@ from tickloom.sources.bars import table
 def items(spark, d):
     """Documents as news items: the first line is the title, hours by id the time."""
     t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "source")
-    return t.withColumns({"title": F.left(F.split("text", "\n")[0], F.lit(80)), "publish_time": F.timestamp_seconds(1704067200 + F.col("id") * 3600)}).withColumns({"title_tokens": T.tokens(F.col("title")), "content_tokens": T.tokens(F.left("text", F.lit(400)))})
+    return t.withColumns({"title": F.split("text", "\n")[0], "publish_time": F.timestamp_seconds(1704067200 + F.col("id") * 3600)}).withColumns({"title_tokens": T.tokens(F.col("title")), "content_tokens": T.tokens(F.col("text"))})
 
 
 _TAGS = "script|style|noscript|template"
