@@ -67,6 +67,15 @@ def test_line_dedup_is_brute_force(spark):
     assert got == kept_lines(rows)
 
 
+def test_lines_by_a_moved_segment_and_of_many_signs(spark):
+    # the middle segment of the first line stands one place before it as well; the second line shares no other one
+    moved = [(1, "bcdefga" + "aaaaaaa" + "hijklmn"), (2, "bcXdefga" + "aaaaaaa" + "hijkZmn")]
+    assert edits(moved[0][1], moved[1][1], 2) == 2
+    long = [(3, "e" * 40_000 + "once more"), (4, "e" * 40_000 + "once Xmore"), (5, "e" * 40_003 + "once more")]
+    for rows, want in ((moved, {1: moved[0][1], 2: ""}), (long, {3: long[0][1], 4: "", 5: long[2][1]})):
+        assert {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_lines_of_empty_and_repeated_rows(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, "one line that is long enough"), (1, "one line that is long enough"), (None, "first of all, this long line"), (2, "first of all, this long line")]

@@ -168,12 +168,13 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int =
     w = Window.partitionBy("sig")
     node = F.shiftrightunsigned("tag", 1)
     counted = signed.withColumns({"least": F.min(node).over(w), "most": F.max(node).over(w), "own": F.max(F.col("tag").bitwiseAND(F.lit(1))).over(w)})
-    hits = cut(counted.where("least != most and own = 1").select("sig", node.alias("line_id"), (F.col("tag").bitwiseAND(F.lit(1)) == 1).alias("own")).distinct())
+    # one row a line: a signature may be its own segment and a moved one as well
+    hits = cut(counted.where("least != most and own = 1").groupBy("sig", node.alias("line_id")).agg((F.max(F.col("tag").bitwiseAND(F.lit(1))) == 1).alias("own")))
 
     # the first occurrence of each line that takes part, with what the pairs need
     wanted = cut(hits.select("line_id").distinct().join(seen, "line_id").select("line_id", "at", "length"))
     some = rows.join(_few(wanted.select("line_id", "at"), wanted.count()), "line_id").where(F.col("at").eqNullSafe(at))
-    texts = cut(some.dropDuplicates(["line_id"]).select("line_id", "line", F.array(*[(F.length("line") - F.length(F.replace(F.col("line"), F.lit(c)))).cast("smallint") for c in LETTERS]).alias("letters")))
+    texts = cut(some.dropDuplicates(["line_id"]).select("line_id", "line", F.array(*[F.length("line") - F.length(F.replace(F.col("line"), F.lit(c))) for c in LETTERS]).alias("letters")))
     placed = cut(hits.join(wanted, "line_id").select("sig", "own", F.struct("at.doc", "at.place", "line_id").alias("at"), "line_id", "length"))
 
     # every line of a group with the earliest one
@@ -185,7 +186,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int =
     # lines that stay so far meet the others that come before them
     left = cut(placed.join(texts.select("line_id", "letters"), "line_id").join(centre.select("sig", F.col("c.at.line_id").alias("centre")), "sig").where(F.col("line_id") != F.col("centre")))
     late, early = left.join(dropped.select(F.col("late").alias("line_id")).distinct(), "line_id", "left_anti").alias("q"), left.alias("p")
-    differ = F.aggregate(F.zip_with("p.letters", "q.letters", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda s, x: s + x)
+    differ = F.aggregate(F.zip_with("p.letters", "q.letters", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     may = (F.col("p.at") < F.col("q.at")) & (F.col("p.own") | F.col("q.own")) & (F.abs(F.col("p.length") - F.col("q.length")) <= edits) & (differ <= 2 * edits)
     rest = late.join(early, (F.col("p.sig") == F.col("q.sig")) & may).select(F.col("p.line_id").alias("early"), F.col("q.line_id").alias("late"))
     near_lines = dropped.unionByName(_verified(rest, texts, edits)).select(F.col("late").alias("line_id")).distinct()
