@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.sources.shared import with_checkpoints
+
 
 def due(plans: DataFrame, until: Column) -> DataFrame:
     """(plan, fire_at) of interval plans (plan, start, seconds) up to ``until``."""
@@ -23,15 +25,21 @@ def misfires(fired: DataFrame, policy: str, limit: int = 100) -> DataFrame:
     return fired.withColumn("_n", F.row_number().over(Window.partitionBy("plan").orderBy("fire_at"))).where(F.col("_n") <= limit).drop("_n")
 
 
-def levels(spark: SparkSession, edges: DataFrame, most: int = 100) -> DataFrame:
-    """(node, level): the longest way from a node without predecessors, over edges (before, after) without cycles."""
-    edges.createOrReplaceTempView("_edges")
-    return spark.sql(
-        f"""with recursive walk(node, level) as (
-        select distinct before as node, 0 as level from _edges where before not in (select after from _edges)
-        union all select e.after, w.level + 1 from walk w join _edges e on e.before = w.node where w.level < {most})
-        select node, max(level) as level from walk group by node"""
-    )
+def levels(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(node, level): the longest way from a node without predecessors, over edges (before, after), by rounds until no node gets
+    further; a cycle behind such a node is an error."""
+    with_checkpoints(spark)
+    edges = edges.select("before", "after").distinct().checkpoint()
+    roots = edges.select(F.col("before").alias("node")).join(edges.select(F.col("after").alias("node")), "node", "left_anti").distinct()
+    label, at, most = roots.withColumn("level", F.lit(0)).checkpoint(), 0, edges.select("after").distinct().count()
+    while True:
+        step = edges.join(label.where(F.col("level") == at), F.col("before") == F.col("node")).select(F.col("after").alias("node"), F.lit(at + 1).alias("level"))
+        label = label.unionByName(step).groupBy("node").agg(F.max("level").alias("level")).checkpoint()
+        at += 1
+        if label.where(F.col("level") == at).isEmpty():
+            return label
+        if at > most:
+            raise ValueError("the edges have a cycle")
 
 
 def gates(tasks: DataFrame) -> DataFrame:
