@@ -14,8 +14,10 @@ dropped so meets the other earlier ones. Before two lines meet, their lengths an
 counts of common letters must allow it; then common ends are cut off and the rest
 is compared by a banded bit-parallel edit distance.
 
-DataFrame functions only. Lines that occur often are signed at their first
-occurrence alone. Equal lines are told by a 63-bit hash and the length.
+DataFrame functions only, one plan at every size. Lines that are a ``HOT``-th of all or more (so ``HOT``
+of them at most) are signed at their first occurrence alone, and so a line that stands everywhere makes no
+hot group. Tables of wanted lines are met in merge joins behind a map of bounded size. Equal lines are told
+by a 63-bit hash.
 
 Defined results: null and empty texts have no lines; a blank line (white space
 alone) always stays; rows that share an id count as one document and keep alike; null ids come
@@ -28,13 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import cut, let
+from tickloom.llm.shared import cut, drop, let, likely, look_up
 
 EDITS, LEAST = 2, 20
-#: Rows that may be sent to all executors (64 bytes each at most); beyond, a shuffled join.
-BROADCAST = 500_000
-#: Lines that occur so often are signed once; others at each occurrence.
-OFTEN = 50
+#: Lines of at least this share of all are sent to all executors: 20,000 rows of 16 bytes at most.
+HOT = 20_000
 LETTERS = "etaoinshrdlcumfg"
 
 
@@ -48,6 +48,11 @@ def _line_id(line: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(line, F.length(line)), 1)
 
 
+def _spot(doc: str = "doc", place: str = "place") -> Column:
+    """An occurrence of a line, as a hash of its document and place."""
+    return F.xxhash64(doc, place)
+
+
 def cuts(length: Column, edits: int) -> list[tuple[Column, Column]]:
     """(start from 1, size) of the segments of a line: the last ones are one longer where the length asks for it."""
     size, rest = F.floor(length / (edits + 1)).cast("int"), (length % (edits + 1)).cast("int")
@@ -144,10 +149,6 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return _trimmed(a, b, rest)
 
 
-def _few(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST else df
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """Ids of lines that are within the edits of an earlier line: pairs (early, late) that hold; a written table."""
     side = lambda c: texts.select(F.col("line_id").alias(c), F.col("line").alias(f"{c}_line"))
@@ -156,26 +157,30 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """Lines to drop: rows (line_id, doc, place) where only the occurrence at (doc, place), if any, stays; a written table."""
-    rows = lines(docs, key, text)
+    """Lines to drop: rows (line_id, spot) where only the occurrence at ``spot``, if any, stays; a written table."""
     at = F.struct(F.col("doc").alias("doc"), F.col("place").alias("place"))
-    seen = cut(rows.groupBy("line_id").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.max(F.length("line")).alias("length")))
-    repeated = seen.where("n > 1")
+    rows = lines(docs, key, text).withColumn("spot", _spot())
+    seen = cut(rows.groupBy("line_id").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.max(F.length("line")).alias("length")).withColumn("spot", _spot("at.doc", "at.place")))
 
-    often = cut(seen.where(F.col("n") >= OFTEN).select("line_id", "at"))
-    named = rows.join(_few(often, often.count()), "line_id", "left")
-    signed = _signed(named.where(F.col("at").isNull() | (F.col("at") == at)).select("line", "line_id"), edits, max(least, edits + 1))
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    hot = seen.where((F.col("n") > 1) & (F.col("n") * HOT >= total)).select("line_id", F.col("spot").alias("first_spot"))
+    named = rows.join(F.broadcast(hot), "line_id", "left")
+    signed = _signed(named.where(F.col("first_spot").isNull() | (F.col("first_spot") == F.col("spot"))).select("line", "line_id"), edits, max(least, edits + 1))
     w = Window.partitionBy("sig")
     node = F.shiftrightunsigned("tag", 1)
-    counted = signed.withColumns({"least": F.min(node).over(w), "most": F.max(node).over(w), "own": F.max(F.col("tag").bitwiseAND(F.lit(1))).over(w)})
+    own = F.max(F.col("tag").bitwiseAND(F.lit(1)))
+    counted = signed.withColumns({"least": F.min(node).over(w), "most": F.max(node).over(w), "own": own.over(w)})
     # one row a line: a signature may be its own segment and a moved one as well
-    hits = cut(counted.where("least != most and own = 1").groupBy("sig", node.alias("line_id")).agg((F.max(F.col("tag").bitwiseAND(F.lit(1))) == 1).alias("own")))
-
-    # the first occurrence of each line that takes part, with what the pairs need
-    wanted = cut(hits.select("line_id").distinct().join(seen, "line_id").select("line_id", "at", "length"))
-    some = rows.join(_few(wanted.select("line_id", "at"), wanted.count()), "line_id").where(F.col("at").eqNullSafe(at))
-    texts = cut(some.dropDuplicates(["line_id"]).select("line_id", "line", F.array(*[F.length("line") - F.length(F.replace(F.col("line"), F.lit(c))) for c in LETTERS]).alias("letters")))
+    hits = cut(counted.where("least != most and own = 1").groupBy("sig", node.alias("line_id")).agg((own == 1).alias("own")))
+
+    # one occurrence of each line that takes part, with what the pairs need
+    wanted = cut(hits.select("line_id").distinct().join(seen, "line_id").select("line_id", "at", "length", "spot"))
+    spots = wanted.select("line_id", "spot")
+    some = likely(rows, F.col("spot"), spots, F.col("spot")).join(spots.hint("merge"), ["line_id", "spot"])
+    letters = F.array(*[F.length("line") - F.length(F.replace(F.col("line"), F.lit(c))) for c in LETTERS])
+    texts = cut(some.dropDuplicates(["line_id"]).select("line_id", "line", letters.alias("letters")))
     placed = cut(hits.join(wanted, "line_id").select("sig", "own", F.struct("at.doc", "at.place", "line_id").alias("at"), "line_id", "length"))
+    drop(hits, wanted)
 
     # every line of a group with the earliest one
     centre = placed.groupBy("sig").agg(F.min(F.struct("at", "own", "length")).alias("c"))
@@ -191,20 +196,22 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int =
     rest = late.join(early, (F.col("p.sig") == F.col("q.sig")) & may).select(F.col("p.line_id").alias("early"), F.col("q.line_id").alias("late"))
     near_lines = dropped.unionByName(_verified(rest, texts, edits)).select(F.col("late").alias("line_id")).distinct()
 
-    both = repeated.select("line_id", "at").join(near_lines.withColumn("all", F.lit(True)), "line_id", "full")
+    repeated = seen.where("n > 1").select("line_id", "spot")
+    both = repeated.join(near_lines.withColumn("all", F.lit(True)), "line_id", "full")
     # of lines near an earlier one no occurrence stays
-    return cut(both.select("line_id", F.when(F.col("all").isNull(), F.col("at")).alias("at")))
+    found = cut(both.select("line_id", F.when(F.col("all").isNull(), F.col("spot")).alias("stays")))
+    drop(seen, texts, placed, left)
+    return found
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """``docs`` with the kept lines as text, and ``_lines``, ``_dropped``: counts of all lines and of dropped ones."""
     gone = find(docs, key, text, edits, least)
-    rows = lines(docs, key, text).select("doc", "place", "line_id")
-    at = F.struct(F.col("doc").alias("doc"), F.col("place").alias("place"))
-    out = rows.join(_few(gone, gone.count()), "line_id").where(F.col("at").isNull() | (F.col("at") != at))
-    places = cut(out.groupBy("doc").agg(F.collect_set("place").alias("_places")))
-    # the texts are dealt by id whatever the number of places is: one plan at every size
-    found = docs.join(places, docs[key].eqNullSafe(F.col("doc")), "left").drop("doc")
+    rows = lines(docs, key, text).withColumn("spot", _spot()).select("doc", "place", "line_id", "spot")
+    some = likely(rows, F.col("line_id"), gone, F.col("line_id"))
+    out = some.join(gone.hint("merge"), "line_id").where(F.col("stays").isNull() | (F.col("stays") != F.col("spot")))
+    places = cut(out.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("place").alias("_places")))
+    found = look_up(docs, docs[key], places, "_doc").drop("_doc")
     every = F.split(F.col(text), "\n", -1)
     kept = F.when(F.col("_places").isNull(), F.col(text)).otherwise(F.array_join(F.filter(every, lambda x, i: ~F.array_contains("_places", i)), "\n"))
     counts = {"_lines": F.when(F.col(text).isNull() | (F.col(text) == ""), 0).otherwise(F.size(every)).cast("long"), "_dropped": F.coalesce(F.size("_places"), F.lit(0)).cast("long")}

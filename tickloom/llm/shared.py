@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made
-    and set as the checkpoint folder.
+    Only where that is unset and the master is local (tests on one machine) a
+    temporary folder is made and set as the checkpoint folder; elsewhere it is an
+    error, for executors don't share such a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -21,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(found)
         return found.rstrip("/")
     if not (own := spark.sparkContext.getCheckpointDir()):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
@@ -31,6 +35,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: A map of wanted keys has this many bits, so it has 2^18 rows of 64 bits at most whatever the input is.
+MAP_BITS = 24
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here."""
     spark = df.sparkSession
@@ -39,6 +47,46 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that ``cut`` wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _flagged(df: DataFrame, key: Column, ids: DataFrame, id_: Column) -> DataFrame:
+    """``df`` with ``_map_may``: false where ``key`` is surely none of ``ids``.
+
+    The hashed ids go to all executors as a map of ``MAP_BITS`` bits, a table of bounded size. The more
+    ids there are, the more rows may match by chance: the exact join behind it gets them too.
+    """
+    word = lambda h: F.shiftrightunsigned(h, 64 - MAP_BITS + 6)
+    bit = lambda h: F.shiftrightunsigned(h, 64 - MAP_BITS).bitwiseAND(F.lit(63)).cast("int")
+    h = F.xxhash64(id_)
+    marks = ids.groupBy(word(h).alias("_map_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(h))).alias("_map_bits"))
+    h = F.xxhash64(key)
+    held = df.join(F.broadcast(marks), word(h) == F.col("_map_word"), "left")
+    may = F.call_function("shiftrightunsigned", F.coalesce("_map_bits", F.lit(0).cast("long")), bit(h)).bitwiseAND(F.lit(1)) == 1
+    return held.withColumn("_map_may", may).drop("_map_word", "_map_bits")
+
+
+def likely(df: DataFrame, key: Column, ids: DataFrame, id_: Column) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is one of ``ids``, and few others, without a shuffle of ``df``."""
+    return _flagged(df, key, ids, id_).where("_map_may").drop("_map_may")
+
+
+def look_up(df: DataFrame, key: Column, side: DataFrame, side_key: str) -> DataFrame:
+    """``df`` left-joined with ``side`` (one row a key, null-safe), by one plan at every size.
+
+    Only rows that likely have a partner are shuffled. ``side``'s columns are null where there is none.
+    """
+    flagged = _flagged(df, key, side, F.col(side_key))
+    found = flagged.where("_map_may").join(side.hint("merge"), key.eqNullSafe(F.col(side_key)), "left")
+    return found.unionByName(flagged.where("not _map_may"), allowMissingColumns=True).drop("_map_may")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts go to Python in batches of so many rows at most, for bounded memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
