@@ -130,11 +130,25 @@ def test_jaccard_is_brute_force(spark, sf):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.op7_ngram_jaccard(spark, sf).collect()} == classes(docs)
 
 
+def test_prefixes_hold_every_link(spark, sf):
+    """Sets that fill too few segments are paired by prefixes: taken for all sets, these give every link."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts, rows, heads = J.nodes(docs, "doc_id", "text", 75)
+    short = heads.where("n > 1").select("node", "n")
+    edges = J._verified(J._by_prefix(texts, heads, short, 75), texts, heads, 75)
+    got = {frozenset((r.a, r.b)) for r in edges.collect()}
+    ids = {r.node: r["head"] for r in heads.collect()}
+    text = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
+    sets = {n: {tuple(text[i][k : k + 5]) for k in range(max(1, len(text[i]) - 4))} for n, i in ids.items()}
+    want = {frozenset((a, b)) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 100 >= 75 * len(sets[a] | sets[b])}
+    assert got == want and want
+
+
 def test_jaccard_of_nothing(spark):
     assert J.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 3, 25, 26, 90, 113, 500, 5000])
+@pytest.mark.parametrize("n", [1, 3, 25, 26, 33, 90, 113, 152, 500, 5000])
 def test_weights_suffice(n):
     """Segments that a set fills are more than what linked sets may differ by."""
     import numpy as np

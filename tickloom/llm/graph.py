@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import cut
+from tickloom.llm.shared import cut, drop
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -30,7 +30,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     seen = state(e)
     while seen[0]:
-        e = cut(_small(cut(_large(e))))
+        before, larger = e, cut(_large(e))
+        e = cut(_small(larger))
+        drop(before, larger)
         now = state(e)
         if now == seen:
             break

@@ -41,12 +41,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.graph import components
-from tickloom.llm.shared import cut, small_batches
+from tickloom.llm.shared import cut, drop, likely, look_up, small_batches
 from tickloom.llm.shingles import U, mix, pieces, set_hash, shingles
 
 WORDS, PERCENT = 5, 75
-#: Rows of ids that may be sent to all executors (some 60 MB there); beyond, a shuffled join.
-BROADCAST = 1_000_000
 SINGLE, DELETE = 26, 100  # sizes below: a segment a shingle; exact and one-deletion
 BITS = 16
 PARITIES = 1024
@@ -70,8 +68,8 @@ def band(k: int, percent: int = PERCENT) -> Band:
     if high < SINGLE:
         return Band(k, low, high, 1 << 12, False)
     if high < DELETE:
-        return Band(k, low, high, differ + 1, True)
-    return Band(k, low, high, int(1.3 * differ + 0.8 * high**0.5) + 1, False)
+        return Band(k, low, high, differ + 3, True)
+    return Band(k, low, high, int(1.3 * differ + 1.8 * high**0.5) + 1, False)
 
 
 def band_of(n: int, percent: int = PERCENT) -> Band:
@@ -179,9 +177,12 @@ def _sets(text: str):
     return run
 
 
-def _few(df: DataFrame, n: int) -> DataFrame:
-    """``df``, sent to all executors where its ``n`` rows are within the bound."""
-    return F.broadcast(df) if n <= BROADCAST else df
+def _sets_of(wanted: DataFrame, texts: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows (node, tokens) of the wanted nodes, made anew from the texts of their heads."""
+    ids = heads.join(wanted, "node", "left_semi").select(F.col("head").alias("_head"))
+    rows = likely(texts, F.col("_id"), ids, F.col("_head")).select("_text")
+    sets = rows.mapInArrow(_sets("_text"), "node long, tokens array<long>").join(wanted, "node", "left_semi")
+    return sets.dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
@@ -191,31 +192,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, heads: DataFrame, percent: int
     may = (100 + percent) * _apart("a", "b") <= (F.col("an") + F.col("bn")) * (100 - percent)
     pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b"))
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    n = wanted.count()
-    ids = heads.join(_few(wanted, n), "node", "left_semi").select(F.col("head").alias("_head")).distinct()
-    rows = texts.join(_few(ids, n), F.col("_id").eqNullSafe(F.col("_head")), "left_semi").select("_text")
-    sets = rows.mapInArrow(_sets("_text"), "node long, tokens array<long>").join(_few(wanted, n), "node", "left_semi")
-    sets = cut(sets.dropDuplicates(["node"]))
+    sets = cut(_sets_of(wanted, texts, heads))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_tokens"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     union = F.size("a_tokens") + F.size("b_tokens") - shared
-    return cut(both.where(100 * shared >= percent * union).select("a", "b"))
+    found = cut(both.where(100 * shared >= percent * union).select("a", "b"))
+    drop(pairs, wanted, sets)
+    return found
 
 
 def _band(sig: str = "sig"):
     return F.shiftright(sig, BITS).bitwiseAND(F.lit(63))
 
 
-def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(rows, edges): rows (_id, node, n_shingles) of every document, and verified edges (a, b) that
-    connect exactly the nodes that links connect."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def nodes(docs: DataFrame, key: str, text: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, rows, heads): texts (_id, _text); rows (_id, node, n_shingles, ...) of every document; heads, a row a node."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"))
     rows = cut(texts.mapInArrow(_nodes("_text", percent), f"_id {dict(texts.dtypes)['_id']}, node long, n_shingles long, spare int, spare_below int, {', '.join(f'{w} long' for w in _WORDS)}"))
-    heads = cut(rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("head"), F.max("n_shingles").alias("n"), F.max("spare").alias("spare"), F.max("spare_below").alias("spare_below"), *[F.max(w).alias(w) for w in _WORDS]))
+    heads = rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("head"), F.max("n_shingles").alias("n"), F.max("spare").alias("spare"), F.max("spare_below").alias("spare_below"), *[F.max(w).alias(w) for w in _WORDS])
+    return texts, rows, cut(heads)
 
+
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(rows, edges): rows (_id, node, n_shingles) of every document, and verified edges (a, b) that
+    connect exactly the nodes that links connect."""
+    texts, rows, heads = nodes(docs, key, text, percent)
     signed = texts.select("_text").mapInArrow(_signed("_text", percent), "sig long, node long")
     w = Window.partitionBy("sig")
     counted = signed.withColumns({"least": F.min("node").over(w), "most": F.max("node").over(w), "count": F.count("*").over(w)})
@@ -233,7 +236,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     used = cut(ranked.select("node", "n", F.explode("sigs").alias("sig"), (~F.col("left_out")).alias("probe")))
 
     # the members of a group with one of them
-    groups = used.groupBy("sig").agg(F.min("node").alias("centre"), F.max("probe").alias("any"), F.max(F.when(F.col("probe"), F.col("node"))).alias("m"), F.min_by("probe", "node").alias("centre_probe")).where("any")
+    groups = used.groupBy("sig").agg(F.min("node").alias("centre"), F.max("probe").alias("any"), F.min_by("probe", "node").alias("centre_probe")).where("any")
     star = used.join(groups, "sig").where("node != centre and (probe or centre_probe)").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     edges = _verified(star, texts, heads, percent)
 
@@ -246,22 +249,30 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     fits = (F.col("p.component") != F.col("q.component")) & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")) & (F.col("p.node") != F.col("p.centre")) & (F.col("q.node") != F.col("q.centre")) & may
     rest = p.join(q, (F.col("p.sig") == F.col("q.sig")) & fits).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
     edges = edges.unionByName(_verified(rest, texts, heads, percent))
+    drop(hits, used, apart, classes)
 
-    # sets whose shingles fill too few segments (hardly any): compared by their shingles
-    short = heads.where("spare < 0 or spare_below < 0")
+    # sets whose shingles fill too few segments (hardly any): their rarest shingles by hash meet those of the others
+    short = heads.where("spare < 0 or spare_below < 0").select("node", "n")
     if not short.isEmpty():
-        edges = edges.unionByName(_by_tokens(texts, heads, short, percent))
+        edges = edges.unionByName(_verified(_by_prefix(texts, heads, short, percent), texts, heads, percent))
     return rows, edges
 
 
-def _by_tokens(texts: DataFrame, heads: DataFrame, short: DataFrame, percent: int) -> DataFrame:
-    """Links of the few sets of ``short`` with any other, counted by shared shingle."""
-    sizes = heads.select("node", "n")
-    tokens = texts.select("_text").mapInArrow(_sets("_text"), "node long, tokens array<long>").dropDuplicates(["node"])
-    ours = tokens.join(short.select("node"), "node").select(F.col("node").alias("a"), F.explode("tokens").alias("t"))
-    shared = ours.join(tokens.select(F.col("node").alias("b"), F.explode("tokens").alias("t")), "t").where("a != b").groupBy("a", "b").agg(F.count("*").alias("k"))
-    sized = shared.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    return cut(sized.where(100 * F.col("k") >= percent * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b"))
+def _by_prefix(texts: DataFrame, heads: DataFrame, short: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of the few sets of ``short`` with any other: linked sets share one of
+    their least n - ceil(n * percent / 100) + 1 shingles. Only sets of a like size, and of them only
+    shingles that may be a short set's, are shuffled."""
+    least = lambda n: F.expr(f"slice(tokens, 1, cast({n} - ceil({n} * {percent} / 100.0) + 1 as int))")
+    head = _sets_of(short.select("node"), texts, heads).join(short, "node")
+    ours = cut(head.select(F.col("node").alias("a"), F.col("n").alias("an"), F.explode(least("n")).alias("t")))
+    # sizes as bands: a partner is in the band of a short set or beside it
+    bands = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
+    near = short.select(F.explode(F.array(bands - 2, bands - 1, bands, bands + 1, bands + 2)).alias("_size")).distinct()
+    alike = heads.withColumn("_size", bands).join(near, "_size", "left_semi").select("node", "n", "head")
+    others = _sets_of(alike.select("node"), texts, heads).join(alike.select("node", "n"), "node").select(F.col("node").alias("b"), F.col("n").alias("bn"), F.explode(least("n")).alias("t"))
+    some = likely(others, F.col("t"), ours, F.col("t"))
+    pairs = ours.join(some, "t").where((F.col("a") != F.col("b")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")))
+    return pairs.select("a", "b")
 
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -274,7 +285,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     least = named.groupBy("component").agg(F.min("head").alias("component_id"), F.sum("copies").alias("members"))
     # only nodes that share their component with another row need a look-up
     shared = cut(named.select("node", "component").join(least.where("members > 1"), "component").select("node", "component_id"))
-    found = rows.select("_id", "node", "n_shingles").join(_few(shared, shared.count()), "node", "left")
+    found = rows.select("_id", "node", "n_shingles").join(shared, "node", "left")
     return found.select(F.col("_id").alias(key), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
 
 
@@ -282,7 +293,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     """``docs`` without the documents that are linked, over any links, with one of smaller id."""
     classes = jaccard_classes(docs, key, text, percent)
     gone = cut(classes.where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct())
-    return docs.join(_few(gone, gone.count()), docs[key] == F.col("_gone"), "left_anti")
+    return look_up(docs, docs[key], gone.where("_gone is not null"), "_gone").where("_gone is null").drop("_gone")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
