@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tickloom.llm import chat, decontaminate, fingerprints, langid, pieces, secrets, token_records, warc
@@ -96,6 +97,77 @@ def test_reparameterised_questions(spark):
     assert decontaminate.matches(d, b.limit(0)).count() == 0 and decontaminate.matches(d.limit(0), b).count() == 0
 
 
+def plain_template(text):
+    text = re.sub("[\x01\x02]", " ", text or "")
+    text = regex.sub(decontaminate.NAME, "@\x01\\1\x02", text).replace("\x02 @\x01", "_").replace("\x02", " ")
+    text = regex.sub(decontaminate.NUMBER, lambda m: f" #\x01{m[2]} ~\x01{m[1] or ''}{m[3] or ''} ", text)
+    return regex.findall(decontaminate.TOKEN, text.lower())
+
+
+def plain_matches(docs_, items):
+    """(document, item) by comparing every window of every pair at every offset."""
+    out = set()
+    for i, item in items.items():
+        want = plain_template(item)
+        size = min(len(want), decontaminate.WINDOW)
+        windows_ = lambda ws: [ws[k : k + size] for k in range(len(ws) - size + 1)] if size else []
+        own = windows_(want)
+        bare = lambda ws: tuple(w.partition("\x01")[0] for w in ws)
+        for d, text in docs_.items():
+            found, have = set(), windows_(plain_template(text))
+            at: dict = {}
+            for p, w in enumerate(have):
+                at.setdefault(bare(w), []).append(p)
+            runs: dict = {}
+            for q, w in enumerate(own):
+                for p in at.get(bare(w), ()):
+                    values = lambda ws: [x.partition("\x01")[2] for x in ws if "\x01" in x]
+                    qs, pairs = runs.setdefault(p - q, (set(), set()))
+                    qs.add(q)
+                    pairs.update(zip(values(w), values(have[p]), strict=True))
+            for qs, pairs in runs.values():
+                if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+                    found |= qs
+            if own and len(found) >= decontaminate.SHARE * len(own):
+                out.add((d, i))
+    return out
+
+
+def test_templates_by_a_plain_matcher(spark, sf, docs):
+    """Every document of the smallest table, and re-parameterised items in some of them, against plain comparison."""
+    rng = np.random.default_rng(8)
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    items |= {100 + k: ITEM.replace("Anna", name).replace("120", str(120 + k)) for k, name in enumerate(["Anna", "Anna Lee", "Per Olof Berg"])}
+    some = dict(list(docs.items())[:60])
+    hidden = {}
+    for k, (i, item) in enumerate(items.items()):
+        numbers = {n: str(10_000 + 7 * j) for j, n in enumerate(dict.fromkeys(re.findall("[0-9]+", item or "")))}
+        other = re.sub("[0-9]+", lambda m: numbers[m[0]], item or "").replace("Paris", "Oslo Town").replace("Rome", "Bern")
+        words = (docs[int(rng.choice(list(docs)))] or "").split()
+        some[9000 + k] = " ".join([*words[:40], other, *words[40:80]])
+        hidden[9000 + k] = i
+    d = spark.createDataFrame([(k, t, 0, "x", "y") for k, t in some.items()], "doc_id long, text string, _key int, _item string, _leaked string")
+    b = spark.createDataFrame([(*x, 1) for x in items.items()], "item_id long, text string, _words int")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(d, b).collect()}
+    assert got == plain_matches(some, items)
+    assert np.mean([(k, i) in got for k, i in hidden.items() if items[i]]) >= 0.9
+    assert decontaminate.decontaminate(d, b).columns == d.columns
+
+
+def test_long_lists_of_numbers(spark):
+    b = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    d = spark.createDataFrame([(1, "1," * 500_000 + " " + ITEM), (2, "1." * 100_000), (3, "A" * 100_000 + " Bc" * 100_000)], "doc_id long, text string")
+    assert {r.doc_id for r in decontaminate.matches(d, b).collect()} == {1}
+
+
+def test_two_values_of_an_item_are_two_in_the_document(spark):
+    item = "if 12 birds and 15 cats and 12 dogs live in one house with 15 mice then how many live there"
+    texts = ["12", "15"], ["3", "4"], ["3", "3"]
+    rows = [(k, item.replace("12", "A").replace("15", "B").replace("A", a).replace("B", b)) for k, (a, b) in enumerate(texts)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.matches(d, b).collect()} == {0, 1}
+
+
 def test_planted_passages_are_found(spark, sf, docs):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     got = {r.doc_id: set(r.item_ids) for r in decontaminate.op4_decontaminate(spark, sf).collect()}

@@ -1,22 +1,23 @@
 """Operator 4: benchmark decontamination by template canonicalisation.
 
-Texts become templates: a number with its unit, and a capitalised word inside a
-sentence, are replaced by typed placeholders that keep the value beside them;
-other words are lowered. Five-word windows of the templates (fewer words are one
-window) are hash-joined with the benchmark's. For each document, item and offset
-between the two, the values in the matched windows must be consistent: a value of
-the item stands for one value of the document throughout, as where a question's
-numbers and names were exchanged. A document is contaminated by an item when the
-item's windows matched at consistent offsets are ``SHARE`` of all its windows.
-
-DataFrame functions only. The benchmark's windows are broadcast where their
-counted number is within ``BROADCAST`` rows and joined by hash beyond it; only
-(id, place, hash) rows take part, and what is gathered afterwards are matches.
+Texts become templates: a number with its unit, and a run of capitalised words
+inside a sentence, are replaced by typed placeholders that keep the value beside
+them; other words are lowered. Five-word windows of the templates (fewer words are
+one window) are hash-joined with the benchmark's. For each document, item and
+offset between the two, the values in the matched windows must be consistent: a
+value of the item stands for one value of the document throughout and the other
+way round, as where a question's numbers and names were exchanged. A document is
+contaminated by an item when the item's windows matched at consistent offsets are
+``SHARE`` of all its windows.
+
+DataFrame functions only, one plan at every size: a map of bounded size of the
+benchmark's window hashes goes to all executors, and only windows that it lets
+through are shuffled and joined.
 
 Defined results: null and empty texts have no windows; items without words are
 ignored; windows of a repeated item or a repeated passage all count; rows with one
 id are one document; a null id is an id; an empty table on either side gives no
-matches; extra columns are kept by ``decontaminate`` and don't take part.
+matches; extra columns, of whatever name, are kept by ``decontaminate`` and don't take part.
 """
 
 from __future__ import annotations
@@ -24,23 +25,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import cut, let
+from tickloom.llm.shared import cut, let, likely, without
 
 WINDOW, SHARE = 5, 0.75
-BROADCAST = 500_000
 #: Units that belong to a number.
 UNITS = ("km", "cm", "mm", "m", "kg", "mg", "g", "lb", "lbs", "oz", "km/h", "mph", "l", "ml", "%", "percent", "h", "hours", "hour", "min", "minutes", "s", "seconds", "days", "years", "dollars", "euros", "€", "$", "£", "°C", "°F")
-NAME = r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])"
-NUMBER = r"(?<![\p{L}\p{N}])([$€£]?)([0-9]+(?:[.,][0-9]+)*)\x20?((?:%s)(?![\p{L}\p{N}]))?(?![\p{N}])" % "|".join(u.replace("$", r"\$").replace("°", "°") for u in sorted(UNITS, key=len, reverse=True))
+NAME = r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}++)(?![\p{L}\p{N}])"
+# possessive: a list of a million numbers is one match without a stack
+NUMBER = r"(?<![\p{L}\p{N}])([$€£]?)([0-9]++(?:[.,][0-9]++)*+)\x20?((?:%s)(?![\p{L}\p{N}]))?(?![\p{N}])" % "|".join(u.replace("$", r"\$").replace("°", "°") for u in sorted(UNITS, key=len, reverse=True))
 #: Placeholders hold their value behind this sign.
 HOLDS = "\u0001"
+#: Ends a name while names beside each other are not joined yet.
+ENDS = "\u0002"
 TOKEN = rf"[@#~]{HOLDS}[^\s]*|[\p{{L}}\p{{N}}]+"
 
 
 def template(text: Column) -> Column:
     """Words of a text, with placeholders: ``@`` name, ``#`` number, ``~`` unit, each with its value."""
-    clean = F.replace(F.coalesce(text, F.lit("")), F.lit(HOLDS), F.lit(" "))
-    named = F.regexp_replace(clean, NAME, f"@{HOLDS}$1")
+    clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), HOLDS + ENDS, "  ")
+    marked = F.regexp_replace(clean, NAME, f"@{HOLDS}$1{ENDS}")
+    named = F.replace(F.replace(marked, F.lit(f"{ENDS} @{HOLDS}"), F.lit("_")), F.lit(ENDS), F.lit(" "))
     counted = F.when(named.rlike("[0-9]"), F.regexp_replace(named, NUMBER, f" #{HOLDS}$2 ~{HOLDS}$1$3 ")).otherwise(named)
     return F.regexp_extract_all(F.lower(counted), F.lit(TOKEN), F.lit(0))
 
@@ -76,23 +80,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     items = cut(by_size.select("_item", F.col("w.hash").alias("hash"), F.col("w.place").alias("q"), F.coalesce("w.slots", F.lit("")).alias("item_slots")))
     n_windows = items.groupBy("_item").agg(F.count_distinct("q").alias("n_windows"))
     placed = docs.select(F.col(key).alias("_key"), F.explode(windows(template(F.col(text)), sizes)).alias("w")).select("_key", F.col("w.hash").alias("hash"), F.col("w.place").alias("p"), F.col("w.slots").alias("doc_slots"))
-    # counted, then sent to all or joined by hash
-    small = items.count() <= BROADCAST
-    hits = placed.join(F.broadcast(items) if small else items, "hash")
+    hits = likely(placed, F.col("hash"), items, F.col("hash")).join(items.hint("merge"), "hash")
     split = lambda c: F.split(c, HOLDS)
     pairs = F.when(F.col("item_slots") == "", F.array().cast("array<struct<a:string,b:string>>")).otherwise(F.zip_with(split(F.col("item_slots")), split(F.coalesce("doc_slots", F.lit(""))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     runs = hits.groupBy("_key", "_item", (F.col("p") - F.col("q")).alias("offset")).agg(F.collect_set("q").alias("qs"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    consistent = F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"]))) == F.size("pairs")
+    one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda x: x[side]))) == F.size("pairs")
+    consistent = one("a") & one("b")
     found = runs.where(consistent).select("_key", "_item", F.explode("qs").alias("q")).groupBy("_key", "_item").agg(F.count_distinct("q").alias("n"))
-    rated = found.join(F.broadcast(n_windows) if small else n_windows, "_item").withColumn("found", F.col("n") / F.col("n_windows"))
+    rated = found.join(n_windows, "_item").withColumn("found", F.col("n") / F.col("n_windows"))
     return rated.where(F.col("found") >= share).select(F.col("_key").alias(key), F.col("_item").alias(item), "found")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **names) -> DataFrame:
     """``docs`` without the contaminated documents; all other rows and columns stay as they are."""
-    leaked = cut(matches(docs, benchmark, key, **names).select(F.col(key).alias("_leaked")).distinct())
-    side = F.broadcast(leaked) if leaked.count() <= BROADCAST else leaked
-    return docs.join(side, docs[key].eqNullSafe(F.col("_leaked")), "left_anti")
+    return without(docs, key, cut(matches(docs, benchmark, key, **names).select(key).distinct()), key)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

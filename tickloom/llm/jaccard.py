@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.graph import components
-from tickloom.llm.shared import cut, drop, likely, look_up, small_batches
+from tickloom.llm.shared import cut, drop, likely, small_batches, without
 from tickloom.llm.shingles import U, mix, pieces, set_hash, shingles
 
 WORDS, PERCENT = 5, 75
@@ -292,8 +292,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents that are linked, over any links, with one of smaller id."""
     classes = jaccard_classes(docs, key, text, percent)
-    gone = cut(classes.where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct())
-    return look_up(docs, docs[key], gone.where("_gone is not null"), "_gone").where("_gone is null").drop("_gone")
+    gone = cut(classes.where(F.col("component_id") != F.col(key)).select(key).distinct())
+    return without(docs, key, gone, key)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

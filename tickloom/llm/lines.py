@@ -22,7 +22,7 @@ by a 63-bit hash.
 Defined results: null and empty texts have no lines; a blank line (white space
 alone) always stays; rows that share an id count as one document and keep alike; null ids come
 first; a document whose every line of ink is dropped goes, one that had none stays; an empty
-table gives no rows; other columns are kept as they are, n_chars is counted anew.
+table gives no rows; other columns are kept as they are but for those named like the results, n_chars is counted anew.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import cut, drop, let, likely, look_up
+from tickloom.llm.shared import cut, drop, free, let, likely, look_up
 
 EDITS, LEAST = 2, 20
 #: Lines of at least this share of all are sent to all executors: 20,000 rows of 16 bytes at most.
@@ -210,12 +210,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     rows = lines(docs, key, text).withColumn("spot", _spot()).select("doc", "place", "line_id", "spot")
     some = likely(rows, F.col("line_id"), gone, F.col("line_id"))
     out = some.join(gone.hint("merge"), "line_id").where(F.col("stays").isNull() | (F.col("stays") != F.col("spot")))
-    places = cut(out.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("place").alias("_places")))
-    found = look_up(docs, docs[key], places, "_doc").drop("_doc")
+    own, at = free(docs, "_doc"), free(docs, "_places")
+    places = cut(out.groupBy(F.col("doc").alias(own)).agg(F.collect_set("place").alias(at)))
+    found = look_up(docs, docs[key], places, own).drop(own)
     every = F.split(F.col(text), "\n", -1)
-    kept = F.when(F.col("_places").isNull(), F.col(text)).otherwise(F.array_join(F.filter(every, lambda x, i: ~F.array_contains("_places", i)), "\n"))
-    counts = {"_lines": F.when(F.col(text).isNull() | (F.col(text) == ""), 0).otherwise(F.size(every)).cast("long"), "_dropped": F.coalesce(F.size("_places"), F.lit(0)).cast("long")}
-    return found.withColumns(counts).withColumn("_kept", kept).drop(text, "_places").withColumnRenamed("_kept", text)
+    kept = F.when(F.col(at).isNull(), F.col(text)).otherwise(F.array_join(F.filter(every, lambda x, i: ~F.array_contains(at, i)), "\n"))
+    counts = {"_lines": F.when(F.col(text).isNull() | (F.col(text) == ""), 0).otherwise(F.size(every)).cast("long"), "_dropped": F.coalesce(F.size(at), F.lit(0)).cast("long")}
+    return found.withColumns({**counts, text: kept}).drop(at)
 
 
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:

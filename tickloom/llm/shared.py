@@ -56,25 +56,35 @@ def drop(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _flagged(df: DataFrame, key: Column, ids: DataFrame, id_: Column) -> DataFrame:
-    """``df`` with ``_map_may``: false where ``key`` is surely none of ``ids``.
+def free(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _flagged(df: DataFrame, key: Column, ids: DataFrame, id_: Column) -> tuple[DataFrame, str]:
+    """``df`` with a column, and its name: false where ``key`` is surely none of ``ids``.
 
     The hashed ids go to all executors as a map of ``MAP_BITS`` bits, a table of bounded size. The more
     ids there are, the more rows may match by chance: the exact join behind it gets them too.
     """
+    at, bits, flag = free(df, "_map_word"), free(df, "_map_bits"), free(df, "_map_may")
     word = lambda h: F.shiftrightunsigned(h, 64 - MAP_BITS + 6)
     bit = lambda h: F.shiftrightunsigned(h, 64 - MAP_BITS).bitwiseAND(F.lit(63)).cast("int")
     h = F.xxhash64(id_)
-    marks = ids.groupBy(word(h).alias("_map_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(h))).alias("_map_bits"))
+    marks = ids.groupBy(word(h).alias(at)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(h))).alias(bits))
     h = F.xxhash64(key)
-    held = df.join(F.broadcast(marks), word(h) == F.col("_map_word"), "left")
-    may = F.call_function("shiftrightunsigned", F.coalesce("_map_bits", F.lit(0).cast("long")), bit(h)).bitwiseAND(F.lit(1)) == 1
-    return held.withColumn("_map_may", may).drop("_map_word", "_map_bits")
+    held = df.join(F.broadcast(marks), word(h) == F.col(at), "left")
+    may = F.call_function("shiftrightunsigned", F.coalesce(bits, F.lit(0).cast("long")), bit(h)).bitwiseAND(F.lit(1)) == 1
+    return held.withColumn(flag, may).drop(at, bits), flag
 
 
 def likely(df: DataFrame, key: Column, ids: DataFrame, id_: Column) -> DataFrame:
     """Rows of ``df`` whose ``key`` is one of ``ids``, and few others, without a shuffle of ``df``."""
-    return _flagged(df, key, ids, id_).where("_map_may").drop("_map_may")
+    flagged, flag = _flagged(df, key, ids, id_)
+    return flagged.where(flag).drop(flag)
 
 
 def look_up(df: DataFrame, key: Column, side: DataFrame, side_key: str) -> DataFrame:
@@ -82,9 +92,18 @@ def look_up(df: DataFrame, key: Column, side: DataFrame, side_key: str) -> DataF
 
     Only rows that likely have a partner are shuffled. ``side``'s columns are null where there is none.
     """
-    flagged = _flagged(df, key, side, F.col(side_key))
-    found = flagged.where("_map_may").join(side.hint("merge"), key.eqNullSafe(F.col(side_key)), "left")
-    return found.unionByName(flagged.where("not _map_may"), allowMissingColumns=True).drop("_map_may")
+    flagged, flag = _flagged(df, key, side, F.col(side_key))
+    found = flagged.where(flag).join(side.hint("merge"), key.eqNullSafe(F.col(side_key)), "left")
+    return found.unionByName(flagged.where(~F.col(flag)), allowMissingColumns=True).drop(flag)
+
+
+def without(df: DataFrame, key: str, ids: DataFrame, id_: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is none of ``ids`` (null-safe); only rows that may be are shuffled."""
+    own = free(df, "_gone")
+    gone = ids.select(F.col(id_).alias(own))
+    flagged, flag = _flagged(df, df[key], gone, F.col(own))
+    kept = flagged.where(flag).join(gone.hint("merge"), df[key].eqNullSafe(F.col(own)), "left_anti")
+    return kept.unionByName(flagged.where(~F.col(flag))).drop(flag)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
