@@ -190,6 +190,39 @@ def test_records_hold_the_library_s_ids(spark, sf, docs):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_records.op5_token_records(spark, sf).collect()} == want
 
 
+def test_ids_of_any_sign():
+    """Every code point below U+3100 alone and between letters, and random mixtures, against the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, enc, rng = Tokenizer.from_file(path), token_records.Encoder(path), np.random.default_rng(4)
+    signs = [chr(c) for c in range(0x3100)]
+    common = list("abcXYZ019 .,\n\t-_'\"") + ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u2028", "\u0130", "\U0001f600"]
+    texts = [*signs, *(f"ab{c}cd {c}. {c}" for c in signs), *("".join(rng.choice(common, rng.integers(1, 40))) for _ in range(4000))]
+    texts += ["".join(rng.choice([*common, *rng.choice(signs, 20)], 30)) for _ in range(2000)]
+    for text, made in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(made, enc.kind).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_records_of_any_rows(spark, tmp_path):
+    """Null, empty, long and repeated rows over several files a range, and random reads by the index; an empty table."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = odd(spark, "shard")
+    table = token_records.write_records(df, f"{tmp_path}/r", path, 1, shards=2, file_bytes=1000)
+    assert table.agg(F.sum("n_records")).first()[0] == len(ODD) and table.count() >= 2
+    rows = token_records.read_records(spark, f"{tmp_path}/r").collect()
+    enc = token_records.Encoder(path)
+    size = lambda t: len(enc.encode([t or ""])[0]) // 2 + 1
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in rows) == sorted((-1 if k is None else k, size(t)) for k, t in ODD)
+    first = next(r for r in table.collect() if r.n_records)
+    assert token_records.read_at(f"{tmp_path}/r/shard-{first.shard:06d}-{first.file:04d}.records", first.n_records - 1)
+    token_records.write_records(df.limit(0), f"{tmp_path}/none", path, 1)
+    assert token_records.read_records(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_records_tell_damage():
     framed = b"".join(token_records.frames([b"", b"abc", b"x" * 5000]))
     assert token_records.unframe(framed) == [b"", b"abc", b"x" * 5000]

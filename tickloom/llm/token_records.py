@@ -1,13 +1,13 @@
 """Operator 5: token ids in length-delimited binary records.
 
 Texts are encoded, dealt out in ascending id order by ranges of the id, and each
-range is written as one file of framed records:
+range is written as a file of framed records, or several of about ``FILE_BYTES``:
 
     uint64 length | uint32 masked CRC-32C of the length | payload | uint32 masked CRC-32C of the payload
 
 (all little-endian; the public record framing of TensorFlow). A payload is the
 signed 64-bit id and then the token ids as unsigned 16-bit integers, or 32-bit ones
-where the vocabulary is larger. Beside ``shard-N.records`` lies ``shard-N.index``:
+where the vocabulary is larger. Beside ``shard-N-K.records`` lies ``shard-N-K.index``:
 an unsigned 64-bit offset per record, so that a reader may take records in any
 order with one seek each.
 
@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.shared import new_folder, parts, small_batches
 
 NULL_ID = -(2**63)
+#: Text of so many bytes goes in a range of ids, as a mean; a file that grows past ``FILE_BYTES`` is followed by another.
+RANGE_BYTES, FILE_BYTES = 128 << 20, 256 << 20
 CHUNK = 1024
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -142,6 +144,7 @@ def read_at(path: str, k: int) -> bytes:
 def filesystem(path: str):
     from pyarrow import fs
 
+    path = re.sub(r"^s3[an]://", "s3://", path)
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -161,8 +164,10 @@ class Encoder:
 
     #: Words remembered at most (some 150 MB); then the memory starts anew.
     MOST = 1_000_000
-    #: A stop or comma behind another sign belongs to that sign's run.
-    RUN = re.compile(r"(?:[^\w\s]|[_\u0130])[.,](?=\s|$)")
+    #: A stop or comma behind another sign, or a letter that normalisation may part, belongs to that sign's run.
+    RUN = re.compile(r"(?:[^\w\s]|[_\u0130]|[^\x00-\u02ff])[.,](?=\s|$)")
+    #: Signs that Python takes for white space and the library doesn't; words of a text that has them.
+    SEPARATORS, WORD = re.compile("[\x1c-\x1f]"), re.compile(r"(?:\S|[\x1c-\x1f])+")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -197,6 +202,8 @@ class Encoder:
             self.known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=False))
 
     def words(self, text: str) -> list[str]:
+        if self.SEPARATORS.search(text):
+            return self.WORD.findall(text)
         if self.RUN.search(text) is None:
             for sign in ".,":
                 for space in " \n":
@@ -236,16 +243,19 @@ def _pieces(pdf: pd.DataFrame, chars: int = 1_500_000) -> Iterator[pd.DataFrame]
             yield part
 
 
-def _write(folder: str, vocabulary: str, end_id: int):
+def _write(folder: str, vocabulary: str, end_id: int, most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, own = filesystem(folder)
         shard, tag = TaskContext.get().partitionId(), uuid.uuid4().hex
-        name, tmp = f"{own}/shard-{shard:06d}", f"{own}/_attempt-{shard:06d}-{tag}"
-        enc, offsets, at, tokens = encoder(vocabulary), [], 0, 0
+        enc = encoder(vocabulary)
         end = np.array([end_id], enc.kind).tobytes()
-        with fs.open_output_stream(tmp + ".records") as out:
-            for pdf in batches:
-                for part in _pieces(pdf):
+        parts = (part for pdf in batches for part in _pieces(pdf))
+        following, part = 0, next(parts, None)
+        while part is not None or not following:
+            name, tmp = f"{own}/shard-{shard:06d}-{following:04d}", f"{own}/_attempt-{shard:06d}-{following:04d}-{tag}"
+            offsets, at, tokens = [], 0, 0
+            with fs.open_output_stream(tmp + ".records") as out:
+                while part is not None and at < most:
                     ids = enc.encode(part["text"].fillna("").tolist())
                     keys = part["id"].fillna(NULL_ID).astype("int64")
                     payloads = [struct.pack("<q", k) + x + end for k, x in zip(keys, ids, strict=True)]
@@ -254,26 +264,29 @@ def _write(folder: str, vocabulary: str, end_id: int):
                     at += sum(map(len, framed))
                     tokens += sum(len(p) - 8 for p in payloads) // len(end)
                     out.write(b"".join(framed))
-        with fs.open_output_stream(tmp + ".index") as out:
-            out.write(np.array(offsets, "<u8").tobytes())
-        for kind in (".index", ".records"):
-            fs.move(tmp + kind, name + kind)
-        yield pd.DataFrame({"shard": [shard], "n_records": [len(offsets)], "n_tokens": [tokens], "n_bytes": [at]})
+                    part = next(parts, None)
+            with fs.open_output_stream(tmp + ".index") as out:
+                out.write(np.array(offsets, "<u8").tobytes())
+            for kind in (".index", ".records"):
+                fs.move(tmp + kind, name + kind)
+            yield pd.DataFrame({"shard": [shard], "file": [following], "n_records": [len(offsets)], "n_tokens": [tokens], "n_bytes": [at]})
+            following += 1
 
     return run
 
 
-def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
-    """Writes the files; returns a row per shard: shard, n_records, n_tokens, n_bytes (a written table)."""
+def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text", shards: int | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes the files; returns a row per file: shard, file, n_records, n_tokens, n_bytes (a written table)."""
     spark = docs.sparkSession
     small_batches(spark)
     fs, own = filesystem(folder)
     fs.create_dir(own, recursive=True)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    # ranges of the id, whatever else the rows hold; about 20,000 records a file at most
-    n = shards or max(parts(spark), -(-rows.count() // 20_000))
+    # ranges of the id, whatever else the rows hold
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = shards or max(parts(spark), -(-size // RANGE_BYTES))
     ordered = rows.repartitionByRange(n, "id").sortWithinPartitions(F.asc_nulls_first("id"), F.asc_nulls_first("text"))
-    made = ordered.mapInPandas(_write(folder, vocabulary, end_id), "shard int, n_records long, n_tokens long, n_bytes long")
+    made = ordered.mapInPandas(_write(folder, vocabulary, end_id, file_bytes), "shard int, file int, n_records long, n_tokens long, n_bytes long")
     made.write.parquet(table := f"{folder}/_shards")
     return spark.read.schema(made.schema).parquet(table)
 
@@ -288,15 +301,16 @@ def _read(kind: str):
                 sums = [zlib.crc32(np.frombuffer(p, kind, offset=8).astype("<u4").tobytes()) for p in payloads]
                 known = pd.array(keys, "Int64")
                 known[keys == NULL_ID] = pd.NA
-                yield pd.DataFrame({"shard": int(path.rpartition("shard-")[2][:6]), "doc_id": known, "before": np.cumsum(n) - n, "n_tokens": n, "ids_crc32": np.array(sums, np.int64)})
+                shard, file = map(int, path.rpartition("shard-")[2].removesuffix(".records").split("-"))
+                yield pd.DataFrame({"shard": shard, "file": file, "doc_id": known, "before": np.cumsum(n) - n, "n_tokens": n, "ids_crc32": np.array(sums, np.int64)})
 
     return run
 
 
 def read_records(spark: SparkSession, folder: str, kind: str = "<u2") -> DataFrame:
-    """A row per record in any order: shard, doc_id, before (ids of the shard before it), n_tokens, ids_crc32."""
+    """A row per record in any order: shard, file, doc_id, before (ids of the file before it), n_tokens, ids_crc32."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.records").load(folder).select("path", "content")
-    return files.mapInPandas(_read(kind), "shard int, doc_id long, before long, n_tokens long, ids_crc32 long")
+    return files.mapInPandas(_read(kind), "shard int, file int, doc_id long, before long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_records(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
@@ -308,5 +322,5 @@ def op5_token_records(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     folder = new_folder(spark, "records")
     shards = write_records(docs, folder, vocabulary, end_id=1)
     # one row a file: the running total of a short table
-    base = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("shard", "base")
-    return read_records(spark, folder).join(base, "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard")
+    base = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("shard", "file", "base")
+    return read_records(spark, folder).join(base, ["shard", "file"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard", "file")
