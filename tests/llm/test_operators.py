@@ -275,6 +275,59 @@ def test_pieces_without_dropout_are_the_model_s(spark, docs):
         assert np.frombuffer(p.encode([t or ""], ["k"])[0], "<u2").tolist() == sp.encode(t or "")
 
 
+def plain_dropout(p, text, key):
+    """Ids by the plainest agenda: look over all pairs of a unit, take the best and leftmost, drop it by its draw or merge it."""
+    row = int.from_bytes(hashlib.blake2b(f"{p.seed}:{key}".encode(), digest_size=8).digest(), "little")
+    mixed = lambda x, k: int(pieces.mix(np.array([x % 2**64], np.uint64), k)[0])
+    out, number = [], 0
+    for k, part in enumerate(text.split(pieces.SPACE)):
+        if k:
+            out += p.bytes_at[list(pieces.SPACE.encode())].tolist()
+            number += 1
+        part = part.replace(" ", pieces.SPACE)
+        for unit in pieces.UNIT.findall(pieces.SPACE + part if k == 0 and text else part):
+            base = mixed(row + number * 0xC2B2AE3D27D4EB4F, 30)
+            sym, dropped, turn = list(unit), set(), 0  # dropped: pairs of the places of two symbols' first and next signs
+            names = {i: n for n, i in p.ids.items()}
+            while True:
+                place = np.cumsum([0, *map(len, sym)]).tolist()
+                found = [(p.by_rank.tolist().index(p.ids[a + b]), i) for i, (a, b) in enumerate(zip(sym, sym[1:], strict=False)) if a + b in p.ids and a in p.ids and b in p.ids and (place[i], place[i + 1], place[i + 2]) not in dropped]
+                if not found:
+                    break
+                rank, i = min(found)
+                turn += 1
+                if mixed(base + (turn - 1) * 0x9E3779B97F4A7C15, 31) >> 32 < p.limit:
+                    dropped.add((place[i], place[i + 1], place[i + 2]))
+                else:
+                    sym[i : i + 2] = [names[int(p.by_rank[rank])]]
+            for x in sym:
+                out += [p.ids[x]] if x in p.ids else p.bytes_at[list(x.encode())].tolist()
+            number += 1
+    return out
+
+
+def test_dropout_is_the_plain_agenda(docs):
+    """Each occurrence of a unit draws on its own, in short units, long ones, and next to a literal mark."""
+    p = pieces.Pieces(pieces.model_path(), 0.3, 5)
+    texts = [*[(t or "")[:60] for t in list(docs.values())[:12]], "the the the the", "a\u2581b \ufdd0\n\ufdd0 \u2581", "understandingly" * 4, "", "\U0001f600 x"]
+    keys = [str(k) for k in range(len(texts))]
+    made = [np.frombuffer(x, p.kind).tolist() for x in p.encode(texts, keys)]
+    assert made == [plain_dropout(p, t, k) for t, k in zip(texts, keys, strict=True)]
+    assert [p.decode(np.array(m)) for m in made] == texts
+    one = p.encode(["wonderfully " * 3000], ["k"])[0]
+    kinds = {p.decode(np.array([i])) for i in np.frombuffer(one, p.kind).tolist()}
+    assert len(kinds) > 20  # one word has many segmentations
+
+
+def test_long_units_take_little_time():
+    import time
+
+    p, began = pieces.Pieces(pieces.model_path()), time.time()
+    text = "".join(np.random.default_rng(3).choice(list("etaoinshr"), 300_000))
+    ids = np.frombuffer(p.encode([text], ["k"])[0], p.kind)
+    assert p.decode(ids) == text and time.time() - began < 60
+
+
 def test_dropout_is_lossless_and_seeded(spark, sf):
     rows = pieces.op9_sentencepiece(spark, sf).collect()
     assert all(r.lossless for r in rows) and len(rows) == 200

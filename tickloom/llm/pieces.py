@@ -2,17 +2,19 @@
 
 Ids come from a public BPE model file. Encoding works the agenda of merges: the
 candidate of the best score (leftmost on ties) is taken from the agenda, and
-dropped where a keyed hash of (seed, variant, word, place, merged piece) falls
-below the dropout rate; a merge puts the pairs with its neighbours on the agenda.
-With dropout 0 the ids are those of the model's own encoder.
+dropped where a keyed hash of (seed, row key, unit number, turn) falls below the
+dropout rate; a merge puts the pairs with its neighbours on the agenda. Turn t is
+the t-th candidate taken. With dropout 0 the ids are those of the model's own encoder.
 
 Merges never cross into a run of spaces or a line end (no piece of the model holds
-a space behind another sign), so a text is encoded unit by unit. Unit number i of
-a row uses variant (i + hash of the row's key) mod ``VARIANTS``: one word has up to
-that many segmentations, the choice is the same each time, and units that a task
-has met before need no work. Units not met yet go through the agenda together, as
-arrays of all units of one length. Signs outside the vocabulary, and a literal
-U+2581, become byte pieces, so decoding gives back every text exactly.
+a space behind another sign), so a text is encoded unit by unit. Every occurrence
+of a unit draws on its own. What a unit becomes depends on its letters and the
+turns that are dropped, so each such case is worked once and remembered: a task
+draws for all units of a batch as arrays, turn by turn, and only cases not met yet
+go through the agenda, as arrays of units of one length. Units longer than ``LONG``
+go through a heap one by one, in time near their length. Signs outside the
+vocabulary, and a literal U+2581, become byte pieces, so decoding gives back every
+text exactly.
 
 Defined results: null text gives null ids and decodes to null; empty text gives no
 ids; rows repeated stay and get equal ids; a null key is the key ""; an empty table
@@ -22,6 +24,7 @@ gives no rows; input columns that are named like the results are replaced.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,9 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm.shared import small_batches
+from tickloom.llm.shingles import mix
 
 SPACE = "\u2581"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
+DROPOUT, SEED = 0.1, 17
+#: Units of more signs are worked by a heap and not remembered.
+LONG = 40
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 FAR = np.int32(2**31 - 1)
 
@@ -44,10 +50,10 @@ FAR = np.int32(2**31 - 1)
 class Pieces:
     """A model's pieces, encoder with merge-dropout, and decoder."""
 
-    #: Units remembered at most, over all variants (some 250 MB); then the memory starts anew.
-    MOST = 1_000_000
+    #: Cases remembered at most (some 300 MB); then the memory starts anew.
+    MOST = 1_500_000
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> None:
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -55,8 +61,9 @@ class Pieces:
         names = sp.id_to_piece(list(range(n)))
         plain = [not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) for i in range(n)]
         ids = {names[i]: i for i in range(n) if plain[i]}
-        self.n, self.ids, self.dropout, self.variants = n, ids, dropout, variants if dropout else 1
-        self.seeds = [int.from_bytes(hashlib.sha256(f"{seed}:{v}".encode()).digest()[:8], "little") for v in range(self.variants)]
+        self.n, self.ids, self.seed = n, ids, seed
+        self.limit = np.uint64(round(dropout * 2**32))
+        self.kind = "<u2" if n <= 1 << 16 else "<u4"
         self.bytes_at = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
         self.shown = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else names[i].replace(SPACE, " ").encode() if plain[i] else b"" for i in range(n)]
         order = sorted(ids.values(), key=lambda i: (-sp.get_score(i), i))
@@ -77,7 +84,18 @@ class Pieces:
         for piece, i in ids.items():
             if len(piece) == 1:
                 self.single[ord(piece)] = i
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # a unit's case without a drop
+        self.child: dict[int, int] = {}  # case << 8 | turn dropped next: case
+        self.unit: list[str] = []
+        self.drops: list[tuple[int, ...]] = []
+        self.out: list[bytes] = []
+        self.turns = np.zeros(1 << 16, np.int32)  # candidates taken, by case
+        self._learn([("", ())])
+        self.known[""] = 0
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the piece that two neighbours make, or FAR."""
@@ -85,104 +103,163 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], FAR)
 
-    def _agenda(self, units: list[str], variant: int) -> list[np.ndarray]:
-        """Ids of units of one length."""
+    def _agenda(self, units: list[str], drops: list[tuple[int, ...]]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of units of one length where the given turns are dropped, and how many turns each took."""
         size, w = len(units[0]), len(units)
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(w, size)
-        sym = self.single[codes]
-        word = np.zeros(w, np.uint64)
-        for k in range(size):
-            word = (word ^ codes[:, k].astype(np.uint64)) * np.uint64(0x100000001B3)
-        word ^= np.uint64(self.seeds[variant])
-        if size > 1:
-            gone = np.zeros((w, size), bool)  # symbols that are part of the one before
-            after = np.tile(np.arange(1, size + 1), (w, 1))  # where the next symbol starts
-            before = np.tile(np.arange(-1, size - 1), (w, 1))
-            best = np.full((w, size), FAR, np.int32)  # rank of a symbol with its next one
-            best[:, :-1] = self._pair(sym[:, :-1], sym[:, 1:])
-            live = np.arange(w)
-            limit = np.uint64(int(self.dropout * 2**32))
-            while len(live):
-                at = best[live].argmin(1)
-                rank = best[live, at]
-                live, at, rank = live[rank != FAR], at[rank != FAR], rank[rank != FAR]
-                if not len(live):
-                    break
-                nxt = after[live, at]
-                end = after[live, nxt]
-                if self.dropout:
-                    h = word[live] + (at.astype(np.uint64) << np.uint64(40)) + (end.astype(np.uint64) << np.uint64(20)) + rank.astype(np.uint64)
-                    h = (h ^ h >> np.uint64(31)) * np.uint64(0x7FB5D329728EA185)
-                    h = (h ^ h >> np.uint64(27)) * np.uint64(0x81DADEF4BC2DD44D)
-                    skip = (h >> np.uint64(32)) < limit
-                    best[live[skip], at[skip]] = FAR
-                    rows, i, j, e, r = live[~skip], at[~skip], nxt[~skip], end[~skip], rank[~skip]
-                else:
-                    rows, i, j, e, r = live, at, nxt, end, rank
-                sym[rows, i] = self.by_rank[r]
-                gone[rows, j] = True
-                best[rows, j] = FAR
-                after[rows, i] = e
-                inner = e < size
-                before[rows[inner], e[inner]] = i[inner]
-                best[rows, i] = FAR
-                best[rows[inner], i[inner]] = self._pair(sym[rows[inner], i[inner]], sym[rows[inner], e[inner]])
-                p = before[rows, i]
-                back = p >= 0
-                best[rows[back], p[back]] = self._pair(sym[rows[back], p[back]], sym[rows[back], i[back]])
-            kept = ~gone
-        else:
-            kept = np.ones((w, size), bool)
-        flat, ends = sym[kept], np.cumsum(kept.sum(1))
-        return np.split(flat, ends[:-1])
+        sym, turns = self.single[codes], np.zeros(w, np.int32)
+        if size < 2:
+            return list(sym), turns
+        skipped = np.zeros((w, 3 * size), bool)
+        if many := [(i, t) for i, ts in enumerate(drops) for t in ts]:
+            skipped[tuple(np.array(many).T)] = True
+        gone = np.zeros((w, size), bool)  # symbols that are part of the one before
+        after = np.tile(np.arange(1, size + 1), (w, 1))  # where the next symbol starts
+        before = np.tile(np.arange(-1, size - 1), (w, 1))
+        best = np.full((w, size), FAR, np.int32)  # rank of a symbol with its next one
+        best[:, :-1] = self._pair(sym[:, :-1], sym[:, 1:])
+        live, turn = np.arange(w), 0
+        while len(live):
+            at = best[live].argmin(1)
+            rank = best[live, at]
+            live, at, rank = live[rank != FAR], at[rank != FAR], rank[rank != FAR]
+            skip = skipped[live, turn] if len(live) else np.zeros(0, bool)
+            turn += 1
+            turns[live] = turn
+            best[live[skip], at[skip]] = FAR
+            rows, i, r = live[~skip], at[~skip], rank[~skip]
+            j = after[rows, i]
+            e = after[rows, j] if len(rows) else j
+            sym[rows, i] = self.by_rank[r]
+            gone[rows, j] = True
+            best[rows, j] = FAR
+            after[rows, i] = e
+            inner = e < size
+            before[rows[inner], e[inner]] = i[inner]
+            best[rows, i] = FAR
+            best[rows[inner], i[inner]] = self._pair(sym[rows[inner], i[inner]], sym[rows[inner], e[inner]])
+            p = before[rows, i]
+            back = p >= 0
+            best[rows[back], p[back]] = self._pair(sym[rows[back], p[back]], sym[rows[back], i[back]])
+        kept = ~gone
+        return np.split(sym[kept], np.cumsum(kept.sum(1))[:-1]), turns
+
+    def _heap(self, unit: str, base: np.uint64) -> np.ndarray:
+        """Ids of one unit of any length."""
+        sym = self.single[np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32)].tolist()
+        n, known = len(sym), self.rank_of
+        dropped = self._drawn(np.full(3 * n, base), np.arange(3 * n, dtype=np.uint64)).tolist()
+        after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
+        agenda = [(r, i, a, b) for i, (a, b) in enumerate(zip(sym, sym[1:], strict=False)) if (r := known.get(a << 32 | b)) is not None]
+        heapq.heapify(agenda)
+        turn = 0
+        while agenda:
+            rank, i, a, b = heapq.heappop(agenda)
+            j = after[i]
+            if gone[i] or sym[i] != a or j >= n or sym[j] != b:
+                continue
+            turn += 1
+            if dropped[turn - 1]:
+                continue
+            sym[i] = int(self.by_rank[rank])
+            gone[j], e = True, after[j]
+            after[i] = e
+            if e < n:
+                before[e] = i
+                if (r := known.get(sym[i] << 32 | sym[e])) is not None:
+                    heapq.heappush(agenda, (r, i, sym[i], sym[e]))
+            if (p := before[i]) >= 0 and (r := known.get(sym[p] << 32 | sym[i])) is not None:
+                heapq.heappush(agenda, (r, p, sym[p], sym[i]))
+        return np.array([x for x, g in zip(sym, gone, strict=True) if not g], np.int64)
 
     def _as_bytes(self, ids: np.ndarray) -> bytes:
         if (ids >= self.n).any():
             parts = [[i] if i < self.n else self.bytes_at[list(chr(i - self.n).encode("utf-8", "surrogatepass"))] for i in ids.tolist()]
             ids = np.concatenate(parts)
-        return ids.astype("<u2").tobytes()
-
-    def learn(self, units: set[str], variant: int) -> None:
-        by_size: dict[int, list[str]] = {}
-        for u in sorted(units):
-            by_size.setdefault(len(u), []).append(u)
+        return ids.astype(self.kind).tobytes()
+
+    def _learn(self, cases: list[tuple[str, tuple[int, ...]]]) -> range:
+        """Works cases of units and dropped turns; their numbers."""
+        first = len(self.out)
+        made: list[bytes] = [b""] * len(cases)
+        while first + len(cases) > len(self.turns):
+            self.turns = np.concatenate([self.turns, np.zeros_like(self.turns)])
+        by_size: dict[int, list[int]] = {}
+        for k, (unit, _) in enumerate(cases):
+            by_size.setdefault(len(unit), []).append(k)
+        by_size.pop(0, None)
         for size, own in by_size.items():
             step = max(1, 400_000 // size)
             for lo in range(0, len(own), step):
                 some = own[lo : lo + step]
-                self.known[variant].update(zip(some, map(self._as_bytes, self._agenda(some, variant)), strict=True))
+                ids, turns = self._agenda([cases[k][0] for k in some], [cases[k][1] for k in some])
+                self.turns[first + np.array(some)] = turns
+                for k, x in zip(some, ids, strict=True):
+                    made[k] = self._as_bytes(x)
+        self.out += made
+        self.unit += [u for u, _ in cases]
+        self.drops += [d for _, d in cases]
+        return range(first, len(self.out))
+
+    def _drawn(self, base: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """Whether a unit drops a turn."""
+        return mix(base + turn * np.uint64(0x9E3779B97F4A7C15), 31) >> np.uint64(32) < self.limit
+
+    def _next_drop(self, base: np.ndarray, turn: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The first turn from ``turn`` on, before ``end``, that a unit drops; else -1."""
+        found, turn = np.full(len(base), -1, np.int64), turn.copy()
+        at = np.flatnonzero(turn < end)
+        while len(at):
+            hit = self._drawn(base[at], turn[at].astype(np.uint64))
+            found[at[hit]] = turn[at[hit]]
+            at = at[~hit]
+            turn[at] += 1
+            at = at[turn[at] < end[at]]
+        return found
+
+    def _children(self, keys: np.ndarray) -> np.ndarray:
+        """Cases that follow where a case drops one more turn; keys are case << 8 | turn."""
+        some, back = np.unique(keys, return_inverse=True)
+        new = [k for k in some.tolist() if k not in self.child]
+        cases = [(self.unit[k >> 8], (*self.drops[k >> 8], k & 255)) for k in new]
+        self.child.update(zip(new, self._learn(cases), strict=True))
+        return np.fromiter(map(self.child.__getitem__, some.tolist()), np.int64, len(some))[back]
 
     def encode(self, texts: list[str], keys: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 16-bit integers."""
-        v, rows = self.variants, []
-        if sum(map(len, self.known)) > self.MOST:
-            self.known = [{} for _ in range(v)]
-        wanted: list[set[str]] = [set() for _ in range(v)]
-        for text, key in zip(texts, keys, strict=True):
-            literal = text.split(SPACE)
-            units: list[str] = []
-            for k, part in enumerate(literal):
+        """Ids of each text as little-endian integers of ``kind``."""
+        if len(self.out) > self.MOST:
+            self._forget()
+        units: list[str] = []
+        ends, fixed = [], {}
+        mark = self.bytes_at[list(SPACE.encode())].astype(self.kind).tobytes()
+        for text in texts:
+            for k, part in enumerate(text.split(SPACE)):
                 if k:
-                    units.append("\ufdd0")  # stands for a literal U+2581 here
+                    fixed[len(units)] = mark  # a literal U+2581
+                    units.append("")
                 part = part.replace(" ", SPACE)
                 units += UNIT.findall(SPACE + part if k == 0 and text else part)
-            turn = zlib.crc32(key.encode()) % v
-            rows.append((units, turn, len(literal) > 1))
-            for k in range(v):
-                wanted[k].update(units[(k - turn) % v :: v])
-        for k in range(v):
-            if new := wanted[k] - self.known[k].keys():
-                self.learn(new, k)
-        mark, out = self.bytes_at[list(SPACE.encode())].astype("<u2").tobytes(), []
-        for units, turn, literal in rows:
-            got: list[bytes] = [b""] * len(units)
-            for k in range(v):
-                s = (k - turn) % v
-                got[s::v] = map(self.known[k].__getitem__, units[s::v])
-            if literal:
-                got = [mark if u == "\ufdd0" else g for u, g in zip(units, got, strict=True)]
-            out.append(b"".join(got))
-        return out
+            ends.append(len(units))
+        counts = np.diff([0, *ends])
+        rows = np.array([int.from_bytes(hashlib.blake2b(f"{self.seed}:{k}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for k in keys], np.uint64)
+        number = np.arange(len(units)) - np.repeat(np.array(ends, np.int64) - counts, counts)
+        base = mix(np.repeat(rows, counts) + number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), 30)
+        for i in np.flatnonzero(np.fromiter(map(len, units), np.int64, len(units)) > LONG).tolist():
+            fixed[i] = self._as_bytes(self._heap(units[i], base[i]))
+            units[i] = ""
+        if new := list(dict.fromkeys(u for u in units if u not in self.known)):
+            self.known.update(zip(new, self._learn([(u, ()) for u in new]), strict=True))
+        case = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        active, turn = np.arange(len(units) if self.limit else 0), np.zeros(len(units), np.int64)
+        while len(active):
+            at = self._next_drop(base[active], turn[active], self.turns[case[active]])
+            active, at = active[at >= 0], at[at >= 0]
+            case[active] = self._children(case[active] << 8 | at)
+            turn[active] = at + 1
+        got = list(map(self.out.__getitem__, case.tolist()))
+        for i, x in fixed.items():
+            got[i] = x
+        return [b"".join(got[end - n : end]) for end, n in zip(ends, counts.tolist(), strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the space that encoding puts in front goes."""
@@ -202,7 +279,7 @@ def pieces(*args) -> Pieces:
 RESULTS = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
 
-def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, digest: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", dropout: float = DROPOUT, seed: int = SEED, digest: bool = False) -> DataFrame:
     """``docs`` with ids; rows don't move.
 
     With ``digest`` the texts and ids are replaced by n_pieces, ids_crc32 (of the ids as
@@ -216,7 +293,7 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     schema = T.StructType([*kept, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(path, dropout, seed, variants)
+        p = pieces(path, dropout, seed)
         for batch in batches:
             size = np.cumsum([0 if n is None else n for n in pc.utf8_length(batch.column(text)).to_pylist()]) // 1_500_000
             cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
@@ -230,11 +307,12 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
         made = p.encode([t or "" for t in texts], keys)
         null = np.array([t is None for t in texts])
         if not digest:
-            ends = np.concatenate([[0], np.cumsum([len(m) // 2 for m in made])]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(made), "<u2").astype(np.int32))
+            ids = [np.frombuffer(m, p.kind) for m in made]
+            ends = np.concatenate([[0], np.cumsum(list(map(len, ids)))]).astype(np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, p.kind), *ids]).astype(np.int32))
             columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.concatenate([null, [False]])), flat)]
         else:
-            ids = [np.frombuffer(m, "<u2") for m in made]
+            ids = [np.frombuffer(m, p.kind) for m in made]
             back = [None if t is None else p.decode(i) for t, i in zip(texts, ids, strict=True)]
             columns = [
                 pa.array([None if t is None else len(i) for t, i in zip(texts, ids, strict=True)], pa.int64()),
