@@ -76,6 +76,14 @@ def test_windows_by_counting(spark):
         assert [[x.start, x.end] for x in r.r] == hot(r.s)
 
 
+def test_long_runs_take_little_time(spark):
+    import time
+
+    began = time.time()
+    rows = secrets.scan(spark.createDataFrame([(1, "x" * 1_000_000), (2, "x" * 30 + " Zx8Qw3Lm9Tr5Vb2Nk7Yp4")], "doc_id long, text string")).collect()
+    assert {r.doc_id: len(r.spans) for r in rows} == {1: 0, 2: 1} and time.time() - began < 60
+
+
 def test_allowed_strings_are_not_told(spark):
     good, bad = "key Zx8Qw3Lm9Tr5Vb2Nk7Yp4 end", "key exampleZx8Qw3Lm9Tr5Vb2Nk7Yp4 end"
     rows = secrets.scan(spark.createDataFrame([(1, good), (2, bad)], "doc_id long, text string")).collect()

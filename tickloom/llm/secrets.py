@@ -114,7 +114,8 @@ def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
         return F.transform(runs, lambda r: F.struct(F.lit("entropy").alias("kind"), F.lit(len(RULES)).alias("rank"), (m["start"] + r["start"]).alias("start"), (m["start"] + r["end"]).alias("end")))
 
     # a candidate without a digit has no hot window, so texts without one are left at once
-    some = text.rlike(r"(?=[A-Za-z0-9+/_=-]{20})[A-Za-z+/_=-]*[0-9]")
+    # (a run of its signs is looked at from its first sign alone, so a long one costs its length)
+    some = text.rlike(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})[A-Za-z+/_=-]*+[0-9]")
     return F.when(some, F.flatten(F.transform(found(text, CANDIDATE, 0), of))).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
