@@ -113,6 +113,23 @@ def test_today_s_purchases_stay_under_t_plus_one(spark):
     assert got == [1, 1, 1, 0, 1, 1]
 
 
+def test_t_plus_one_bar_by_bar(spark):
+    """Random targets over many sessions, long and short, against a loop over bars."""
+    rng, rows, want = np.random.default_rng(6), [], {}
+    for symbol in "ABCDEF":
+        held, entry, bar = 0.0, None, 0
+        for session in range(60):
+            for _ in range(rng.integers(1, 5)):
+                target = float(rng.choice([-1.0, 0.0, 0.0, 0.5, 1.0]))
+                rows.append((symbol, bar, target, session))
+                now = held if held > 0 and entry == session and target < held else target
+                entry = session if held <= 1e-12 < now else entry
+                want[symbol, bar] = held = now
+                bar += 1
+    got = B.execute(spark.createDataFrame(rows, "symbol string, bar_idx int, target double, session int"), t_plus_one=True).collect()
+    assert {(r.symbol, r.bar_idx): r.target for r in got} == want
+
+
 def test_folds_keep_the_gap_and_the_holdout():
     for _, a, b, c, d in M.folds(200, 60, 5, 20, 30):
         assert b - a == 60 and c - b == 5 and d - c == 20 and d <= 170

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,27 +121,34 @@ def portfolio(sim: DataFrame, mode: str = "equal_weight") -> DataFrame:
     return sim.groupBy("bar_idx").agg((F.avg("ret") / n).alias("ret"))
 
 
+#: Fixed value: a position above this is one.
+HELD = 1e-12
+
+
 def execute(scheduled: DataFrame, allow_short: bool = True, cap: float = 1.0, t_plus_one: bool = False, session: str = "session") -> DataFrame:
-    """Targets after the ban on shorts, the cap and T+1 (what was bought in a session isn't sold in it). Positions
-    depend on the one before only under T+1: then one grouped kernel per symbol and session."""
+    """Targets after the ban on shorts, the cap and T+1: in the session in which a position is entered it isn't reduced.
+
+    Under T+1 what a session does depends on the ones before only by whether a position is held at its opening.
+    Both cases are worked by windows, and which one holds follows from the sessions' ends: the last one whose end is
+    the same in both cases, and how many since then turn it round. ``session`` parts a symbol's bars in runs.
+    """
     target = F.least(F.greatest(F.col("target"), F.lit(-cap if allow_short else 0.0)), F.lit(cap))
     rows = scheduled.withColumn("target", target)
     if not t_plus_one:
         return rows
-    last = Window.partitionBy("symbol").orderBy("bar_idx")
-    rows = rows.withColumn("_opening", F.coalesce(F.lag("target").over(last), F.lit(0.0)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_idx")
-        opening = held = float(pdf["_opening"].iloc[0])
-        bought, out = 0.0, []
-        for want in pdf["target"]:
-            least = bought if held > 0 else want  # today's purchases stay
-            now = max(want, least) if want < held else want
-            bought += max(0.0, now - held) if now > 0 else 0.0
-            held = now
-            out.append(held)
-        pdf["target"] = out
-        return pdf.assign(_opening=opening)
-
-    return rows.groupBy("symbol", session).applyInPandas(run, rows.schema).drop("_opening")
+    own = Window.partitionBy("symbol", session).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+    up, low = F.col("target") > HELD, F.col("target") <= HELD
+    # after a held opening, entries count from the first flat bar on
+    rows = rows.withColumn("_flat", F.max(low).over(own) & ~(low & (F.sum(F.when(low, 1).otherwise(0)).over(own) == 1)))
+    entered = lambda free: F.max(free & up).over(own)
+    most = lambda free: F.max(F.when(free, F.col("target"))).over(own)
+    rows = rows.withColumns({"_kept": F.when(entered(F.col("_flat")), most(F.col("_flat"))).otherwise(F.col("target")), "_new": F.when(entered(F.lit(True)), most(F.lit(True))).otherwise(F.col("target"))})
+    ends = rows.groupBy("symbol", session).agg(F.min("bar_idx").alias("_from"), (F.max_by("_kept", "bar_idx") > HELD).alias("_kept_end"), (F.max_by("_new", "bar_idx") > HELD).alias("_new_end"))
+    along = Window.partitionBy("symbol").orderBy("_from")
+    fixed = F.when(F.col("_kept_end") == F.col("_new_end"), F.col("_new_end"))
+    ends = ends.withColumns({"_fixed": fixed, "_run": F.count(fixed).over(along)})
+    turns = F.sum(F.when(F.col("_new_end") & ~F.col("_kept_end"), 1).otherwise(0)).over(Window.partitionBy("symbol", "_run").orderBy("_from"))
+    ends = ends.withColumn("_end", F.coalesce(F.last("_fixed", ignorenulls=True).over(along), F.lit(False)) != (turns % 2 == 1))
+    opening = ends.select("symbol", session, F.coalesce(F.lag("_end").over(along), F.lit(False)).alias("_held"))
+    found = rows.join(opening, ["symbol", session]).withColumn("target", F.when(F.col("_held"), F.col("_kept")).otherwise(F.col("_new")))
+    return found.select(*scheduled.columns)

@@ -88,9 +88,9 @@ def watch_semi(spark, d):
     return table(spark, d, "lineitem").join(o, "l_orderkey", "left_semi").agg(F.count("*").alias("n"))
 
 
-@query("nearest_level", "select o_orderkey, arg_min(p_partkey, (abs(p_retailprice - o_totalprice % 2000), p_partkey)) as level from orders join part on p_size = o_custkey % 50 + 1 where o_orderkey % 10 = 0 group by 1")
+@query("nearest_level", "select o_orderkey, arg_min(p_partkey, (abs(p_retailprice - o_totalprice % 2000), p_partkey)) as level from orders join part on p_size = o_custkey % 50 + 1 group by 1")
 def nearest_level(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", (F.col("o_totalprice") % 2000).alias("x"), (F.col("o_custkey") % 50 + 1).alias("p_size"))
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") % 2000).alias("x"), (F.col("o_custkey") % 50 + 1).alias("p_size"))
     j = o.join(table(spark, d, "part").select(F.col("p_size").cast("long").alias("p_size"), "p_partkey", "p_retailprice"), "p_size")
     return j.groupBy("o_orderkey").agg(F.min_by("p_partkey", F.struct(F.abs(F.col("p_retailprice") - F.col("x")), "p_partkey")).alias("level"))
 

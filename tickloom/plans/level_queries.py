@@ -59,10 +59,10 @@ for _name, _k, _strict in (("fractal_pivots", 2, True), ("fractal_pivots_wide",
         return Q.fractals(bars_from_events(spark, d), k, strict)
 
 
-@query("pivots_visible", f"select symbol, t, count(*) as n, max(price) as top from (select distinct symbol, bar_idx as t from {BE} where bar_idx % 25 = 0) join ({_pivots(2, True)}) p using (symbol) where confirm_idx <= t and bar_idx >= t - 60 group by 1, 2")
+@query("pivots_visible", f"select symbol, t, count(*) as n, max(price) as top from (select distinct symbol, bar_idx as t from {BE}) join ({_pivots(2, True)}) p using (symbol) where confirm_idx <= t and bar_idx >= t - 60 group by 1, 2")
 def pivots_visible(spark, d):
     b = bars_from_events(spark, d)
-    at = b.where("bar_idx % 25 = 0").select("symbol", F.col("bar_idx").alias("t"))
+    at = b.select("symbol", F.col("bar_idx").alias("t"))
     return Q.visible(Q.fractals(b, 2), at, 60).groupBy("symbol", "t").agg(F.count("*").alias("n"), F.max("price").alias("top"))
 
 
@@ -138,12 +138,12 @@ def round_bonus(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(Q.round_bonus(F.col("p_retailprice"), F.lit(10.0)), 6).alias("bonus"))
 
 
-@query("mtf_band_join", "select a.p_partkey as a, b.p_partkey as b from part a join part b on a.p_size = b.p_size and a.p_partkey % 7 = 0 and b.p_partkey % 7 = 1 and abs(a.p_retailprice - b.p_retailprice) <= 5")
+@query("mtf_band_join", "select a.p_partkey as a, b.p_partkey as b from part a join part b on a.p_size = b.p_size and a.p_partkey < b.p_partkey and abs(a.p_retailprice - b.p_retailprice) <= 5")
 def mtf_band_join(spark, d):
     p = table(spark, d, "part")
-    a = p.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("a"), F.col("p_size").alias("sa"), F.col("p_retailprice").alias("pa"))
-    b = p.where("p_partkey % 7 = 1").select(F.col("p_partkey").alias("b"), F.col("p_size").alias("sb"), F.col("p_retailprice").alias("pb"))
-    return Q.near(a, b, "pa", "pb", F.lit(5.0), 5.0).where("sa = sb").select("a", "b")
+    a = p.select(F.col("p_partkey").alias("a"), F.col("p_size").alias("sa"), F.col("p_retailprice").alias("pa"))
+    b = p.select(F.col("p_partkey").alias("b"), F.col("p_size").alias("sb"), F.col("p_retailprice").alias("pb"))
+    return Q.near(a, b, "pa", "pb", F.lit(5.0), 5.0).where("sa = sb and a < b").select("a", "b")
 
 
 @query("score_buckets", "select p_size, count(*) as n, len(list_filter([10, 20, 30, 40], lambda e: e <= p_size)) + 1 as bucket from part group by 1, 3")

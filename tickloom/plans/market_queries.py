@@ -278,10 +278,33 @@ for _mode, _n in (("equal_weight", "1"), ("reference", "count(distinct symbol)")
         return B.portfolio(B.simulate(signal(spark, d)), mode).select("bar_idx", *r6("ret"))
 
 
-@query("bt_t_plus_one")
-def bt_t_plus_one(spark, d):
+#: Bar by bar, as a recursion over each symbol's bars: the position, and the session in which it was entered.
+_T1_SQL = f"""(with recursive t as materialized (select symbol, bar_idx, bar_ts::date as session, open, close, gap, least(greatest(target, 0e0), 1e0) as want from {SIM}),
+r as (select symbol, bar_idx, want as target, case when want > 1e-12 then session end as entry from t where bar_idx = 0
+union all select symbol, bar_idx, now, case when was <= 1e-12 and now > 1e-12 then session else entry end from (
+select t.symbol, t.bar_idx, t.session, r.entry, r.target as was, case when r.target > 0 and r.entry = t.session and t.want < r.target then r.target else t.want end as now from r join t on t.symbol = r.symbol and t.bar_idx = r.bar_idx + 1))
+select *, 1 - equity / max(equity) over (partition by symbol order by bar_idx) as drawdown from (select *, exp(sum(ln(growth)) over (partition by symbol order by bar_idx)) as equity, growth - 1 as ret from (
+select *, greatest((1 + held * gap) * (1 - (abs(delta) * 0.00051e0 + case when delta < 0 then -delta * 0.0005e0 else 0 end)) * (1 + target * (close / open - 1)), 1e-6) as growth from (
+select symbol, bar_idx, open, close, gap, r.target, coalesce(lag(r.target) over (partition by symbol order by bar_idx), 0e0) as held, r.target - coalesce(lag(r.target) over (partition by symbol order by bar_idx), 0e0) as delta from r join t using (symbol, bar_idx)))))"""
+
+
+def locked(spark, d):
     rows = signal(spark, d).withColumn("session", F.to_date("bar_ts"))
-    return B.metrics(B.simulate(B.execute(rows, allow_short=False, t_plus_one=True)))
+    return B.execute(rows, allow_short=False, t_plus_one=True)
+
+
+#: Figures that don't grow with the product of all returns.
+_STEADY = ("annualized_volatility", "max_drawdown", "sharpe", "sortino", "turnover", "average_turnover")
+
+
+@query("bt_t_plus_one", f"select symbol, n, {', '.join(_STEADY)} from ({_metrics_sql(_T1_SQL, 'symbol')})")
+def bt_t_plus_one(spark, d):
+    return B.metrics(B.simulate(locked(spark, d))).select("symbol", "n", *r6(*_STEADY))
+
+
+@query("bt_t_plus_one_positions", f"select symbol, bar_idx, {s6('target')} from {_T1_SQL}")
+def bt_t_plus_one_positions(spark, d):
+    return locked(spark, d).select("symbol", "bar_idx", *r6("target"))
 
 
 @query("flagship_signal_sharpe", f"select symbol, count(*) as n_bars, round(case when stddev_pop(ret) > 1e-12 then avg(ret) / stddev_pop(ret) else 0 end * sqrt(252e0), 6) as sharpe, round(sum(ret), 6) as pnl from {SIM} group by 1")
@@ -332,13 +355,17 @@ def rank_ic(spark, d):
     return M.rank_ic(scored(spark, d)).select("symbol", "n", *r6("rank_ic"))
 
 
-_FOLDS = M.folds(110, 40, 3, 15, 10)
-_FOLD_SQL = ", ".join(f"({f}, '{part}', {lo}, {hi})" for f, a, b, c, e in _FOLDS for part, lo, hi in (("train", a, b), ("validation", c, e)))
+#: Bars of training, gap, validation and holdout of each fold.
+_TRAIN, _GAP, _VALID, _HOLD = 40, 3, 15, 10
+_FOLD_SQL = f"""(select f as fold, part, lo + f * {_VALID} as lo, hi + f * {_VALID} as hi from range(100000) r(f), (values ('train', 0, {_TRAIN}), ('validation', {_TRAIN + _GAP}, {_TRAIN + _GAP + _VALID})) p(part, lo, hi)
+where f * {_VALID} + {_TRAIN + _GAP + _VALID} <= (select max(bar_idx) + 1 - {_HOLD} from {SC}))"""
 
 
-@query("wf_folds", f"select fold, part, symbol, count(*) as n, round(coalesce(corr(factor, label), 0), 6) + 0e0 as ic from {SC} s join (values {_FOLD_SQL}) v(fold, part, lo, hi) on bar_idx >= lo and bar_idx < hi where label is not null group by 1, 2, 3")
+@query("wf_folds", f"select fold, part, symbol, count(*) as n, round(coalesce(corr(factor, label), 0), 6) + 0e0 as ic from {SC} s join {_FOLD_SQL} v on bar_idx >= lo and bar_idx < hi where label is not null group by 1, 2, 3")
 def wf_folds(spark, d):
-    return M.ic(M.in_folds(scored(spark, d), _FOLDS), ("fold", "part", "symbol")).select("fold", "part", "symbol", "n", *r6("ic"))
+    rows = scored(spark, d)
+    n = (rows.agg(F.max("bar_idx")).first()[0] or 0) + 1
+    return M.ic(M.in_folds(rows, M.folds(n, _TRAIN, _GAP, _VALID, _HOLD)), ("fold", "part", "symbol")).select("fold", "part", "symbol", "n", *r6("ic"))
 
 
 @query("reward", f"""select {s6('ret', 'volatility', 'drawdown', 'turnover', 'score')} from (select *, ret - 0.2e0 * volatility - 0.3e0 * drawdown - 0.05e0 * turnover as score from (select avg(ret) as ret, avg(volatility) as volatility, avg(drawdown) as drawdown, avg(turnover) as turnover from (
@@ -353,9 +380,9 @@ def max_abs_corr(spark, d):
     return M.max_abs_corr(scored(spark, d), "factor", ["close", "bar_idx"]).select(*r6("max_abs_corr"))
 
 
-@query("formula_validity", "select l_orderkey, count(*) as n, sum(d) = 1 and min(run) >= 1 as valid from (select *, sum(d) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as run from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_partkey % 3 = 0 then -1 else 1 end as d from lineitem where l_orderkey % 10 < 5)) group by 1")
+@query("formula_validity", "select l_orderkey, count(*) as n, sum(d) = 1 and min(run) >= 1 as valid from (select *, sum(d) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as run from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_partkey % 3 = 0 then -1 else 1 end as d from lineitem)) group by 1")
 def formula_validity(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 10 < 5")
+    li = table(spark, d, "lineitem")
     t = F.when(F.col("l_partkey") % 3 == 0, formula.token("ADD")).otherwise(formula.token("RET"))
     made = li.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", t.alias("t")))), lambda s: s["t"]).alias("tokens"))
     return M.valid_formulas(made).select("l_orderkey", F.size("tokens").cast("long").alias("n"), "valid")

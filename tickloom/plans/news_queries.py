@@ -51,9 +51,19 @@ def tokenize(spark, d):
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 
-@query("content_keys", "select doc_id, sha256(source || chr(31) || text) as key, substr(sha1(text), 1, 12) as short, crc32 from (select *, 0 as crc32 from documents)")
+@query("content_keys", "select doc_id, sha256(source || chr(31) || text) as key, substr(sha1(text), 1, 12) as short from documents")
 def content_keys(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.key_of(F.col("source"), F.col("text")).alias("key"), F.substring(F.sha1("text"), 1, 12).alias("short"), F.lit(0).alias("crc32"))
+    return table(spark, d, "documents").select("doc_id", T.key_of(F.col("source"), F.col("text")).alias("key"), F.substring(F.sha1("text"), 1, 12).alias("short"))
+
+
+_BYTE = "unicode(s[(k // 8 + 1)::bigint])"
+_BIT = f"case when k % 8 = 0 then xor(c, {_BYTE}::bigint) else c end"
+
+
+@query("session_offset", f"select p_partkey, xor(list_reduce(range(8 * len(s)), lambda c, k: case when ({_BIT}) & 1 = 1 then xor(({_BIT}) >> 1, 3988292384) else ({_BIT}) >> 1 end, 4294967295::bigint), 4294967295) % 1000000 as microseconds from (select p_partkey, p_brand as s from part)")
+def session_offset(spark, d):
+    """Microseconds that tell apart sessions whose names hold no time."""
+    return table(spark, d, "part").select("p_partkey", (F.crc32(F.col("p_brand").cast("binary")) % 1_000_000).alias("microseconds"))
 
 
 @query("event_uuid")
@@ -99,17 +109,17 @@ def news_events(spark, d):
     e = table(spark, d, "events")
     kind = F.element_at(F.array(*map(F.lit, ("POLICY", "RISK", "TECHNOLOGY", "MACRO", "COMPANY"))), (F.col("event_id") % 5 + 1).cast("int"))
     return e.select(
-        F.col("event_id").alias("id"), F.array(F.concat(F.lit("t"), F.col("user_id") % 20), F.concat(F.lit("u"), F.col("user_id") % 7)).alias("themes"), (F.col("value") % 100).alias("heat"), (F.col("event_id") % 10 / 10).alias("novelty"), (F.col("value") % 60).alias("magnitude"),
-        (F.col("value") % 97).alias("importance"), (F.col("value") % 80).alias("capital"), (F.col("event_id") % 3 - 1.0).alias("sentiment"), (F.col("event_id") % 4 / 4).alias("priced_in"), (F.col("event_id") % 3).alias("sources"), kind.alias("event_type"),
+        F.col("event_id").alias("id"), F.array(F.concat(F.lit("t"), F.col("user_id") % 20), F.concat(F.lit("u"), F.col("user_id") % 7)).alias("themes"), (F.col("value") % 100 * (F.col("user_id") % 4) / 3).alias("heat"), (F.col("event_id") % 10 / 10).alias("novelty"), (F.col("value") % 60).alias("magnitude"),
+        (F.col("value") % 97).alias("importance"), (F.col("value") % 80).alias("capital"), ((F.col("user_id") % 5 - 2) / 2).alias("sentiment"), (F.col("event_id") % 4 / 4).alias("priced_in"), (F.col("event_id") % 3).alias("sources"), kind.alias("event_type"),
     )
 
 
-NEWS = "(select event_id as id, ['t' || (user_id % 20), 'u' || (user_id % 7)] as themes, value % 100 as heat, event_id % 10 / 10e0 as novelty, value % 60 as magnitude, value % 97 as importance, value % 80 as capital, event_id % 3 - 1e0 as sentiment, event_id % 4 / 4e0 as priced_in, event_id % 3 as sources, ['POLICY', 'RISK', 'TECHNOLOGY', 'MACRO', 'COMPANY'][event_id % 5 + 1] as event_type from events)"
+NEWS = "(select event_id as id, ['t' || (user_id % 20), 'u' || (user_id % 7)] as themes, value % 100 * (user_id % 4) / 3e0 as heat, event_id % 10 / 10e0 as novelty, value % 60 as magnitude, value % 97 as importance, value % 80 as capital, (user_id % 5 - 2) / 2e0 as sentiment, event_id % 4 / 4e0 as priced_in, event_id % 3 as sources, ['POLICY', 'RISK', 'TECHNOLOGY', 'MACRO', 'COMPANY'][event_id % 5 + 1] as event_type from events)"
 
 
 @query("theme_heat", f"""select theme, n, round(current, 5) as current, round(forward, 5) as forward, round(crowding, 5) as crowding, case when current < 8 then 'DEAD' when crowding >= 80 then 'OVERCROWDED' when current >= 75 and crowding >= 60 then 'CONSENSUS' when forward >= 72 and current >= 48 then 'BREAKOUT'
-when current >= 55 or forward >= 62 then 'HEATING' when forward >= 42 then 'INCUBATING' else 'DISCOVERED' end as state from (select *, least(100, current * 0.42e0 + least(100, coalesce(policy, 0)) * 0.18e0 + least(100, capital) * 0.1e0 + magnitude * 0.15e0 + novelty * 10) as forward,
-least(100, current * 0.55e0 + least(sources, 20) * 2e0 + priced_in * 20) as crowding from (select theme, count(*) as n, least(100, max(heat) * 0.7e0 + avg(heat) * 0.25e0 + least(count(*), 10) * 1.5e0) as current, avg(novelty) as novelty, avg(magnitude) as magnitude,
+when current >= 55 or forward >= 62 then 'HEATING' when forward >= 42 then 'INCUBATING' when mood < -0.15e0 and current < 40 then 'COOLING' else 'DISCOVERED' end as state from (select *, least(100, current * 0.42e0 + least(100, coalesce(policy, 0)) * 0.18e0 + least(100, capital) * 0.1e0 + magnitude * 0.15e0 + novelty * 10) as forward,
+least(100, current * 0.55e0 + least(sources, 20) * 2e0 + priced_in * 20) as crowding from (select theme, count(*) as n, least(100, max(heat) * 0.7e0 + avg(heat) * 0.25e0 + least(count(*), 10) * 1.5e0) as current, avg(novelty) as novelty, avg(sentiment) as mood, avg(magnitude) as magnitude,
 max(importance) filter (where event_type in ('POLICY')) as policy, max(capital) as capital, avg(priced_in) as priced_in, sum(sources) as sources from (select *, unnest(themes) as theme from {NEWS}) group by 1))""")
 def theme_heat(spark, d):
     return N.theme_heat(news_events(spark, d)).select("theme", "n", *[F.round(c, 5).alias(c) for c in ("current", "forward", "crowding")], "state")
