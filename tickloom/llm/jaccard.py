@@ -16,8 +16,8 @@ segments that most sets share are left out, so that common passages cost nothing
 and a set with too few shared segments takes no part at all.
 
 Pairs are not expanded in a group: the members of a signature's group are first
-verified against one of them, and only what then still lies in different
-components is compared further. Before two sets meet, the parities of their
+verified against one of them, what then still lies in different components against
+another one, and only what lies apart after ``STARS`` rounds is paired. Before two sets meet, the parities of their
 shingles' counts in ``PARITIES`` bits must allow it: bits that differ are no more
 than shingles that differ. Candidates are verified exactly on the whole sets.
 Equal sets are one node from the start.
@@ -48,6 +48,8 @@ WORDS, PERCENT = 5, 75
 SINGLE, DELETE = 26, 100  # sizes below: a segment a shingle; exact and one-deletion
 BITS = 16
 PARITIES = 1024
+#: Rounds in which a group meets one of its members, before what lies apart is paired.
+STARS = 3
 _WORDS = [f"p{i}" for i in range(PARITIES // 64)]
 
 
@@ -202,6 +204,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, heads: DataFrame, percent: int
     return found
 
 
+def _may(p: str, q: str, percent: int):
+    """Whether two sets' sizes and parities allow a link."""
+    like = 100 * F.least(f"{p}n", f"{q}n") >= percent * F.greatest(f"{p}n", f"{q}n")
+    return like & ((100 + percent) * _apart(p, q) <= (F.col(f"{p}n") + F.col(f"{q}n")) * (100 - percent))
+
+
+def _apart_rows(used: DataFrame, edges: DataFrame, heads: DataFrame) -> DataFrame:
+    """Members of the groups that lie in several components by the edges so far; a written table."""
+    classes = cut(components(edges))
+    named = used.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    member = F.xxhash64("node", "probe").cast("decimal(38,0)")
+    groups = named.groupBy("sig").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min("node").alias("centre"), F.max("probe").alias("any"), F.sum(member).alias("members"), F.count("*").alias("size")).where("c != d and any")
+    # groups of the same members are one
+    groups = groups.groupBy("members", "size", "centre").agg(F.min("sig").alias("sig")).select("sig", "centre")
+    rows = cut(named.join(groups, "sig").join(heads.select("node", *_WORDS), "node"))
+    drop(classes)
+    return rows
+
+
 def _band(sig: str = "sig"):
     return F.shiftright(sig, BITS).bitwiseAND(F.lit(63))
 
@@ -240,16 +261,22 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     star = used.join(groups, "sig").where("node != centre and (probe or centre_probe)").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     edges = _verified(star, texts, heads, percent)
 
-    # what still lies apart: signed alike, in different components, not yet compared
-    classes = cut(components(edges))
-    named = used.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = cut(named.join(named.groupBy("sig").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min("node").alias("centre"), F.max("probe").alias("any")).where("c != d and any").select("sig", "centre"), "sig").join(heads.select("node", *_WORDS), "node"))
+    # what still lies apart, with another member of each group, and once more: linear in a group, and near copies
+    # that are far from one member are joined by the next
+    for turn in range(1, STARS):
+        apart = _apart_rows(used, edges, heads)
+        picked = apart.groupBy("sig").agg(F.min_by(F.struct("node", "component", "probe", "n", *_WORDS), F.xxhash64("node", "sig", F.lit(turn))).alias("c"))
+        star = apart.alias("p").join(picked, "sig").where((F.col("component") != F.col("c.component")) & (F.col("probe") | F.col("c.probe")) & _may("p.", "c.", percent))
+        edges = edges.unionByName(_verified(star.select(F.col("c.node").alias("a"), F.col("node").alias("b")), texts, heads, percent))
+        drop(apart)
+
+    # the rest pair by pair: signed alike, in different components, alike by size and parities
+    apart = _apart_rows(used, edges, heads)
     p, q = apart.where("probe").alias("p"), apart.alias("q")
-    may = (100 + percent) * _apart("p.", "q.") <= (F.col("p.n") + F.col("q.n")) * (100 - percent)
-    fits = (F.col("p.component") != F.col("q.component")) & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")) & (F.col("p.node") != F.col("p.centre")) & (F.col("q.node") != F.col("q.centre")) & may
+    fits = (F.col("p.component") != F.col("q.component")) & (F.col("p.node") != F.col("p.centre")) & (F.col("q.node") != F.col("q.centre")) & _may("p.", "q.", percent)
     rest = p.join(q, (F.col("p.sig") == F.col("q.sig")) & fits).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
     edges = edges.unionByName(_verified(rest, texts, heads, percent))
-    drop(hits, used, apart, classes)
+    drop(hits, used, apart)
 
     # sets whose shingles fill too few segments (hardly any): their rarest shingles by hash meet those of the others
     short = heads.where("spare < 0 or spare_below < 0").select("node", "n")
