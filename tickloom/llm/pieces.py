@@ -103,13 +103,13 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], FAR)
 
-    def _agenda(self, units: list[str], drops: list[tuple[int, ...]]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Ids of units of one length where the given turns are dropped, and how many turns each took."""
+    def _agenda(self, units: list[str], drops: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of units of one length where the given turns are dropped, how many each has, and how many turns each took."""
         size, w = len(units[0]), len(units)
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(w, size)
         sym, turns = self.single[codes], np.zeros(w, np.int32)
         if size < 2:
-            return list(sym), turns
+            return sym.ravel(), np.ones(w, np.int64), turns
         skipped = np.zeros((w, 3 * size), bool)
         if many := [(i, t) for i, ts in enumerate(drops) for t in ts]:
             skipped[tuple(np.array(many).T)] = True
@@ -142,7 +142,7 @@ class Pieces:
             back = p >= 0
             best[rows[back], p[back]] = self._pair(sym[rows[back], p[back]], sym[rows[back], i[back]])
         kept = ~gone
-        return np.split(sym[kept], np.cumsum(kept.sum(1))[:-1]), turns
+        return sym[kept], kept.sum(1), turns
 
     def _heap(self, unit: str, base: np.uint64) -> np.ndarray:
         """Ids of one unit of any length."""
@@ -192,10 +192,15 @@ class Pieces:
             step = max(1, 400_000 // size)
             for lo in range(0, len(own), step):
                 some = own[lo : lo + step]
-                ids, turns = self._agenda([cases[k][0] for k in some], [cases[k][1] for k in some])
+                ids, counts, turns = self._agenda([cases[k][0] for k in some], [cases[k][1] for k in some])
                 self.turns[first + np.array(some)] = turns
-                for k, x in zip(some, ids, strict=True):
-                    made[k] = self._as_bytes(x)
+                data, ends = ids.astype(self.kind).tobytes(), np.cumsum(counts)
+                cuts = (ends * np.dtype(self.kind).itemsize).tolist()
+                for k, x in zip(some, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=True):
+                    made[k] = x
+                # units with signs outside the vocabulary
+                for i in np.unique(np.repeat(np.arange(len(some)), counts)[ids >= self.n]).tolist():
+                    made[some[i]] = self._as_bytes(ids[ends[i] - counts[i] : ends[i]])
         self.out += made
         self.unit += [u for u, _ in cases]
         self.drops += [d for _, d in cases]
