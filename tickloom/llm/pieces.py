@@ -28,6 +28,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,7 @@ DROPOUT, SEED = 0.1, 17
 LONG = 40
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 FAR = np.int32(2**31 - 1)
+_BYTE = [bytes([b]) for b in range(256)]
 
 
 class Pieces:
@@ -77,72 +79,106 @@ class Pieces:
                 if a is not None and b is not None:
                     keys.append(a << 32 | b)
                     ranks.append(rank[i])
-        at = np.argsort(np.array(keys, np.int64))
-        self.keys, self.ranks = np.array(keys, np.int64)[at], np.array(ranks, np.int32)[at]
+        self._index(np.array(keys, np.int64), np.array(ranks, np.int32))
         #: Id of each code point, or the code point behind the vocabulary where it has no piece.
         self.single = np.arange(0x110000, dtype=np.int64) + n
         for piece, i in ids.items():
             if len(piece) == 1:
                 self.single[ord(piece)] = i
-        self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        self.rank_of = dict(zip(keys, map(int, ranks), strict=True))
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}  # a unit's case without a drop
         self.child: dict[int, int] = {}  # case << 8 | turn dropped next: case
         self.unit: list[str] = []
-        self.drops: list[tuple[int, ...]] = []
+        self.drops: list[bytes] = []  # turns that a case drops
         self.out: list[bytes] = []
         self.turns = np.zeros(1 << 16, np.int32)  # candidates taken, by case
-        self._learn([("", ())])
+        self._learn([""], [b""])
         self.known[""] = 0
 
+    def _index(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """A hash table of pairs of neighbours with the rank of the piece that they make."""
+        bits = (2 * len(keys) + 64).bit_length()
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots, self.slot_ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, FAR, np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.slots[at] == -1
+            self.slots[at[free]] = keys[free]
+            mine = self.slots[at] == keys
+            self.slot_ranks[at[mine]] = ranks[mine]
+            keys, ranks, at = keys[~mine], ranks[~mine], (at[~mine] + 1) & self.last
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the piece that two neighbours make, or FAR."""
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], FAR)
-
-    def _agenda(self, units: list[str], drops: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = self._slot(key)
+        held, ranks = self.slots[at], self.slot_ranks[at]
+        other = np.flatnonzero(held != key)
+        ranks[other] = FAR
+        other = other[held[other] != -1]
+        while len(other):
+            at[other] = (at[other] + 1) & self.last
+            held = self.slots[at[other]]
+            found = held == key[other]
+            ranks[other[found]] = self.slot_ranks[at[other[found]]]
+            other = other[~found & (held != -1)]
+        return ranks
+
+    def _agenda(self, units: list[str], drops: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of units of one length where the given turns are dropped, how many each has, and how many turns each took."""
         size, w = len(units[0]), len(units)
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(w, size)
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         sym, turns = self.single[codes], np.zeros(w, np.int32)
         if size < 2:
-            return sym.ravel(), np.ones(w, np.int64), turns
-        skipped = np.zeros((w, 3 * size), bool)
-        if many := [(i, t) for i, ts in enumerate(drops) for t in ts]:
-            skipped[tuple(np.array(many).T)] = True
-        gone = np.zeros((w, size), bool)  # symbols that are part of the one before
-        after = np.tile(np.arange(1, size + 1), (w, 1))  # where the next symbol starts
-        before = np.tile(np.arange(-1, size - 1), (w, 1))
-        best = np.full((w, size), FAR, np.int32)  # rank of a symbol with its next one
-        best[:, :-1] = self._pair(sym[:, :-1], sym[:, 1:])
+            return sym, np.ones(w, np.int64), turns
+        skipped = None
+        if dropped := b"".join(drops):
+            skipped = np.zeros((w, 3 * size), bool)
+            skipped[np.repeat(np.arange(w), np.fromiter(map(len, drops), np.int64, w)), np.frombuffer(dropped, np.uint8)] = True
+        # places run over all units; a unit ends where the next one starts
+        gone = np.zeros(w * size, bool)  # symbols that are part of the one before
+        after = np.arange(1, w * size + 1)  # where the next symbol starts
+        before = np.arange(-1, w * size - 1)
+        table = np.full((w, size), FAR, np.int32)  # rank of a symbol with its next one
+        both = sym.reshape(w, size)
+        table[:, :-1] = self._pair(both[:, :-1].ravel(), both[:, 1:].ravel()).reshape(w, size - 1)
+        best = table.ravel()
         live, turn = np.arange(w), 0
-        while len(live):
-            at = best[live].argmin(1)
-            rank = best[live, at]
-            live, at, rank = live[rank != FAR], at[rank != FAR], rank[rank != FAR]
-            skip = skipped[live, turn] if len(live) else np.zeros(0, bool)
+        while True:
+            i = live * size + table[live].argmin(1)
+            rank = best[i]
+            open_ = rank != FAR
+            live, i, rank = live[open_], i[open_], rank[open_]
+            if not len(live):
+                break
+            end = (live + 1) * size
+            if skipped is not None:
+                skip = skipped[live, turn]
+                best[i[skip]] = FAR
+                i, rank, end = i[~skip], rank[~skip], end[~skip]
             turn += 1
             turns[live] = turn
-            best[live[skip], at[skip]] = FAR
-            rows, i, r = live[~skip], at[~skip], rank[~skip]
-            j = after[rows, i]
-            e = after[rows, j] if len(rows) else j
-            sym[rows, i] = self.by_rank[r]
-            gone[rows, j] = True
-            best[rows, j] = FAR
-            after[rows, i] = e
-            inner = e < size
-            before[rows[inner], e[inner]] = i[inner]
-            best[rows, i] = FAR
-            best[rows[inner], i[inner]] = self._pair(sym[rows[inner], i[inner]], sym[rows[inner], e[inner]])
-            p = before[rows, i]
-            back = p >= 0
-            best[rows[back], p[back]] = self._pair(sym[rows[back], p[back]], sym[rows[back], i[back]])
+            j = after[i]
+            e = after[j]
+            sym[i] = self.by_rank[rank]
+            gone[j] = True
+            best[j] = best[i] = FAR
+            after[i] = e
+            inner, p = e < end, before[i]
+            back = p >= end - size
+            right, left = e[inner], p[back]
+            own, mine = i[inner], i[back]
+            before[right] = own
+            ranks = self._pair(sym[np.concatenate([own, left])], sym[np.concatenate([right, mine])])
+            best[own], best[left] = ranks[: len(own)], ranks[len(own) :]
         kept = ~gone
-        return sym[kept], kept.sum(1), turns
+        return sym[kept], kept.reshape(w, size).sum(1), turns
 
     def _heap(self, unit: str, base: np.uint64) -> np.ndarray:
         """Ids of one unit of any length."""
@@ -178,32 +214,38 @@ class Pieces:
             ids = np.concatenate(parts)
         return ids.astype(self.kind).tobytes()
 
-    def _learn(self, cases: list[tuple[str, tuple[int, ...]]]) -> range:
+    def _learn(self, units: list[str], drops: list[bytes]) -> range:
         """Works cases of units and dropped turns; their numbers."""
-        first = len(self.out)
-        made: list[bytes] = [b""] * len(cases)
-        while first + len(cases) > len(self.turns):
+        first, wide = len(self.out), np.dtype(self.kind).itemsize
+        while first + len(units) > len(self.turns):
             self.turns = np.concatenate([self.turns, np.zeros_like(self.turns)])
-        by_size: dict[int, list[int]] = {}
-        for k, (unit, _) in enumerate(cases):
-            by_size.setdefault(len(unit), []).append(k)
-        by_size.pop(0, None)
-        for size, own in by_size.items():
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(sizes, kind="stable")
+        place = np.empty(len(units), np.int64)
+        place[order] = np.arange(len(units))
+        edges, sizes = [0, *(np.flatnonzero(np.diff(sizes[order])) + 1).tolist(), len(units)], sizes[order]
+        made: list[bytes] = []  # by size
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            size = int(sizes[lo]) if hi > lo else 0
+            if not size:
+                made += [b""] * (hi - lo)
+                continue
             step = max(1, 400_000 // size)
-            for lo in range(0, len(own), step):
-                some = own[lo : lo + step]
-                ids, counts, turns = self._agenda([cases[k][0] for k in some], [cases[k][1] for k in some])
-                self.turns[first + np.array(some)] = turns
+            for at in range(lo, hi, step):
+                some = order[at : min(at + step, hi)]
+                own = some.tolist()
+                ids, counts, turns = self._agenda(list(map(units.__getitem__, own)), list(map(drops.__getitem__, own)))
+                self.turns[first + some] = turns
                 data, ends = ids.astype(self.kind).tobytes(), np.cumsum(counts)
-                cuts = (ends * np.dtype(self.kind).itemsize).tolist()
-                for k, x in zip(some, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=True):
-                    made[k] = x
+                cuts = (ends * wide).tolist()
+                base = len(made)
+                made += map(data.__getitem__, map(slice, [0, *cuts], cuts))
                 # units with signs outside the vocabulary
-                for i in np.unique(np.repeat(np.arange(len(some)), counts)[ids >= self.n]).tolist():
-                    made[some[i]] = self._as_bytes(ids[ends[i] - counts[i] : ends[i]])
-        self.out += made
-        self.unit += [u for u, _ in cases]
-        self.drops += [d for _, d in cases]
+                for i in np.unique(np.repeat(np.arange(len(own)), counts)[ids >= self.n]).tolist():
+                    made[base + i] = self._as_bytes(ids[ends[i] - counts[i] : ends[i]])
+        self.out += map(made.__getitem__, place.tolist())
+        self.unit += units
+        self.drops += drops
         return range(first, len(self.out))
 
     def _drawn(self, base: np.ndarray, turn: np.ndarray) -> np.ndarray:
@@ -226,8 +268,8 @@ class Pieces:
         """Cases that follow where a case drops one more turn; keys are case << 8 | turn."""
         some, back = np.unique(keys, return_inverse=True)
         new = [k for k in some.tolist() if k not in self.child]
-        cases = [(self.unit[k >> 8], (*self.drops[k >> 8], k & 255)) for k in new]
-        self.child.update(zip(new, self._learn(cases), strict=True))
+        units, drops = [self.unit[k >> 8] for k in new], [self.drops[k >> 8] + _BYTE[k & 255] for k in new]
+        self.child.update(zip(new, self._learn(units, drops), strict=True))
         return np.fromiter(map(self.child.__getitem__, some.tolist()), np.int64, len(some))[back]
 
     def encode(self, texts: list[str], keys: list[str]) -> list[bytes]:
@@ -249,12 +291,16 @@ class Pieces:
         rows = np.array([int.from_bytes(hashlib.blake2b(f"{self.seed}:{k}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for k in keys], np.uint64)
         number = np.arange(len(units)) - np.repeat(np.array(ends, np.int64) - counts, counts)
         base = mix(np.repeat(rows, counts) + number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), 30)
-        for i in np.flatnonzero(np.fromiter(map(len, units), np.int64, len(units)) > LONG).tolist():
-            fixed[i] = self._as_bytes(self._heap(units[i], base[i]))
-            units[i] = ""
-        if new := list(dict.fromkeys(u for u in units if u not in self.known)):
-            self.known.update(zip(new, self._learn([(u, ()) for u in new]), strict=True))
-        case = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        case = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        unmet = np.flatnonzero(case < 0).tolist()
+        for i in unmet:  # long units are never remembered
+            if len(units[i]) > LONG:
+                fixed[i] = self._as_bytes(self._heap(units[i], base[i]))
+                units[i] = ""
+        if unmet:
+            new = [u for u in dict.fromkeys(map(units.__getitem__, unmet)) if u]
+            self.known.update(zip(new, self._learn(new, [b""] * len(new)), strict=True))
+            case[unmet] = [self.known[units[i]] for i in unmet]
         active, turn = np.arange(len(units) if self.limit else 0), np.zeros(len(units), np.int64)
         while len(active):
             at = self._next_drop(base[active], turn[active], self.turns[case[active]])
