@@ -85,6 +85,12 @@ class Pieces:
         for piece, i in ids.items():
             if len(piece) == 1:
                 self.single[ord(piece)] = i
+        # ranks of two common signs in a plain table, in which -1 stands for all others
+        common = np.array([*range(0x250), ord(SPACE)])
+        self.common, m = np.full(0x110000, len(common), np.int32), len(common)
+        self.common[common] = np.arange(m)
+        self.first = np.full((m + 1, m + 1), -1, np.int32)
+        self.first[:m, :m] = self._pair(np.repeat(self.single[common], m), np.tile(self.single[common], m)).reshape(m, m)
         self.rank_of = dict(zip(keys, map(int, ranks), strict=True))
         self._forget()
 
@@ -146,9 +152,12 @@ class Pieces:
         after = np.arange(1, w * size + 1)  # where the next symbol starts
         before = np.arange(-1, w * size - 1)
         table = np.full((w, size), FAR, np.int32)  # rank of a symbol with its next one
-        both = sym.reshape(w, size)
-        table[:, :-1] = self._pair(both[:, :-1].ravel(), both[:, 1:].ravel()).reshape(w, size - 1)
         best = table.ravel()
+        signs = self.common[codes]
+        best[:-1] = self.first.ravel()[signs[:-1] * np.int32(len(self.first)) + signs[1:]]
+        rare = np.flatnonzero(best[:-1] < 0)
+        best[rare] = self._pair(sym[rare], sym[rare + 1])
+        table[:, -1] = FAR
         live, turn = np.arange(w), 0
         while True:
             i = live * size + table[live].argmin(1)
@@ -346,7 +355,7 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path, dropout, seed)
         for batch in batches:
-            size = np.cumsum([0 if n is None else n for n in pc.utf8_length(batch.column(text)).to_pylist()]) // 1_500_000
+            size = np.cumsum([0 if n is None else n for n in pc.utf8_length(batch.column(text)).to_pylist()]) // 4_000_000
             cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if hi > lo:
