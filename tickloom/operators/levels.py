@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.ranges import running_total
 from tickloom.functions.recurrence import ema
 
 
@@ -276,10 +277,9 @@ def fit_logistic(rows_: DataFrame, columns: list[str], label: str, l2: float = 1
 
 
 def auc_brier(scored: DataFrame, p: str, y: str) -> DataFrame:
-    """AUC by ranks and mean squared error. Ranks come from counts per distinct score in a running sum, not from sorting rows in one task."""
+    """AUC by ranks and mean squared error. Ranks come from counts per distinct score, summed within ranges of the score."""
     per = scored.groupBy(p).agg(F.count("*").alias("n"), F.sum(y).alias("k"), F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("e"))
-    w = Window.orderBy(p)
-    r = per.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2)
+    r = running_total(per, p, "n", "upto").withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
     a = r.agg(F.sum(F.col("rank") * F.col("k")).alias("s"), F.sum("k").alias("pos"), F.sum("n").alias("all"), F.sum("e").alias("e"))
     neg = F.col("all") - F.col("pos")
     return a.select(F.when((F.col("pos") > 0) & (neg > 0), (F.col("s") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * neg)).alias("auc"), (F.col("e") / F.col("all")).alias("brier"))
