@@ -16,7 +16,12 @@ QUERIES = {
     "op8_fingerprints": "fingerprints",
     "op9_sentencepiece": "pieces",
     "op10_language_id": "langid",
+    "op11_vector_codes": "vector_codes",
+    "op12_filter_audit": "filter_audit",
+    "op13_minhash": "minhash",
 }
+#: Those that SQL can express have it as SQL in their module.
+WITH_SQL = ["op11_vector_codes", "op12_filter_audit"]
 
 
 def queries() -> dict:
@@ -24,4 +29,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: importlib.import_module(f"tickloom.llm.{QUERIES[name]}").SQL for name in WITH_SQL}
