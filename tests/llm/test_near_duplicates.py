@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import jaccard as J
 from tickloom.llm import lines as L
+from tickloom.llm import linking as K
+from tickloom.llm import minhash as M
 
 
 def edits(a, b, most):
@@ -83,7 +85,7 @@ def test_lines_of_empty_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.text) for r in made.collect()) == [(0, rows[2][1]), (1, rows[0][1]), (1, rows[0][1])]
 
 
-def classes(rows):
+def classes(rows, percent=75):
     sets = {}
     for i, t in rows:
         w = (t or "").encode().lower().split()
@@ -104,14 +106,14 @@ def classes(rows):
             for b in ids[:k]:
                 shared[b, a] += 1
     for (a, b), k in shared.items():
-        if 100 * k >= 75 * (len(sets[a]) + len(sets[b]) - k):
+        if 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-def test_jaccard_is_brute_force(spark, sf):
-    rng = random.Random(5)
+def near_copies(seed):
+    rng = random.Random(seed)
     words, rows, i = [f"w{k}" for k in range(300)], [], 0
     for size in [*range(1, 45), 60, 90, 120, 200, 400]:
         for _ in range(2):
@@ -124,6 +126,11 @@ def test_jaccard_is_brute_force(spark, sf):
                 i += 1
     rows += [(i, None), (i + 1, ""), (i + 2, " \n\t"), (i + 3, "a"), (i + 4, "A"), (i + 5, "a a a a a a a a a"), (i + 6, "ab " * 30_000)]
     rng.shuffle(rows)
+    return rows
+
+
+def test_jaccard_is_brute_force(spark, sf):
+    rows = near_copies(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_classes(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, node int")).collect()}
     assert got == classes(rows)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
@@ -135,7 +142,8 @@ def test_prefixes_hold_every_link(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts, rows, heads = J.nodes(docs, "doc_id", "text", 75)
     short = heads.where("n > 1").select("node", "n")
-    edges = J._verified(J._by_prefix(texts, heads, short, 75), texts, heads, 75)
+    kind = K.Kind(texts, heads, J._WORDS, 75, J._may(75))
+    edges = K.verified(K.sketched(J._by_prefix(texts, heads, short, 75), kind), kind)
     got = {frozenset((r.a, r.b)) for r in edges.collect()}
     ids = {r.node: r["head"] for r in heads.collect()}
     text = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
@@ -156,3 +164,50 @@ def test_weights_suffice(n):
     tokens = np.sort(J.mix(np.arange(n, dtype=np.uint64)))
     for band, _, spare in J.signatures(tokens):
         assert spare >= 0, band
+
+
+@pytest.mark.parametrize("paired", [0, 8])
+def test_minhash_is_brute_force(spark, sf, paired, monkeypatch):
+    """Also where groups meet single members before they are paired."""
+    monkeypatch.setattr(K, "PAIRED", paired)
+    rows = near_copies(6)
+    docs = spark.createDataFrame([(*r, 1, True) for r in rows], "doc_id long, text string, node int, kept boolean")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.minhash_classes(docs).collect()}
+    assert got == classes(rows, 85)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    made = M.op13_minhash(spark, sf).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in made} == classes(docs, 85)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in made) and {r.kept for r in made} == {True, False}
+
+
+def test_minhash_defined_cases(spark):
+    assert M.minhash_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, text), (None, text), (3, text), (1, None), (2, ""), (4, text.upper()), (None, "alone")]
+    made = sorted(tuple(r) for r in M.minhash_classes(spark.createDataFrame(rows, "doc_id long, text string")).fillna(-1).collect())
+    assert made == [(-1, 1, -1, True), (-1, 56, 3, False), (1, 0, 1, True), (2, 0, 2, True), (3, 56, 3, True), (3, 56, 3, True), (4, 56, 3, False)]
+
+
+def test_packed_minima_estimate_the_similarity(spark):
+    """Words packed by numpy, counted and corrected by Spark, against true similarities; and against plain counts."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sets, truth = [], []
+    for share in (0, 20, 50, 75, 85, 95, 100) * 8:
+        both, a, b = (J.mix(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (share * 4, (100 - share) * 2, (100 - share) * 2))
+        sets.append((np.concatenate([both, a]), np.concatenate([both, b])))
+        truth.append(share / 100)
+    left, right = (M.minima([p[i] for p in sets]) for i in (0, 1))
+    words = [(i, *map(int, p), *map(int, q)) for i, (p, q) in enumerate(zip(M.packed(left), M.packed(right), strict=True))]
+    columns = ["i", *[f"p{w}" for w in M._WORDS], *[f"q{w}" for w in M._WORDS]]
+    found = spark.createDataFrame(words, ", ".join(f"{c} long" for c in columns)).select("i", M.equal_values("p", "q").alias("n"), M.similarity("p", "q").alias("s")).collect()
+    low = lambda x: J.mix(x.astype(np.uint64), 31) & np.uint64(2**M.LOW - 1)
+    for r in found:
+        assert r.n == int((low(left[r.i]) == low(right[r.i])).sum())
+        assert abs(r.s - truth[r.i]) < 0.2 and (truth[r.i] < 1 or r.s == 1)
+    errors = np.array([r.s - truth[r.i] for r in found])
+    assert abs(errors.mean()) < 0.02 and errors.std() < 0.06
+    # the least of a large set is that of its shingles, however they are blocked
+    big = J.mix(np.arange(100_000, dtype=np.uint64))
+    assert (M.minima([big[:7], big, big[:3]])[1] == M.minima([big[::-1].copy()])[0]).all()

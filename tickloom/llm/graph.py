@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tickloom.llm.shared import cut, drop
@@ -20,20 +20,24 @@ def _small(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _cut(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """A written table of links, and what tells it from another: counted while it is written."""
+    seen = Observation()
+    made = cut(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+    return made, (seen.get["n"], seen.get["s"])
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for the nodes of ``links``; component is the least node of each.
 
     Each round is a written table, so no lineage grows; a node with many links only
     meets them in aggregates with map-side parts and in joins that may be split.
     """
-    e = cut(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    state = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    seen = state(e)
+    e, seen = _cut(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     while seen[0]:
         before, larger = e, cut(_large(e))
-        e = cut(_small(larger))
+        e, now = _cut(_small(larger))
         drop(before, larger)
-        now = state(e)
         if now == seen:
             break
         seen = now

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.graph import components
+from tickloom.llm.linking import Kind, connected, link_groups, named, sets_of, sketched, verified
 from tickloom.llm.shared import cut, drop, likely, small_batches, without
 from tickloom.llm.shingles import U, mix, pieces, set_hash, shingles
 
@@ -48,8 +48,6 @@ WORDS, PERCENT = 5, 75
 SINGLE, DELETE = 26, 100  # sizes below: a segment a shingle; exact and one-deletion
 BITS = 16
 PARITIES = 1024
-#: Rounds in which a group meets one of its members, before what lies apart is paired.
-STARS = 3
 _WORDS = [f"p{i}" for i in range(PARITIES // 64)]
 
 
@@ -166,61 +164,9 @@ def _signed(text: str, percent: int):
     return run
 
 
-def _sets(text: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole, text):
-                made = [s for s in shingles(batch.column(text), WORDS) if len(s)]
-                if made:
-                    ends = np.concatenate([[0], np.cumsum([len(s) for s in made])]).astype(np.int32)
-                    flat = pa.array(np.concatenate(made).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in made], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["node", "tokens"])
-
-    return run
-
-
-def _sets_of(wanted: DataFrame, texts: DataFrame, heads: DataFrame) -> DataFrame:
-    """Rows (node, tokens) of the wanted nodes, made anew from the texts of their heads."""
-    ids = heads.join(wanted, "node", "left_semi").select(F.col("head").alias("_head"))
-    rows = likely(texts, F.col("_id"), ids, F.col("_head")).select("_text")
-    sets = rows.mapInArrow(_sets("_text"), "node long, tokens array<long>").join(wanted, "node", "left_semi")
-    return sets.dropDuplicates(["node"])
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of nodes that are linked; a written table."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda c: heads.select(F.col("node").alias(c), F.col("n").alias(f"{c}n"), *[F.col(w).alias(f"{c}{w}") for w in _WORDS])
-    may = (100 + percent) * _apart("a", "b") <= (F.col("an") + F.col("bn")) * (100 - percent)
-    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b"))
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = cut(_sets_of(wanted, texts, heads))
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_tokens"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    union = F.size("a_tokens") + F.size("b_tokens") - shared
-    found = cut(both.where(100 * shared >= percent * union).select("a", "b"))
-    drop(pairs, wanted, sets)
-    return found
-
-
-def _may(p: str, q: str, percent: int):
+def _may(percent: int):
     """Whether two sets' sizes and parities allow a link."""
-    like = 100 * F.least(f"{p}n", f"{q}n") >= percent * F.greatest(f"{p}n", f"{q}n")
-    return like & ((100 + percent) * _apart(p, q) <= (F.col(f"{p}n") + F.col(f"{q}n")) * (100 - percent))
-
-
-def _apart_rows(used: DataFrame, edges: DataFrame, heads: DataFrame) -> DataFrame:
-    """Members of the groups that lie in several components by the edges so far; a written table."""
-    classes = cut(components(edges))
-    named = used.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    member = F.xxhash64("node", "probe").cast("decimal(38,0)")
-    groups = named.groupBy("sig").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min("node").alias("centre"), F.max("probe").alias("any"), F.sum(member).alias("members"), F.count("*").alias("size")).where("c != d and any")
-    # groups of the same members are one
-    groups = groups.groupBy("members", "size", "centre").agg(F.min("sig").alias("sig")).select("sig", "centre")
-    rows = cut(named.join(groups, "sig").join(heads.select("node", *_WORDS), "node"))
-    drop(classes)
-    return rows
+    return lambda p, q: (100 + percent) * _apart(p, q) <= (F.col(f"{p}n") + F.col(f"{q}n")) * (100 - percent)
 
 
 def _band(sig: str = "sig"):
@@ -237,8 +183,8 @@ def nodes(docs: DataFrame, key: str, text: str, percent: int) -> tuple[DataFrame
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(rows, edges): rows (_id, node, n_shingles) of every document, and verified edges (a, b) that
-    connect exactly the nodes that links connect."""
+    """(rows, classes): rows (_id, node, n_shingles) of every document, and the components (node, component)
+    of all nodes that verified links connect."""
     texts, rows, heads = nodes(docs, key, text, percent)
     signed = texts.select("_text").mapInArrow(_signed("_text", percent), "sig long, node long")
     w = Window.partitionBy("sig")
@@ -256,33 +202,15 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     ranked = segment.join(heads.select("node", "n", "spare", "spare_below"), "node").withColumn("left_out", F.row_number().over(costly) * F.when(heavy, 2).otherwise(1) <= F.when(F.col("band") == own.bitwiseAND(F.lit(63)), F.col("spare")).otherwise(F.col("spare_below")))
     used = cut(ranked.select("node", "n", F.explode("sigs").alias("sig"), (~F.col("left_out")).alias("probe")))
 
-    # the members of a group with one of them
-    groups = used.groupBy("sig").agg(F.min("node").alias("centre"), F.max("probe").alias("any"), F.min_by("probe", "node").alias("centre_probe")).where("any")
-    star = used.join(groups, "sig").where("node != centre and (probe or centre_probe)").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    edges = _verified(star, texts, heads, percent)
-
-    # what still lies apart, with another member of each group, and once more: linear in a group, and near copies
-    # that are far from one member are joined by the next
-    for turn in range(1, STARS):
-        apart = _apart_rows(used, edges, heads)
-        picked = apart.groupBy("sig").agg(F.min_by(F.struct("node", "component", "probe", "n", *_WORDS), F.xxhash64("node", "sig", F.lit(turn))).alias("c"))
-        star = apart.alias("p").join(picked, "sig").where((F.col("component") != F.col("c.component")) & (F.col("probe") | F.col("c.probe")) & _may("p.", "c.", percent))
-        edges = edges.unionByName(_verified(star.select(F.col("c.node").alias("a"), F.col("node").alias("b")), texts, heads, percent))
-        drop(apart)
-
-    # the rest pair by pair: signed alike, in different components, alike by size and parities
-    apart = _apart_rows(used, edges, heads)
-    p, q = apart.where("probe").alias("p"), apart.alias("q")
-    fits = (F.col("p.component") != F.col("q.component")) & (F.col("p.node") != F.col("p.centre")) & (F.col("q.node") != F.col("q.centre")) & _may("p.", "q.", percent)
-    rest = p.join(q, (F.col("p.sig") == F.col("q.sig")) & fits).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
-    edges = edges.unionByName(_verified(rest, texts, heads, percent))
-    drop(hits, used, apart)
+    kind = Kind(texts, heads, _WORDS, percent, _may(percent))
+    classes = link_groups(used, kind)
+    drop(hits, used)
 
     # sets whose shingles fill too few segments (hardly any): their rarest shingles by hash meet those of the others
     short = heads.where("spare < 0 or spare_below < 0").select("node", "n")
     if not short.isEmpty():
-        edges = edges.unionByName(_verified(_by_prefix(texts, heads, short, percent), texts, heads, percent))
-    return rows, edges
+        classes = connected(classes, verified(sketched(_by_prefix(texts, heads, short, percent), kind), kind))
+    return rows, classes
 
 
 def _by_prefix(texts: DataFrame, heads: DataFrame, short: DataFrame, percent: int) -> DataFrame:
@@ -290,13 +218,13 @@ def _by_prefix(texts: DataFrame, heads: DataFrame, short: DataFrame, percent: in
     their least n - ceil(n * percent / 100) + 1 shingles. Only sets of a like size, and of them only
     shingles that may be a short set's, are shuffled."""
     least = lambda n: F.expr(f"slice(tokens, 1, cast({n} - ceil({n} * {percent} / 100.0) + 1 as int))")
-    head = _sets_of(short.select("node"), texts, heads).join(short, "node")
+    head = sets_of(short.select("node"), texts, heads).join(short, "node")
     ours = cut(head.select(F.col("node").alias("a"), F.col("n").alias("an"), F.explode(least("n")).alias("t")))
     # sizes as bands: a partner is in the band of a short set or beside it
     bands = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
     near = short.select(F.explode(F.array(bands - 2, bands - 1, bands, bands + 1, bands + 2)).alias("_size")).distinct()
     alike = heads.withColumn("_size", bands).join(near, "_size", "left_semi").select("node", "n", "head")
-    others = _sets_of(alike.select("node"), texts, heads).join(alike.select("node", "n"), "node").select(F.col("node").alias("b"), F.col("n").alias("bn"), F.explode(least("n")).alias("t"))
+    others = sets_of(alike.select("node"), texts, heads).join(alike.select("node", "n"), "node").select(F.col("node").alias("b"), F.col("n").alias("bn"), F.explode(least("n")).alias("t"))
     some = likely(others, F.col("t"), ours, F.col("t"))
     pairs = ours.join(some, "t").where((F.col("a") != F.col("b")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")))
     return pairs.select("a", "b")
@@ -304,16 +232,7 @@ def _by_prefix(texts: DataFrame, heads: DataFrame, short: DataFrame, percent: in
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """A row per row of ``docs``: key, n_shingles, component_id (the smallest key reachable by links)."""
-    rows, edges = links(docs, key, text, percent)
-    # a component's name is its smallest id; nodes without links name themselves
-    classes = cut(components(edges))
-    ids = rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("head"), F.count("*").alias("copies"))
-    named = ids.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("head").alias("component_id"), F.sum("copies").alias("members"))
-    # only nodes that share their component with another row need a look-up
-    shared = cut(named.select("node", "component").join(least.where("members > 1"), "component").select("node", "component_id"))
-    found = rows.select("_id", "node", "n_shingles").join(shared, "node", "left")
-    return found.select(F.col("_id").alias(key), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
+    return named(*links(docs, key, text, percent), key)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
