@@ -142,7 +142,7 @@ def test_prefixes_hold_every_link(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts, rows, heads = J.nodes(docs, "doc_id", "text", 75)
     short = heads.where("n > 1").select("node", "n")
-    kind = K.Kind(texts, heads, J._WORDS, 75, J._may(75))
+    kind = K.Kind(texts, heads, K.PARITY_WORDS, 75, K.parities_allow(75))
     edges = K.verified(K.sketched(J._by_prefix(texts, heads, short, 75), kind), kind)
     got = {frozenset((r.a, r.b)) for r in edges.collect()}
     ids = {r.node: r["head"] for r in heads.collect()}

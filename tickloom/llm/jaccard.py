@@ -17,9 +17,9 @@ and a set with too few shared segments takes no part at all.
 
 Pairs are not expanded in a group: the members of a signature's group are first
 verified against one of them, what then still lies in different components against
-another one, and only what lies apart after ``STARS`` rounds is paired. Before two sets meet, the parities of their
-shingles' counts in ``PARITIES`` bits must allow it: bits that differ are no more
-than shingles that differ. Candidates are verified exactly on the whole sets.
+another one, and only what lies apart after ``STARS`` rounds meets by its rarest
+shingles. Before two sets meet, the parities of their shingles' counts in 1,024 bits
+must allow it: bits that differ are no more than shingles that differ. Candidates are verified exactly on the whole sets.
 Equal sets are one node from the start.
 
 Defined results: null, empty and blank texts are empty sets and linked with
@@ -40,15 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.linking import Kind, connected, link_groups, named, sets_of, sketched, verified
+from tickloom.llm.linking import PARITY_WORDS, Kind, connected, link_groups, named, parities, parities_allow, sets_of, sketched, verified
 from tickloom.llm.shared import cut, drop, likely, small_batches, without
 from tickloom.llm.shingles import U, mix, pieces, set_hash, shingles
 
 WORDS, PERCENT = 5, 75
 SINGLE, DELETE = 26, 100  # sizes below: a segment a shingle; exact and one-deletion
 BITS = 16
-PARITIES = 1024
-_WORDS = [f"p{i}" for i in range(PARITIES // 64)]
 
 
 @dataclass(frozen=True)
@@ -114,32 +112,21 @@ def signatures(tokens: np.ndarray, percent: int = PERCENT) -> list[tuple[Band, n
     return found
 
 
-def _parities(tokens: np.ndarray) -> np.ndarray:
-    """``PARITIES`` bits as 64-bit integers: whether an odd number of tokens falls on each."""
-    odd = np.bincount((tokens & U(PARITIES - 1)).astype(np.intp), minlength=PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _apart(p: str, q: str):
-    """At least so many shingles two sets don't share."""
-    return sum((F.bit_count(F.col(f"{p}{w}").bitwiseXOR(F.col(f"{q}{w}"))) for w in _WORDS), F.lit(0))
-
-
 def _nodes(text: str, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, text):
-                rows, bits = [], np.zeros((batch.num_rows, len(_WORDS)), np.int64)
+                rows, bits = [], np.zeros((batch.num_rows, len(PARITY_WORDS)), np.int64)
                 for i, s in enumerate(shingles(batch.column(text), WORDS)):
                     if len(s):
-                        bits[i] = _parities(s)
+                        bits[i] = parities(s)
                         spare = {b.number: left for b, _, left in signatures(s, percent)}
                         k = band_of(len(s), percent).number
                         rows.append((set_hash(s), len(s), spare.get(k, 0), spare.get(k - 1, 0)))
                     else:
                         rows.append((None, 0, 0, 0))
                 node, n, own, below = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.int32()), pa.array(below, pa.int32()), *map(pa.array, np.ascontiguousarray(bits.T))], names=["_id", "node", "n_shingles", "spare", "spare_below", *_WORDS])
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.int32()), pa.array(below, pa.int32()), *map(pa.array, np.ascontiguousarray(bits.T))], names=["_id", "node", "n_shingles", "spare", "spare_below", *PARITY_WORDS])
 
     return run
 
@@ -164,11 +151,6 @@ def _signed(text: str, percent: int):
     return run
 
 
-def _may(percent: int):
-    """Whether two sets' sizes and parities allow a link."""
-    return lambda p, q: (100 + percent) * _apart(p, q) <= (F.col(f"{p}n") + F.col(f"{q}n")) * (100 - percent)
-
-
 def _band(sig: str = "sig"):
     return F.shiftright(sig, BITS).bitwiseAND(F.lit(63))
 
@@ -177,8 +159,8 @@ def nodes(docs: DataFrame, key: str, text: str, percent: int) -> tuple[DataFrame
     """(texts, rows, heads): texts (_id, _text); rows (_id, node, n_shingles, ...) of every document; heads, a row a node."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"))
-    rows = cut(texts.mapInArrow(_nodes("_text", percent), f"_id {dict(texts.dtypes)['_id']}, node long, n_shingles long, spare int, spare_below int, {', '.join(f'{w} long' for w in _WORDS)}"))
-    heads = rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("head"), F.max("n_shingles").alias("n"), F.max("spare").alias("spare"), F.max("spare_below").alias("spare_below"), *[F.max(w).alias(w) for w in _WORDS])
+    rows = cut(texts.mapInArrow(_nodes("_text", percent), f"_id {dict(texts.dtypes)['_id']}, node long, n_shingles long, spare int, spare_below int, {', '.join(f'{w} long' for w in PARITY_WORDS)}"))
+    heads = rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("head"), F.max("n_shingles").alias("n"), F.max("spare").alias("spare"), F.max("spare_below").alias("spare_below"), *[F.max(w).alias(w) for w in PARITY_WORDS])
     return texts, rows, cut(heads)
 
 
@@ -202,7 +184,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     ranked = segment.join(heads.select("node", "n", "spare", "spare_below"), "node").withColumn("left_out", F.row_number().over(costly) * F.when(heavy, 2).otherwise(1) <= F.when(F.col("band") == own.bitwiseAND(F.lit(63)), F.col("spare")).otherwise(F.col("spare_below")))
     used = cut(ranked.select("node", "n", F.explode("sigs").alias("sig"), (~F.col("left_out")).alias("probe")))
 
-    kind = Kind(texts, heads, _WORDS, percent, _may(percent))
+    kind = Kind(texts, heads, PARITY_WORDS, percent, parities_allow(percent))
     classes = link_groups(used, kind)
     drop(hits, used)
 

@@ -2,10 +2,11 @@
 
 Groups come from an operator's signatures; a group of any size is never expanded into
 its pairs. Its members are verified against one of them; of what then still lies in
-different components each is verified against another member of its group, and only what
-lies apart after ``STARS`` rounds is paired. Components are kept between rounds: a round
-only connects the components that its new links join, and only groups that still lie apart
-go on. Every link is confirmed on whole sets of shingle hashes.
+different components each is verified against another member of its group; what lies apart
+after ``STARS`` rounds meets by the rarest shingles of its sets, which is exact, and small groups
+are paired at once. Components are kept between rounds: a round only connects the components
+that its new links join, and only groups that still lie apart go on. Every link is confirmed on
+whole sets of shingle hashes.
 """
 
 from __future__ import annotations
@@ -15,16 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.graph import components
 from tickloom.llm.shared import cut, drop, likely
-from tickloom.llm.shingles import pieces, set_hash, shingles
+from tickloom.llm.shingles import U, pieces, set_hash, shingles
 
 WORDS = 5
-#: Rounds in which a group meets one of its members, before what lies apart is paired.
-STARS = 3
+PARITIES = 1024
+PARITY_WORDS = [f"p{i}" for i in range(PARITIES // 64)]
+#: Rounds in which a group meets one of its members, before what lies apart meets by its rarest shingles.
+STARS = 2
 #: Groups whose pairs are so many times their rows at most are paired at once: the links are the same.
 PAIRED = 8
 
@@ -45,6 +48,22 @@ class Kind:
         return like & self.may(p, q)
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """``PARITIES`` bits as 64-bit integers: whether an odd number of tokens falls on each."""
+    odd = np.bincount((tokens & U(PARITIES - 1)).astype(np.intp), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def parities_allow(percent: int) -> Callable[[str, str], Column]:
+    """Whether two sets' sizes and parities allow a link: bits that differ are no more than shingles that differ."""
+
+    def allow(p: str, q: str) -> Column:
+        apart = sum((F.bit_count(F.col(f"{p}{w}").bitwiseXOR(F.col(f"{q}{w}"))) for w in PARITY_WORDS), F.lit(0))
+        return (100 + percent) * apart <= (F.col(f"{p}n") + F.col(f"{q}n")) * (100 - percent)
+
+    return allow
+
+
 def _sets(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -111,6 +130,25 @@ def _apart(used: DataFrame, classes: DataFrame) -> tuple[DataFrame, int, int]:
     return made, seen.get["rows"], seen.get["pairs"] or 0
 
 
+def _by_rarest(rows: DataFrame, kind: Kind) -> DataFrame:
+    """Candidate pairs (a, b) among the nodes of ``rows`` in different components: linked sets share one of
+    their rarest n - ceil(n * percent / 100) + 1 shingles. Passages that many sets hold come last and so
+    bring no candidates."""
+    nodes = cut(rows.select("node", "component", "n", *kind.words).dropDuplicates(["node"]))
+    sets = cut(sets_of(nodes.select("node"), kind.texts, kind.heads))
+    flat = sets.select("node", F.explode("tokens").alias("t"))
+    often = cut(flat.groupBy("t").agg(F.count("*").alias("f")).where("f > 1"))
+    own = Window.partitionBy("node")
+    ranked = flat.join(often, "t").withColumns({"rank": F.row_number().over(own.orderBy("f", "t")), "all": F.count("*").over(own)})
+    # shingles of no other set are the rarest, but nothing meets by them
+    head = cut(ranked.join(nodes, "node").where(f"n - all + rank <= n - ceil(n * {kind.percent} / 100.0) + 1").drop("f", "rank", "all"))
+    p, q = head.alias("p"), head.alias("q")
+    fits = (F.col("p.node") < F.col("q.node")) & (F.col("p.component") != F.col("q.component")) & kind.allows("p.", "q.")
+    pairs = cut(p.join(q, (F.col("p.t") == F.col("q.t")) & fits).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")))
+    drop(nodes, sets, often, head)
+    return pairs
+
+
 def link_groups(used: DataFrame, kind: Kind) -> DataFrame:
     """(node, component) of all nodes that links connect with another one; a written table.
 
@@ -131,7 +169,9 @@ def link_groups(used: DataFrame, kind: Kind) -> DataFrame:
             break
         last = turn == STARS or pairs <= PAIRED * n
         rows = cut(apart.join(sketch, "node"))
-        if last:  # the rest pair by pair: signed alike, in different components, alike by size and sketch
+        if last and pairs > PAIRED * n:
+            met = _by_rarest(rows, kind)
+        elif last:  # the rest pair by pair: signed alike, in different components, alike by size and sketch
             p, q = rows.where("probe").alias("p"), rows.alias("q")
             fits = (F.col("p.component") != F.col("q.component")) & (F.col("p.node") != F.col("p.centre")) & (F.col("q.node") != F.col("q.centre")) & kind.allows("p.", "q.")
             met = p.join(q, (F.col("p.sig") == F.col("q.sig")) & fits).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))

@@ -5,14 +5,16 @@ name the groups in which candidates meet; of each minimum ``LOW`` bits are kept,
 in 64-bit words. Where two documents share a band, equal packed values are counted with
 bit operations, and the share that equals by chance is taken out of the estimate:
 J = (equal - C) / (1 - C) with C = 2^-LOW. Pairs whose estimate is ``DEVIATIONS`` standard
-deviations or more below the threshold go; all others are confirmed on their full sets.
+deviations or more below the threshold go. What is left is confirmed on full sets: first by
+parities of their shingles' counts in 1,024 bits, of which linked sets can't differ in more than
+in shingles, then shingle by shingle.
 
 At the threshold of 0.85 a link shares no band with a probability of (1 - 0.85^4)^32,
 5e-11, and is lost to the estimate with less than 1e-10.
 
 As in the Jaccard join, equal sets are one node from the start, and the members of a
 band's group are verified against one of them, then what lies apart against another
-one, and only the rest is paired, so a group of near copies costs about its size.
+one, and the rest meets by its rarest shingles, so a group costs about its size.
 
 Defined results: null, empty and blank texts are empty sets, linked with nothing and
 kept; fewer than five words are one shingle; rows with one id and equal sets are one node;
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.linking import Kind, link_groups, named
+from tickloom.llm.linking import PARITY_WORDS, Kind, link_groups, named, parities, parities_allow
 from tickloom.llm.shared import cut, small_batches
 from tickloom.llm.shingles import U, mix, pieces, set_hash, shingles
 
@@ -39,6 +41,7 @@ HASHES, ROWS, LOW = 128, 4, 4
 DEVIATIONS = 7
 PACKED = HASHES * LOW // 64
 _WORDS = [f"m{i}" for i in range(PACKED)]
+_SKETCH = [*_WORDS, *PARITY_WORDS]
 #: Shingles hashed at once: they stay in a core's cache.
 BLOCK = 32_768
 
@@ -122,15 +125,15 @@ def _rows(text: str, percent: int):
                     if x is not None and 100 * n[i] >= percent * (n[i] + 1) and x not in seen:
                         new.append(i)
                         seen.add(x)
-                words, sigs = np.zeros((batch.num_rows, PACKED), np.int64), [None] * batch.num_rows
+                words, sigs = np.zeros((batch.num_rows, PACKED + len(PARITY_WORDS)), np.int64), [None] * batch.num_rows
                 if new:
                     least = minima([sets[i] for i in new])
-                    words[new] = packed(least)
+                    words[new] = np.hstack([packed(least), [parities(sets[i]) for i in new]])
                     for i, s in zip(new, bands(least), strict=True):
                         sigs[i] = s
                 if len(seen) > 200_000:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), *map(pa.array, np.ascontiguousarray(words.T))], names=["_id", "node", "n_shingles", "sigs", *_WORDS])
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), *map(pa.array, np.ascontiguousarray(words.T))], names=["_id", "node", "n_shingles", "sigs", *_SKETCH])
 
     return run
 
@@ -140,17 +143,17 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     of all nodes that verified links connect."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"))
-    rows = cut(texts.mapInArrow(_rows("_text", percent), f"_id {dict(texts.dtypes)['_id']}, node long, n_shingles long, sigs array<long>, {', '.join(f'{w} long' for w in _WORDS)}"))
+    rows = cut(texts.mapInArrow(_rows("_text", percent), f"_id {dict(texts.dtypes)['_id']}, node long, n_shingles long, sigs array<long>, {', '.join(f'{w} long' for w in _SKETCH)}"))
     # tasks that saw a set again left its words at zero
     signed = rows.where("sigs is not null")
-    made = signed.groupBy("node").agg(*[F.any_value(w).alias(w) for w in _WORDS])
+    made = signed.groupBy("node").agg(*[F.any_value(w).alias(w) for w in _SKETCH])
     heads = rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("head"), F.max("n_shingles").alias("n"))
     heads = cut(heads.join(made, "node"))
     member = cut(signed.select("node", F.explode("sigs").alias("sig")).distinct())
     groups = member.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most")
     used = cut(member.join(groups.select("sig"), "sig").withColumn("probe", F.lit(True)))
-    least = _least_equal(percent)
-    kind = Kind(texts, heads, _WORDS, percent, lambda p, q: equal_values(p, q) >= least)
+    least, fits = _least_equal(percent), parities_allow(percent)
+    kind = Kind(texts, heads, _SKETCH, percent, lambda p, q: (equal_values(p, q) >= least) & fits(p, q))
     return rows, link_groups(used, kind)
 
 
