@@ -1,8 +1,9 @@
 """Operator 4: benchmark decontamination by template canonicalisation.
 
-Texts become templates: a number with its unit, and a run of capitalised words
-inside a sentence, are replaced by typed placeholders that keep the value beside
-them; other words are lowered. Five-word windows of the templates (fewer words are
+Texts become templates: a number with its unit, and a run of capitalised words, at a
+sentence's start too, are replaced by typed placeholders that keep the value beside
+them; other words are lowered. A capitalised word of an item that also stands there in
+lower case, or that begins it, may be a plain word: its placeholder has no value to check. Five-word windows of the templates (fewer words are
 one window) are hash-joined with the benchmark's. For each document, item and
 offset between the two, the values in the matched windows must be consistent: a
 value of the item stands for one value of the document throughout and the other
@@ -30,7 +31,7 @@ from tickloom.llm.shared import cut, let, likely, without
 WINDOW, SHARE = 5, 0.75
 #: Units that belong to a number.
 UNITS = ("km", "cm", "mm", "m", "kg", "mg", "g", "lb", "lbs", "oz", "km/h", "mph", "l", "ml", "%", "percent", "h", "hours", "hour", "min", "minutes", "s", "seconds", "days", "years", "dollars", "euros", "€", "$", "£", "°C", "°F")
-NAME = r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}++)(?![\p{L}\p{N}])"
+NAME = r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}++)(?![\p{L}\p{N}])"
 # possessive: a list of a million numbers is one match without a stack
 NUMBER = r"(?<![\p{L}\p{N}])([$€£]?)([0-9]++(?:[.,][0-9]++)*+)\x20?((?:%s)(?![\p{L}\p{N}]))?(?![\p{N}])" % "|".join(u.replace("$", r"\$").replace("°", "°") for u in sorted(UNITS, key=len, reverse=True))
 #: Placeholders hold their value behind this sign.
@@ -49,19 +50,34 @@ def template(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(counted), F.lit(TOKEN), F.lit(0))
 
 
+def unsure(words: Column) -> Column:
+    """An item's words, with ``ENDS`` as the value of names that may be plain words."""
+    name = f"@{HOLDS}"
+
+    def of(ws: Column) -> Column:
+        plain = F.filter(ws, lambda w: ~w.contains(HOLDS))
+        return let(plain, lambda p: F.transform(ws, lambda w, i: F.when(w.startswith(name) & ((i == 0) | F.array_contains(p, F.substring_index(w, HOLDS, -1))), name + ENDS).otherwise(w)))
+
+    return let(words, of)
+
+
+def slots(window: Column) -> Column:
+    """The values of a window's placeholders, joined."""
+    return F.array_join(F.transform(F.filter(window, lambda w: w.contains(HOLDS)), lambda w: F.substring_index(w, HOLDS, -1)), HOLDS)
+
+
 def windows(words: Column, sizes: list[int]) -> Column:
-    """array<struct<hash,place,slots>>: every window of each size, hashed without its values; slots are the values, joined."""
+    """array<struct<hash,place,own>>: every window of each size, hashed without its values; own are its words where the text holds a value."""
     bare = lambda w: F.substring_index(w, HOLDS, 1)
 
     def of(some: Column) -> Column:
         def sized(size: int) -> Column:
             def one(i: Column) -> Column:
-                own = F.slice(some["words"], i, F.lit(size))
-                values = F.array_join(F.transform(F.filter(own, lambda w: w.contains(HOLDS)), lambda w: F.substring_index(w, HOLDS, -1)), HOLDS)
-                return F.struct(F.xxhash64(F.lit(size), F.slice(some["bare"], i, F.lit(size))).alias("hash"), i.alias("place"), F.when(some["held"], values).alias("slots"))
+                own = F.when(some["held"], F.slice(some["words"], i, F.lit(size)))
+                return F.struct(F.xxhash64(F.lit(size), F.slice(some["bare"], i, F.lit(size))).alias("hash"), i.alias("place"), own.alias("own"))
 
             n = F.size(some["words"])
-            return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), one)).otherwise(F.array().cast("array<struct<hash:bigint,place:int,slots:string>>"))
+            return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), one)).otherwise(F.array().cast("array<struct<hash:bigint,place:int,own:array<string>>>"))
 
         return F.concat(*map(sized, sizes))
 
@@ -75,16 +91,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     sizes = sorted({r[0] for r in own.select(F.least(F.size("_words"), F.lit(WINDOW))).distinct().collect()}) or [WINDOW]
     by_size = None
     for size in sizes:
-        some = own.where(F.least(F.size("_words"), F.lit(WINDOW)) == size).select("_item", F.explode(windows(F.col("_words"), [size])).alias("w"))
+        some = own.where(F.least(F.size("_words"), F.lit(WINDOW)) == size).select("_item", F.explode(windows(unsure(F.col("_words")), [size])).alias("w"))
         by_size = some if by_size is None else by_size.unionByName(some)
-    items = cut(by_size.select("_item", F.col("w.hash").alias("hash"), F.col("w.place").alias("q"), F.coalesce("w.slots", F.lit("")).alias("item_slots")))
+    items = cut(by_size.select("_item", F.col("w.hash").alias("hash"), F.col("w.place").alias("q"), F.coalesce(slots(F.col("w.own")), F.lit("")).alias("item_slots")))
     n_windows = items.groupBy("_item").agg(F.count_distinct("q").alias("n_windows"))
-    placed = docs.select(F.col(key).alias("_key"), F.explode(windows(template(F.col(text)), sizes)).alias("w")).select("_key", F.col("w.hash").alias("hash"), F.col("w.place").alias("p"), F.col("w.slots").alias("doc_slots"))
-    hits = likely(placed, F.col("hash"), items, F.col("hash")).join(items.hint("merge"), "hash")
+    placed = docs.select(F.col(key).alias("_key"), F.explode(windows(template(F.col(text)), sizes)).alias("w")).select("_key", F.col("w.hash").alias("hash"), F.col("w.place").alias("p"), F.col("w.own").alias("own"))
+    # values are taken out only of windows that the map lets through
+    some = likely(placed, F.col("hash"), items, F.col("hash")).select("_key", "hash", "p", slots(F.col("own")).alias("doc_slots"))
+    hits = some.join(items.hint("merge"), "hash")
     split = lambda c: F.split(c, HOLDS)
     pairs = F.when(F.col("item_slots") == "", F.array().cast("array<struct<a:string,b:string>>")).otherwise(F.zip_with(split(F.col("item_slots")), split(F.coalesce("doc_slots", F.lit(""))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     runs = hits.groupBy("_key", "_item", (F.col("p") - F.col("q")).alias("offset")).agg(F.collect_set("q").alias("qs"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda x: x[side]))) == F.size("pairs")
+    sure = F.filter("pairs", lambda x: x["a"] != ENDS)
+    one = lambda side: F.size(F.array_distinct(F.transform(sure, lambda x: x[side]))) == F.size(sure)
     consistent = one("a") & one("b")
     found = runs.where(consistent).select("_key", "_item", F.explode("qs").alias("q")).groupBy("_key", "_item").agg(F.count_distinct("q").alias("n"))
     rated = found.join(n_windows, "_item").withColumn("found", F.col("n") / F.col("n_windows"))
