@@ -5,7 +5,7 @@ three letters, words parted by single spaces, whole text). Each language has
 several centroids: a spherical k-means over a bounded sample of its labelled
 texts. A text is given the language of the centroid of greatest cosine, and is
 rejected where that cosine is below the centroid's floor (a share of what its own
-members reach).
+members reach); a language fitted on fewer than ``LEAST`` texts rejects nothing.
 
 What is counted over the corpus, the document frequency of each n-gram, covers
 every labelled row. The classifier is fitted on ``SAMPLE`` texts a language at
@@ -15,7 +15,7 @@ input's size is. Prediction is row by row without a shuffle.
 
 Defined results: null text, empty text and text without a letter are ``und`` with
 score 0 and rejected; rows without lang or id are not learned from; with nothing
-to learn from every row is ``und``; ties go to the first language in ascending
+to learn from every row is ``und``, and texts with a letter are not rejected; ties go to the first language in ascending
 order; rows repeated stay; an empty table gives no rows; input columns that are
 named like the results are replaced, others kept.
 """
@@ -38,6 +38,8 @@ SLOTS = 1 << 14
 SAMPLE = 400
 CENTROIDS = 4
 FLOOR = 0.25
+#: A language fitted on fewer texts rejects nothing: its members' reach isn't known.
+LEAST = 20
 UNKNOWN = "und"
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 _LETTER: list[np.ndarray] = []
@@ -88,8 +90,8 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rejected) of each text."""
         names, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        if not self.languages:
-            return names, scores, rejected
+        if not self.languages:  # nothing tells the languages apart, so no text with a letter is far from any
+            return names, scores, np.array([t is None or len(letters(t)) < 2 for t in texts], bool)
         for lo in range(0, len(texts), 64):
             vectors = [self.vector(t) for t in texts[lo : lo + 64]]
             at = [i for i, v in enumerate(vectors) if v is not None]
@@ -142,7 +144,7 @@ def _fit(idf: np.ndarray, centroids: int, floor: float):
                     c[k] = m / (np.linalg.norm(m) or 1)
         near = x @ c.T
         reach = np.quantile(near.max(1), 0.01)
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(c), "vector": [v.astype("float32") for v in c], "floor": [float(reach * floor)] * len(c)})
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(c), "vector": [v.astype("float32") for v in c], "floor": [float(reach * floor) if len(x) >= LEAST else -1.0] * len(c)})
 
     return run
 
