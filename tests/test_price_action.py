@@ -1,5 +1,7 @@
 """Small tables: running sums over ranges, symbols with few bars, orders with missing values."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tickloom.functions.ranges import running_total
@@ -29,3 +31,51 @@ def test_missing_values_at_the_gate(spark):
     rows = spark.createDataFrame([good, (*good[:5], None, *good[6:]), ("a", 10.0, 100.0, 0.0, *good[4:])], schema)
     assert sorted(r.code for r in A.risk_gate(rows, enabled=True, max_loss=1.0).collect()) == ["", "permission_denied", "price_deviation"]
     assert {r.code for r in A.risk_gate(rows).collect()} == {"execution_disabled"}
+
+
+def plain_legs(bars):
+    """Bar by bar, one state."""
+    out, live = [], None
+    for i, (h, l) in enumerate(bars):  # noqa: E741
+        if live and live["how"]:
+            live = None
+        o = i - 2
+        if live is None:
+            if o >= 2 and all(bars[o][0] > bars[k][0] for k in (o - 1, o - 2, o + 1, i)):
+                live = {"origin": o, "until": None, "how": None, "count": 0, "last": None, "armed": True, "signal": None}
+                out.append(live)
+            continue
+        if h > bars[live["origin"]][0] or i - live["origin"] > 30:
+            live["how"], live["until"] = ("broken" if h > bars[live["origin"]][0] else "expired"), i
+            continue
+        live["armed"] |= live["signal"] is not None and l < live["signal"]
+        if live["armed"] and h > bars[i - 1][0]:
+            live |= {"count": live["count"] + 1, "last": i, "armed": False, "signal": bars[i - 1][1]}
+    return {(x["origin"], x["until"], x["how"] or "open", x["count"], x["last"]) for x in out}
+
+
+def test_legs_of_blocks_are_those_of_one_pass(spark):
+    """Blocks of 40 bars, so that most legs reach over an edge; every way to end and counts above two occur."""
+    rng = random.Random(3)
+    series, rows = {}, []
+    for s in range(12):
+        x, bars = 100.0, []
+        for k in range(430):
+            x += rng.gauss(-0.1 if (k // 60) % 2 else 0.05, 1) if s % 2 else rng.choice([-1, 0, 1])
+            bars.append((round(x + rng.random(), 1), round(x - rng.random(), 1)))
+        series[f"s{s}"] = bars
+        rows += [(f"s{s}", k, h, l) for k, (h, l) in enumerate(bars)]  # noqa: E741
+    rows += [("short", k, float(k), 0.0) for k in range(3)]
+    df = spark.createDataFrame(rows, "symbol string, bar_idx int, high double, low double")
+    made = A.hl_legs(df, 40).collect()
+    got = {}
+    for r in made:
+        got.setdefault((r.symbol, r.side), set()).add((r.origin, r.until, r.how, r["count"], r.last_trigger))
+    for name, bars in series.items():
+        assert got.get((name, 1), set()) == plain_legs(bars)
+        assert got.get((name, -1), set()) == plain_legs([(-l, -h) for h, l in bars])  # noqa: E741
+    assert {r.how for r in made} == {"broken", "expired", "open"} and max(r["count"] for r in made) > 2
+    last = {r.symbol: r for r in A.hl_count(df).collect()}
+    assert len(last) == 13 and last["short"].bull_candidate == "none" and last["short"].bull_count == 0
+    assert {r.bull_candidate for r in last.values()} | {r.bear_candidate for r in last.values()} >= {"none"}
+    assert A.hl_legs(df.limit(0)).count() == 0

@@ -371,3 +371,19 @@ def fuse(results: DataFrame, roles: DataFrame, damping: float = 0.45) -> DataFra
     up, down = F.sum(F.when(F.col("score") > 0, F.col("weight") * F.col("score")).otherwise(0.0)), F.sum(F.when(F.col("score") < 0, -F.col("weight") * F.col("score")).otherwise(0.0))
     a = j.groupBy("symbol").agg(up.alias("up"), down.alias("down"), (F.sum("weight") / F.first("all")).alias("coverage"))
     return a.withColumn("conflict", F.least("up", "down") / F.greatest(F.greatest("up", "down"), F.lit(1e-9))).withColumn("score", (F.col("up") - F.col("down")) * (1 - damping * F.col("conflict")))
+
+
+def nearest(rows: DataFrame, key: str, by: str, x: str, levels: DataFrame, price: str, name: str) -> DataFrame:
+    """(key, level): the level of the same ``by`` nearest to ``x``, the smaller name of equals; rows without a level go.
+
+    Both sides are sorted together by price; the nearest level is the last one below or the first one above, so the cost is that of a
+    sort and not of the pairs.
+    """
+    distinct = levels.groupBy(F.col(by).alias("_by"), F.col(price).cast("double").alias("_x")).agg(F.min(name).alias("_name"))
+    both = distinct.withColumn("_at", F.struct("_x", "_name")).withColumn("_key", F.lit(None).cast(dict(rows.dtypes)[key])).drop("_name").withColumn("_row", F.lit(False))
+    mine = rows.select(F.col(by).alias("_by"), F.col(x).cast("double").alias("_x"), F.lit(None).cast(both.schema["_at"].dataType).alias("_at"), F.col(key).alias("_key"), F.lit(True).alias("_row"))
+    w = Window.partitionBy("_by").orderBy("_x")
+    below, above = w.rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy("_by").orderBy(F.desc("_x")).rangeBetween(Window.unboundedPreceding, 0)
+    near = both.unionByName(mine).withColumns({"_lo": F.last("_at", ignorenulls=True).over(below), "_hi": F.last("_at", ignorenulls=True).over(above)}).where("_row")
+    by_distance = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["_x"] - F.col("_x")).alias("d"), F.col(c)["_name"].alias("n")))
+    return near.select(F.col("_key").alias(key), F.least(by_distance("_lo"), by_distance("_hi"))["n"].alias("level")).where("level is not null")

@@ -50,10 +50,17 @@ def folds(n: int, train: int, gap: int, validation: int, holdout: int = 0) -> li
     return out
 
 
-def in_folds(rows: DataFrame, table: Sequence[tuple[int, int, int, int, int]]) -> DataFrame:
-    """Rows with fold and part (train, validation); one row may be in several folds. The fold table is a literal."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(part).alias("part"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for f, a, b, c, d in table for part, lo, hi in (("train", a, b), ("validation", c, d))]))
-    return rows.withColumn("_f", each).where((F.col("bar_idx") >= F.col("_f.lo")) & (F.col("bar_idx") < F.col("_f.hi"))).select("*", "_f.fold", "_f.part").drop("_f")
+def in_folds(rows: DataFrame, n: int, train: int, gap: int, validation: int, holdout: int = 0) -> DataFrame:
+    """Rows with fold and part (train, validation) of the folds of ``n`` bars; one row may be in several folds.
+    A bar's folds follow from its number by division, so it is exploded into the few that hold it."""
+    last, at = (n - holdout - train - gap - validation) // validation, F.col("bar_idx")
+    held = at - (train + gap)
+    known = F.sequence(F.greatest(F.floor((at - train) / validation) + 1, F.lit(0)), F.least(F.floor(at / validation), F.lit(last)))
+    known = F.when(F.greatest(F.floor((at - train) / validation) + 1, F.lit(0)) <= F.least(F.floor(at / validation), F.lit(last)), known)
+    tested = F.when((held >= 0) & (F.floor(held / validation) <= last), F.array(F.floor(held / validation)))
+    empty = F.array().cast("array<bigint>")
+    part = lambda folds, name: F.transform(F.coalesce(folds.cast("array<bigint>"), empty), lambda f: F.struct(f.alias("fold"), F.lit(name).alias("part")))
+    return rows.withColumn("_f", F.explode(F.concat(part(known, "train"), part(tested, "validation")))).select("*", "_f.fold", "_f.part").drop("_f")
 
 
 def reward(rows: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ collected. Votes are expressions over that array.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,3 +188,92 @@ def risk_gate(
         "allowed": F.col("_first") == 0, "code": F.coalesce(F.get(codes, F.col("_first") - 1), F.lit("")),
         "checks": F.slice(names, F.lit(1), F.when(F.col("_first") == 0, len(CHECKS)).otherwise(F.col("_first"))),
     }).drop("_first")
+
+
+#: Fixed values of the pullback counter: bars beside a pivot, bars that a leg lives, bars that a symbol needs, the highest tag.
+PIVOT, LEG, HL_LEAST, HL_TAG = 2, 30, 6, 3
+#: Bars of a block; blocks carry the neighbouring bars that their legs reach.
+HL_BLOCK = 512
+_NEVER = 1 << 60
+
+
+def _leg(origin: Column, swing: Column, ahead: Column) -> Column:
+    """What becomes of a leg over the bars behind its confirmation: count, last trigger, end and why."""
+    start = F.struct(F.lit(0).alias("count"), F.lit(None).cast("long").alias("last"), F.lit(True).alias("armed"), F.lit(None).cast("double").alias("signal"), F.lit(None).cast("long").alias("until"), F.lit(None).cast("string").alias("how"))
+
+    def bar(s: Column, b: Column) -> Column:
+        ends = F.when(b["h"] > swing, "broken").when(b["bar_idx"] - origin > LEG, "expired")
+        live = s["how"].isNull() & ends.isNull()
+        armed = s["armed"] | F.coalesce(b["l"] < s["signal"], F.lit(False))
+        fires = live & armed & (b["h"] > b["ph"])
+        return F.struct(
+            F.when(fires, s["count"] + 1).otherwise(s["count"]).alias("count"), F.when(fires, b["bar_idx"]).otherwise(s["last"]).alias("last"), F.when(fires, False).when(live, armed).otherwise(s["armed"]).alias("armed"),
+            F.when(fires, b["pl"]).otherwise(s["signal"]).alias("signal"), F.when(s["how"].isNull() & ends.isNotNull(), b["bar_idx"]).otherwise(s["until"]).alias("until"), F.coalesce(s["how"], ends).alias("how"),
+        )
+
+    return F.aggregate(ahead, start, bar)
+
+
+def _free(size: int):
+    """From which bar on each block may begin a leg: the blocks' functions one after the other."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        free, out = 0, []
+        for block, after in zip(pdf["block"], pdf["after"], strict=True):
+            out.append(free)
+            free = int(after[LEG + 2 if free >= _NEVER else max(0, free - block * size)])
+        return pdf[["symbol", "side", "block"]].assign(free=out)
+
+    return run
+
+
+def hl_legs(bars: DataFrame, block: int = HL_BLOCK) -> DataFrame:
+    """Pullback legs of each symbol, side 1 from swing highs (H counts) and -1 from swing lows (L counts, mirrored):
+    symbol, side, origin, until, how (broken, expired, open), count, last_trigger.
+
+    A leg begins at a fractal pivot while no other one lives, and ends where its pivot is passed or after ``LEG`` bars; a
+    trigger is a bar above the one before it, armed again when a bar falls below the last signal bar. What a pivot's
+    leg would count depends on ``LEG`` bars behind it, so all pivots are worked on in blocks with those bars beside them. Which
+    legs live is a chain: a block is a function from the bar on which it finds its symbol free (one of ``LEG`` + 2, or never) to
+    the one on which it leaves it, and only these functions, one short row a block, are composed in a symbol's order.
+    """
+    side = lambda s, h, l: F.struct(F.lit(s).alias("side"), h.alias("h"), l.alias("l"))  # noqa: E731, E741
+    both = bars.select("symbol", F.col("bar_idx").cast("long").alias("bar_idx"), F.explode(F.array(side(1, F.col("high"), F.col("low")), side(-1, -F.col("low"), -F.col("high")))).alias("x")).select("symbol", "bar_idx", "x.*")
+    own, place = F.floor(F.col("bar_idx") / block), F.col("bar_idx") % block
+    beside = F.array_compact(F.array(own, F.when(place >= block - PIVOT, own + 1), F.when((place <= LEG) & (own > 0), own - 1)))
+    w = Window.partitionBy("symbol", "side", "block").orderBy("bar_idx")
+    rows = both.withColumn("block", F.explode(beside)).withColumns({"ph": F.lag("h").over(w), "pl": F.lag("l").over(w)})
+    pivot = own == F.col("block")
+    for k in range(1, PIVOT + 1):
+        pivot &= (F.col("h") > F.lag("h", k).over(w)) & (F.col("h") > F.lead("h", k).over(w))
+    ahead = F.collect_list(F.struct("bar_idx", "h", "l", "ph", "pl")).over(w.rowsBetween(PIVOT + 1, LEG + 1))
+    pivots = rows.withColumns({"pivot": pivot, "ahead": ahead}).where("pivot").withColumn("leg", _leg(F.col("bar_idx"), F.col("h"), F.col("ahead")))
+    legs = pivots.select("symbol", "side", "block", F.struct(F.col("bar_idx").alias("origin"), F.coalesce("leg.until", F.lit(_NEVER)).alias("until"), F.coalesce("leg.how", F.lit("open")).alias("how"), F.col("leg.count").alias("count"), F.col("leg.last").alias("last")).alias("leg"))
+    blocks = legs.groupBy("symbol", "side", "block").agg(F.array_sort(F.collect_list("leg")).alias("legs"))
+    taken = lambda free, g: g["origin"] + PIVOT >= free
+    after = F.expr("sequence(0, %d)" % (LEG + 2))
+    leaves = lambda i: F.aggregate("legs", F.when(i == LEG + 2, F.lit(_NEVER)).otherwise(F.col("block") * block + i).cast("long"), lambda free, g: F.when(taken(free, g), g["until"] + 1).otherwise(free))
+    functions = blocks.select("symbol", "side", "block", F.transform(after, leaves).alias("after"))
+    kinds = dict(bars.dtypes)["symbol"]
+    free = functions.groupBy("symbol", "side").applyInPandas(_free(block), f"symbol {kinds}, side int, block long, free long")
+    none = F.struct(F.col("free").alias("free"), F.filter("legs", lambda g: F.lit(False)).alias("legs"))
+    chosen = F.aggregate("legs", none, lambda s, g: F.when(taken(s["free"], g), F.struct((g["until"] + 1).alias("free"), F.concat(s["legs"], F.array(g)).alias("legs"))).otherwise(s))["legs"]
+    out = blocks.join(free, ["symbol", "side", "block"]).select("symbol", "side", F.explode(chosen).alias("g"))
+    return out.select("symbol", "side", "g.origin", F.when(F.col("g.how") != "open", F.col("g.until")).alias("until"), "g.how", "g.count", F.col("g.last").alias("last_trigger"))
+
+
+def hl_count(bars: DataFrame) -> DataFrame:
+    """One row a symbol: triggers in the legs that live at its last bar, their tags, last triggers and pivots; no leg: 0 and none."""
+    n = bars.groupBy("symbol").agg(F.count("*").alias("n"))
+    live = hl_legs(bars).where("how = 'open'").groupBy("symbol").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{name}_{c}") for s, name in ((1, "bull"), (-1, "bear")) for c in ("count", "last_trigger", "origin")])
+    j = n.join(live, "symbol", "left")
+    enough = F.col("n") >= HL_LEAST
+
+    def tag(name: str, letter: str) -> Column:
+        c = F.when(enough, F.col(f"{name}_count"))
+        return F.when(c > 0, F.concat(F.lit(letter), F.least(c, F.lit(HL_TAG)).cast("string"))).otherwise("none").alias(f"{name}_candidate")
+
+    counts = [F.coalesce(F.when(enough, F.col(f"{s}_count")), F.lit(0)).alias(f"{s}_count") for s in ("bull", "bear")]
+    places = [F.when(enough, F.col(f"{s}_{c}")).alias(f"{s}_{to}") for s in ("bull", "bear") for c, to in (("last_trigger", "last_trigger"), ("origin", "leg_start"))]
+    return j.select("symbol", *counts, tag("bull", "h"), tag("bear", "l"), *places)

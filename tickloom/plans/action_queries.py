@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.operators import cron as N
 from tickloom.operators import price_action as A
+from tickloom.operators import revisions as V
 from tickloom.operators import schedule as G
 from tickloom.plans.catalog import query
 from tickloom.plans.market_queries import BE, r6, s6
-from tickloom.sources.bars import bars_from_events, table
+from tickloom.sources.bars import SUPPLIES_SQL, bars_from_events, bars_from_supplies, table
 
 _LAST = f"""(select *, row_number() over (partition by symbol order by bar_idx) - 1 as k, count(*) over (partition by symbol) as n, greatest(high - low, abs(high - coalesce(lag(close) over (partition by symbol order by bar_idx), close)), abs(low - coalesce(lag(close) over (partition by symbol order by bar_idx), close))) as tr
 from (select * from {BE} qualify row_number() over (partition by symbol order by bar_idx desc) <= {A.LOOKBACK}) qualify count(*) over (partition by symbol) >= {A.LEAST})"""
@@ -97,3 +99,80 @@ def misfires_once(spark, d):
 @query("misfires_catch_up", f"select plan, t from {_FIRED} qualify row_number() over (partition by plan order by t) <= 3")
 def misfires_catch_up(spark, d):
     return G.misfires(_fired(spark, d), "CATCH_UP", 3).select("plan", F.unix_timestamp("fire_at").alias("t"))
+
+
+#: Bar by bar: a recursion whose row is the state of the living leg; ``how`` marks the bar on which it ends.
+_LEGS = f"""(with recursive x as materialized (select symbol, s, bar_idx as k, h, l, lag(h) over w as ph, lag(l) over w as pl, lag(h, 2) over w as h2, lag(h, 3) over w as h3, lag(h, 4) over w as h4, count(*) over (partition by symbol, s) as n
+from (select symbol, bar_idx, s, case s when 1 then high else -low end as h, case s when 1 then low else -high end as l from ({SUPPLIES_SQL}), (values (1), (-1)) v(s)) window w as (partition by symbol, s order by bar_idx)),
+r as (select symbol, s, k, n, null::int as origin, null::double as swing, 0 as cnt, false as armed, null::double as sig, null::int as last, null::varchar as how from x where k = 0
+union all select symbol, s, k, n, origin, swing, case when fires then cnt + 1 else cnt end, case when fires then false else armed end, case when fires then pl else sig end, case when fires then k else last end, how from (
+select *, how is null and armed and not born and h > ph as fires from (
+select x.symbol, x.s, x.k, x.n, x.h, x.ph, x.pl, live or born as up, born, case when live then r.origin when born then x.k - {A.PIVOT} end as origin, case when live then r.swing when born then x.h2 end as swing, case when live then r.cnt else 0 end as cnt,
+case when live then r.armed or coalesce(x.l < r.sig, false) else born end as armed, case when live then r.sig end as sig, case when live then r.last end as last, case when live and x.h > r.swing then 'broken' when live and x.k - r.origin > {A.LEG} then 'expired' end as how
+from (select *, origin is not null and how is null as live from r) r join (select *, coalesce(h2 > h3 and h2 > h4 and h2 > ph and h2 > h, false) as peak from x) x on x.symbol = r.symbol and x.s = r.s and x.k = r.k + 1, lateral (select not live and peak as born))))
+select symbol, s as side, origin, case when how is not null then k end as until, coalesce(how, 'open') as how, cnt, last as last_trigger, n from r where origin is not null and (how is not null or k = n - 1))"""
+
+
+@query("pa_hl_legs", f"select symbol, side, origin, until, how, cnt as count, last_trigger from {_LEGS}")
+def pa_hl_legs(spark, d):
+    return A.hl_legs(bars_from_supplies(spark, d))
+
+
+def _live(side: int, c: str) -> str:
+    return f"max({c}) filter (where how = 'open' and side = {side} and n >= {A.HL_LEAST})"
+
+
+@query("pa_hl_count", f"""select symbol, bull_count, bear_count, case when bull_count > 0 then 'h' || least(bull_count, 3) else 'none' end as bull_candidate, case when bear_count > 0 then 'l' || least(bear_count, 3) else 'none' end as bear_candidate, bull_last_trigger, bull_leg_start, bear_last_trigger, bear_leg_start from (
+select symbol, coalesce({_live(1, 'cnt')}, 0) as bull_count, coalesce({_live(-1, 'cnt')}, 0) as bear_count, {_live(1, 'last_trigger')} as bull_last_trigger, {_live(1, 'origin')} as bull_leg_start, {_live(-1, 'last_trigger')} as bear_last_trigger, {_live(-1, 'origin')} as bear_leg_start
+from (select distinct l_suppkey as symbol from lineitem) left join {_LEGS} using (symbol) group by 1)""")
+def pa_hl_count(spark, d):
+    return A.hl_count(bars_from_supplies(spark, d))
+
+
+#: Fields of a schedule, chosen by a customer's key.
+_FIELDS = {
+    "mi": ("c_custkey % 5", ("*/15", "5,35", "10-50/20", "*", "59")), "ho": ("c_custkey % 4", ("*", "9-17", "0,12,23", "22-23")), "da": ("c_custkey % 7", ("*", "31", "1-7", "*/10", "29", "*", "15,30")),
+    "mo": ("c_custkey % 3", ("*", "2", "1,6-8")), "we": ("c_custkey % 11", ("*", "1-5", "0", "7", "2,4", "*", "6-7", "*", "*", "3", "*")),
+}
+_LISTS = {"mi": (0, 59), "ho": (0, 23), "da": (1, 31), "mo": (1, 12), "we": (0, 7)}
+
+
+def _choice(c: str) -> str:
+    e, values = _FIELDS[c]
+    return f"[{', '.join(repr(v) for v in values)}][{e} + 1] as {c}"
+
+
+def _values(c: str) -> str:
+    lo, hi = _LISTS[c]
+    base, step = "split_part(p, '/', 1)", "coalesce(try_cast(nullif(split_part(p, '/', 2), '') as int), 1)"
+    first, last = (f"case when {base} = '*' then {x} else cast(split_part({base}, '-', {k}) as int) end" for k, x in ((1, lo), (-1, hi)))
+    return f"flatten(list_transform(string_split({c}, ','), lambda p: range({first}, {last} + 1, {step}))) as {c}_list"
+
+
+#: Every day of the horizon, then every hour and minute of the first two that fit.
+_CRON = f"""with c as (select c_custkey, timestamp '2024-02-27 08:00:00' + to_minutes(c_custkey * 37) as cutoff, {', '.join(map(_choice, _FIELDS))} from customer),
+l as materialized (select *, {', '.join(map(_values, _FIELDS))} from c),
+d as (select c_custkey, cutoff, mi_list, ho_list, day from (select *, cast(cutoff as date) + cast(unnest(range({N.HORIZON})) as int) as day from l)
+where list_contains(mo_list, month(day)) and case when da = '*' and we = '*' then true when da = '*' then list_contains(list_transform(we_list, lambda w: w % 7), dayofweek(day)) when we = '*' then list_contains(da_list, day(day))
+else list_contains(da_list, day(day)) or list_contains(list_transform(we_list, lambda w: w % 7), dayofweek(day)) end qualify row_number() over (partition by c_custkey order by day) <= 2),
+m as (select c_custkey, cutoff, day, ho, unnest(mi_list) as mi from (select *, unnest(ho_list) as ho from d))
+select c_custkey, cast(epoch(t) as bigint) as fires from c left join (select c_custkey, min(t) as t from (select c_custkey, cutoff, day::timestamp + to_hours(ho::int) + to_minutes(mi::int) as t from m) where t > cutoff group by 1) using (c_custkey)"""
+
+
+@query("cron_next_fire", _CRON)
+def cron_next_fire(spark, d):
+    def chosen(c: str):
+        e, values = _FIELDS[c]
+        return F.element_at(F.array(*map(F.lit, values)), F.expr(f"cast({e} + 1 as int)"))
+
+    c = table(spark, d, "customer").select("c_custkey", F.timestamp_seconds(F.lit(1709020800) + F.col("c_custkey") * 37 * 60).alias("cutoff"))
+    return N.next_fires(c, *map(chosen, _FIELDS), F.col("cutoff")).select("c_custkey", F.unix_timestamp("next_fire").alias("fires"))
+
+
+@query("known_at", """select a.o_orderkey, (select arg_max(r.o_orderkey, (r.o_orderdate, r.o_orderkey)) from orders r where r.o_custkey = a.o_custkey and r.o_orderdate + to_days(cast(r.o_orderkey % 400 as int)) <= a.o_orderdate + interval 5 days) as known_value from orders a""")
+def known_at(spark, d):
+    """Which of a customer's orders was the last one known five days after each order; each is known some days after its date."""
+    o = table(spark, d, "orders")
+    known = F.timestamp_seconds(F.unix_timestamp("o_orderdate") + F.col("o_orderkey") % 400 * 86400)
+    asks = o.select("o_orderkey", "o_custkey", F.timestamp_seconds(F.unix_timestamp("o_orderdate") + 5 * 86400).alias("asked"))
+    return V.known_at(o, asks, "o_custkey", known, F.col("o_orderdate"), F.col("o_orderkey"), F.col("o_orderkey"), F.col("asked")).select("o_orderkey", "known_value")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators import levels as L
 from tickloom.operators import schedule as G
 from tickloom.plans.catalog import query
 from tickloom.plans.market_queries import BE, r6
@@ -91,8 +92,8 @@ def watch_semi(spark, d):
 @query("nearest_level", "select o_orderkey, arg_min(p_partkey, (abs(p_retailprice - o_totalprice % 2000), p_partkey)) as level from orders join part on p_size = o_custkey % 50 + 1 group by 1")
 def nearest_level(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") % 2000).alias("x"), (F.col("o_custkey") % 50 + 1).alias("p_size"))
-    j = o.join(table(spark, d, "part").select(F.col("p_size").cast("long").alias("p_size"), "p_partkey", "p_retailprice"), "p_size")
-    return j.groupBy("o_orderkey").agg(F.min_by("p_partkey", F.struct(F.abs(F.col("p_retailprice") - F.col("x")), "p_partkey")).alias("level"))
+    parts = table(spark, d, "part").select(F.col("p_size").cast("long").alias("p_size"), "p_partkey", "p_retailprice")
+    return L.nearest(o, "o_orderkey", "p_size", "x", parts, "p_retailprice", "p_partkey")
 
 
 @query("page_of_rows", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20 offset 40")

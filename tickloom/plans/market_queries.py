@@ -161,9 +161,10 @@ def market_codes(spark, d):
     return p.select("c", K.market_code(F.col("c")).alias("code"))
 
 
-@query("timeframe_seconds", "select tf, n from (values ('1m', 60), ('15m', 900), ('4h', 14400), ('1d', 86400), ('1w', 604800)) v(tf, n), region where r_regionkey = 0")
+@query("timeframe_seconds", "select p_partkey, tf, p_size * case right(tf, 1) when 'm' then 60 when 'h' then 3600 when 'd' then 86400 when 'w' then 604800 end as n from (select *, p_size || case p_partkey % 5 when 0 then 'm' when 1 then 'h' when 2 then 'd' when 3 then 'w' else 'x' end as tf from part)")
 def timeframes(spark, d):
-    return table(spark, d, "region").where("r_regionkey = 0").select(F.explode(F.array(*map(F.lit, ("1m", "15m", "4h", "1d", "1w")))).alias("tf")).select("tf", K.timeframe_seconds(F.col("tf")).alias("n"))
+    unit = F.element_at(F.array(*map(F.lit, "mhdwx")), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), unit).alias("tf")).select("p_partkey", "tf", K.timeframe_seconds(F.col("tf")).alias("n"))
 
 
 # ------------------------------------------------------------------ backtests
@@ -189,9 +190,9 @@ STRESS = f"({_sim_sql('stress', ', unnest([0e0, 1e0, 2e0, 3e0]) as stress', 'sym
 _SAFE = "case when {1} > 1e-12 then {0} / {1} else 0 end"
 
 
-def _metrics_sql(source: str, keys: str) -> str:
+def _metrics_sql(source: str, keys: str, rounded: bool = True) -> str:
     names = ("total_return", "annualized_return", "annualized_volatility", "max_drawdown", "sharpe", "sortino", "calmar", "turnover", "average_turnover")
-    return f"""select {keys}, n, {s6(*names)} from (select *, {_SAFE.format('annualized_return', 'max_drawdown')} as calmar from (
+    return f"""select {keys}, n, {s6(*names) if rounded else ', '.join(names)} from (select *, {_SAFE.format('annualized_return', 'max_drawdown')} as calmar from (
 select {keys}, n, l / f - 1 as total_return, power(l / f, 252e0 / greatest(n - 1, 1)) - 1 as annualized_return, sd * sqrt(252e0) as annualized_volatility, max_drawdown, {_SAFE.format('m', 'sd')} * sqrt(252e0) as sharpe,
 {_SAFE.format('m', 'coalesce(down, 0)')} * sqrt(252e0) as sortino, turnover, turnover / n as average_turnover from (
 select {keys}, count(*) as n, arg_min(equity, bar_idx) as f, arg_max(equity, bar_idx) as l, max(drawdown) as max_drawdown, avg(ret) as m, stddev_pop(ret) as sd, sqrt(avg(ret * ret) filter (where ret < 0)) as down, sum(abs(delta)) as turnover
@@ -293,13 +294,17 @@ def locked(spark, d):
     return B.execute(rows, allow_short=False, t_plus_one=True)
 
 
-#: Figures that don't grow with the product of all returns.
+#: Figures that don't grow with the product of all returns; the others are compared by their logarithms.
 _STEADY = ("annualized_volatility", "max_drawdown", "sharpe", "sortino", "turnover", "average_turnover")
 
 
-@query("bt_t_plus_one", f"select symbol, n, {', '.join(_STEADY)} from ({_metrics_sql(_T1_SQL, 'symbol')})")
+_GROWN = {"total": "ln(1 + total_return)", "annualized": "ln(1 + annualized_return)", "calmar_size": "sign(calmar) * ln(1 + abs(calmar))"}
+
+
+@query("bt_t_plus_one", f"select symbol, n, {s6(*_STEADY)}, {', '.join(f'round({e}, 6) + 0e0 as {k}' for k, e in _GROWN.items())} from ({_metrics_sql(_T1_SQL, 'symbol', False)})")
 def bt_t_plus_one(spark, d):
-    return B.metrics(B.simulate(locked(spark, d))).select("symbol", "n", *r6(*_STEADY))
+    m = B.metrics(B.simulate(locked(spark, d)))
+    return m.select("symbol", "n", *r6(*_STEADY), *[(F.round(F.expr(e), 6) + 0.0).alias(k) for k, e in _GROWN.items()])
 
 
 @query("bt_t_plus_one_positions", f"select symbol, bar_idx, {s6('target')} from {_T1_SQL}")
@@ -365,7 +370,7 @@ where f * {_VALID} + {_TRAIN + _GAP + _VALID} <= (select max(bar_idx) + 1 - {_HO
 def wf_folds(spark, d):
     rows = scored(spark, d)
     n = (rows.agg(F.max("bar_idx")).first()[0] or 0) + 1
-    return M.ic(M.in_folds(rows, M.folds(n, _TRAIN, _GAP, _VALID, _HOLD)), ("fold", "part", "symbol")).select("fold", "part", "symbol", "n", *r6("ic"))
+    return M.ic(M.in_folds(rows, n, _TRAIN, _GAP, _VALID, _HOLD), ("fold", "part", "symbol")).select("fold", "part", "symbol", "n", *r6("ic"))
 
 
 @query("reward", f"""select {s6('ret', 'volatility', 'drawdown', 'turnover', 'score')} from (select *, ret - 0.2e0 * volatility - 0.3e0 * drawdown - 0.05e0 * turnover as score from (select avg(ret) as ret, avg(volatility) as volatility, avg(drawdown) as drawdown, avg(turnover) as turnover from (

@@ -39,6 +39,13 @@ def bars_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ohlcv(li, F.col("l_returnflag"), F.date_trunc("day", F.col("l_shipdate").cast("timestamp")), F.col("l_extendedprice") / F.col("l_quantity"), F.sum("l_quantity"), order)
 
 
+def bars_from_supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of each supplier's unit prices: many symbols, each with hundreds of bars."""
+    li = table(spark, sf_dir, "lineitem")
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey")
+    return ohlcv(li, F.col("l_suppkey"), F.date_trunc("day", F.col("l_shipdate").cast("timestamp")), F.col("l_extendedprice") / F.col("l_quantity"), F.sum("l_quantity"), order)
+
+
 #: The same bars in the oracle's SQL.
 EVENTS_SQL = """select *, cast(row_number() over (partition by symbol order by bar_ts) - 1 as int) as bar_idx from (
 select event_type as symbol, time_bucket(interval '4 hours', ts, timestamp '1970-01-01') as bar_ts, arg_min(value, (ts, event_id)) as open, max(value) as high,
@@ -47,3 +54,7 @@ LINEITEM_SQL = """select *, cast(row_number() over (partition by symbol order by
 select l_returnflag as symbol, date_trunc('day', l_shipdate) as bar_ts, arg_min(p, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) as open, max(p) as high, min(p) as low,
 arg_max(p, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) as close, sum(l_quantity) as volume
 from (select *, l_extendedprice / l_quantity as p from lineitem) group by 1, 2)"""
+SUPPLIES_SQL = """select *, cast(row_number() over (partition by symbol order by bar_ts) - 1 as int) as bar_idx from (
+select l_suppkey as symbol, date_trunc('day', l_shipdate) as bar_ts, arg_min(p, (l_orderkey, l_linenumber, l_partkey)) as open, max(p) as high, min(p) as low,
+arg_max(p, (l_orderkey, l_linenumber, l_partkey)) as close, sum(l_quantity) as volume
+from (select *, l_extendedprice / l_quantity as p from lineitem) group by 1, 2)"""

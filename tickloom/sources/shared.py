@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def with_checkpoints(spark: SparkSession) -> str:
-    """Checkpoints go to spark.checkpoint.dir; only where it is unset (tests on one machine) to a temporary folder."""
+    """Checkpoints go to spark.checkpoint.dir; only where it is unset and the master is local (tests on one machine) to a
+    temporary folder. Elsewhere that is an error: executors don't share such a folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="tickloom-"))
     return (found or spark.sparkContext.getCheckpointDir()).rstrip("/")
