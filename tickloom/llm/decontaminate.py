@@ -13,7 +13,8 @@ contaminated by an item when the item's windows matched at consistent offsets ar
 
 DataFrame functions only, one plan at every size: a map of bounded size of the
 benchmark's window hashes goes to all executors, and only windows that it lets
-through are shuffled and joined.
+through are shuffled and joined. Documents are first read for hashes alone; values
+are kept only of those that share a window with an item.
 
 Defined results: null and empty texts have no windows; items without words are
 ignored; windows of a repeated item or a repeated passage all count; rows with one
@@ -41,12 +42,13 @@ ENDS = "\u0002"
 TOKEN = rf"[@#~]{HOLDS}[^\s]*|[\p{{L}}\p{{N}}]+"
 
 
-def template(text: Column) -> Column:
-    """Words of a text, with placeholders: ``@`` name, ``#`` number, ``~`` unit, each with its value."""
+def template(text: Column, values: bool = True) -> Column:
+    """Words of a text, with placeholders: ``@`` name, ``#`` number, ``~`` unit, each with its value or without it."""
     clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), HOLDS + ENDS, "  ")
-    marked = F.regexp_replace(clean, NAME, f"@{HOLDS}$1{ENDS}")
-    named = F.replace(F.replace(marked, F.lit(f"{ENDS} @{HOLDS}"), F.lit("_")), F.lit(ENDS), F.lit(" "))
-    counted = F.when(named.rlike("[0-9]"), F.regexp_replace(named, NUMBER, f" #{HOLDS}$2 ~{HOLDS}$1$3 ")).otherwise(named)
+    name, number, joint = (f"@{HOLDS}$1{ENDS}", f" #{HOLDS}$2 ~{HOLDS}$1$3 ", "_") if values else (f"@{HOLDS}{ENDS}", f" #{HOLDS} ~{HOLDS} ", "")
+    marked = F.regexp_replace(clean, NAME, name)
+    named = F.replace(F.replace(marked, F.lit(f"{ENDS} @{HOLDS}"), F.lit(joint)), F.lit(ENDS), F.lit(" "))
+    counted = F.when(named.rlike("[0-9]"), F.regexp_replace(named, NUMBER, number)).otherwise(named)
     return F.regexp_extract_all(F.lower(counted), F.lit(TOKEN), F.lit(0))
 
 
@@ -68,7 +70,7 @@ def slots(window: Column) -> Column:
 
 def windows(words: Column, sizes: list[int]) -> Column:
     """array<struct<hash,place,own>>: every window of each size, hashed without its values; own are its words where the text holds a value."""
-    bare = lambda w: F.substring_index(w, HOLDS, 1)
+    bare = lambda w: F.when(w.contains(HOLDS), F.concat(F.substring_index(w, HOLDS, 1), F.lit(HOLDS))).otherwise(w)
 
     def of(some: Column) -> Column:
         def sized(size: int) -> Column:
@@ -85,6 +87,16 @@ def windows(words: Column, sizes: list[int]) -> Column:
     return let(words, lambda ws: let(F.struct(ws.alias("words"), F.when(held(ws), F.transform(ws, bare)).otherwise(ws).alias("bare"), held(ws).alias("held")), of))
 
 
+def hashes(words: Column, sizes: list[int]) -> Column:
+    """The hashes of ``windows`` alone, of words without values."""
+
+    def sized(ws: Column, size: int) -> Column:
+        n = F.size(ws)
+        return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.lit(size), F.slice(ws, i, F.lit(size))))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words, lambda ws: F.concat(*[sized(ws, size) for size in sizes]))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
     """Rows (key, item, found): the share of an item's windows that a document holds consistently, where it is ``share`` at least."""
     own = benchmark.select(F.col(item).alias("_item"), template(F.col(item_text)).alias("_words")).where(F.size("_words") > 0)
@@ -95,7 +107,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         by_size = some if by_size is None else by_size.unionByName(some)
     items = cut(by_size.select("_item", F.col("w.hash").alias("hash"), F.col("w.place").alias("q"), F.coalesce(slots(F.col("w.own")), F.lit("")).alias("item_slots")))
     n_windows = items.groupBy("_item").agg(F.count_distinct("q").alias("n_windows"))
-    placed = docs.select(F.col(key).alias("_key"), F.explode(windows(template(F.col(text)), sizes)).alias("w")).select("_key", F.col("w.hash").alias("hash"), F.col("w.place").alias("p"), F.col("w.own").alias("own"))
+    # documents that share a window with the benchmark; only these, few, are looked at with their values
+    light = docs.select(F.col(key).alias("_key"), F.explode(hashes(template(F.col(text), False), sizes)).alias("hash"))
+    ids = cut(likely(light, F.col("hash"), items, F.col("hash")).join(items.select("hash").hint("merge"), "hash", "left_semi").select("_key").distinct())
+    near = likely(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), F.col("_key"), ids, F.col("_key"))
+    placed = near.select("_key", F.explode(windows(template(F.col("_text")), sizes)).alias("w")).select("_key", F.col("w.hash").alias("hash"), F.col("w.place").alias("p"), F.col("w.own").alias("own"))
     # values are taken out only of windows that the map lets through
     some = likely(placed, F.col("hash"), items, F.col("hash")).select("_key", "hash", "p", slots(F.col("own")).alias("doc_slots"))
     hits = some.join(items.hint("merge"), "hash")
