@@ -183,10 +183,10 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     heavy = F.col("band").isin([b.number for b in starts if b.deletions])
     ranked = segment.join(heads.select("node", "n", "spare", "spare_below"), "node").withColumn("left_out", F.row_number().over(costly) * F.when(heavy, 2).otherwise(1) <= F.when(F.col("band") == own.bitwiseAND(F.lit(63)), F.col("spare")).otherwise(F.col("spare_below")))
     used = cut(ranked.select("node", "n", F.explode("sigs").alias("sig"), (~F.col("left_out")).alias("probe")))
+    drop(hits)
 
     kind = Kind(texts, heads, PARITY_WORDS, percent, parities_allow(percent))
     classes = link_groups(used, kind)
-    drop(hits, used)
 
     # sets whose shingles fill too few segments (hardly any): their rarest shingles by hash meet those of the others
     short = heads.where("spare < 0 or spare_below < 0").select("node", "n")

@@ -152,7 +152,8 @@ def _by_rarest(rows: DataFrame, kind: Kind) -> DataFrame:
 def link_groups(used: DataFrame, kind: Kind) -> DataFrame:
     """(node, component) of all nodes that links connect with another one; a written table.
 
-    used: rows (sig, node, probe); two members of a group are candidates where one of them probes.
+    used: rows (sig, node, probe), a written table, which is removed once its groups that lie apart are known; two
+    members of a group are candidates where one of them probes.
     """
     groups = used.groupBy("sig").agg(F.min("node").alias("centre"), F.max("probe").alias("any"), F.min_by("probe", "node").alias("centre_probe")).where("any")
     star = used.join(groups, "sig").where("node != centre and (probe or centre_probe)").select(F.col("centre").alias("a"), F.col("node").alias("b"))
@@ -163,6 +164,7 @@ def link_groups(used: DataFrame, kind: Kind) -> DataFrame:
     # what still lies apart, with another member of each group, and once more: linear in a group, and near copies
     # that are far from one member are joined by the next
     apart, n, pairs = _apart(used.select("sig", "node", "probe"), classes)
+    drop(used)
     sketch = kind.heads.select("node", "n", *kind.words)
     for turn in range(1, STARS + 1):
         if not n:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.linking import PARITY_WORDS, Kind, link_groups, named, parities, parities_allow
-from tickloom.llm.shared import cut, small_batches
+from tickloom.llm.shared import cut, drop, small_batches
 from tickloom.llm.shingles import U, mix, pieces, set_hash, shingles
 
 WORDS, PERCENT = 5, 85
@@ -152,6 +152,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     member = cut(signed.select("node", F.explode("sigs").alias("sig")).distinct())
     groups = member.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most")
     used = cut(member.join(groups.select("sig"), "sig").withColumn("probe", F.lit(True)))
+    drop(member)
     least, fits = _least_equal(percent), parities_allow(percent)
     kind = Kind(texts, heads, _SKETCH, percent, lambda p, q: (equal_values(p, q) >= least) & fits(p, q))
     return rows, link_groups(used, kind)
