@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import text as T
+from tickloom.operators import clustered as C
 from tickloom.operators import discovery as D
 from tickloom.operators import news as N
 from tickloom.plans.catalog import query
@@ -66,7 +67,12 @@ def session_offset(spark, d):
     return table(spark, d, "part").select("p_partkey", (F.crc32(F.col("p_brand").cast("binary")) % 1_000_000).alias("microseconds"))
 
 
-@query("event_uuid")
+def _uuid5(space: str, name: str) -> str:
+    h = f"sha1(unhex('{space.replace('-', '')}') || encode({name}))"
+    return f"(select substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][(instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) from (select {h} as h))"
+
+
+@query("event_uuid", f"select event_id, {_uuid5('6ba7b810-9dad-11d1-80b4-00c04fd430c8', "event_type || ':' || event_id")} as uuid from events")
 def event_uuid(spark, d):
     return table(spark, d, "events").select("event_id", T.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.concat_ws(":", "event_type", "event_id")).alias("uuid"))
 
@@ -141,6 +147,73 @@ def key_stocks(spark, d):
     return e.groupBy("theme").agg(F.count("*").alias("n"), F.max("importance").alias("top"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
 
 
+RULES = C.Rules(WORDS, {"ports": ["nter", "ieren"], "mills": ["ouren"], "rails": ["ieroi", "ndernt"]}, good=["anly", "hation", "ouen"], bad=["thwh", "onnt"], capital=["ereth", "entier"])
+
+
+def clustered_items(spark, d):
+    """Documents of a source within two days as a cluster; every third names a share, some have no first line or time."""
+    i = F.col("doc_id")
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(":", "source", F.floor(i / 48)).alias("cluster"), F.coalesce("text", F.lit("")).alias("text"), "source", (F.floor(i / 20) % 3).alias("url"), F.timestamp_seconds(1704067200 + i * 3600).alias("publish_time"))
+    code = F.when(F.col("id") % 3 == 0, F.concat(F.lit(" 60000"), (F.col("id") % 4).cast("string"))).otherwise("")
+    return t.withColumns({"title": F.when(F.col("id") % 11 == 0, "").otherwise(F.split("text", "\n")[0]), "content": F.concat("text", code), "event_time": F.when(F.col("id") % 4 == 0, F.col("publish_time") - F.expr("interval 5 hours"))})
+
+
+def _has(word: str) -> str:
+    return f"max(case when contains(low, '{word}') then 1 else 0 end)"
+
+
+def _sum(words) -> str:
+    return "(" + " + ".join(map(_has, words)) + ")"
+
+
+def _events_sql() -> str:
+    kinds = [f"{{'rank': case when {_sum(w)} > 0 then {_sum(w)} * 10 + {N.EVENT_TYPES[k][0]} else -1 end, 'first': -{n}, 'hits': {_sum(w)}, 'kind': '{k}', 'weight': {N.EVENT_TYPES[k][1]}e0}}" for n, (k, w) in enumerate(RULES.kinds.items())]
+    kinds.append("{'rank': 0, 'first': 0, 'hits': 0, 'kind': 'OTHER', 'weight': 30e0}")
+    themes = ", ".join(f"case when {_sum(w)} > 0 then '{k}' end" for k, w in RULES.themes.items())
+    plain = lambda c: f"array_to_string(list_filter(list_transform(string_split({c}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
+    uuid = _uuid5(C.ADDRESSES, f"'news:' || lower({plain('title')}) || '|' || strftime(event_time, '%Y-%m-%d')")
+    return f"""with i as (select doc_id as id, source || ':' || (doc_id // 48) as cluster, source, doc_id // 20 % 3 as url, make_timestamp((1704067200 + doc_id * 3600) * 1000000) as publish_time, case when doc_id % 11 = 0 then '' else string_split(coalesce(text, ''), chr(10))[1] end as title,
+coalesce(text, '') || case when doc_id % 3 = 0 then ' 60000' || (doc_id % 4) else '' end as content from documents), m as (select *, lower(title || chr(10) || content) as low, case when id % 4 = 0 then publish_time - interval 5 hours end as event_time from i),
+a as (select cluster, count(*) as n_items, arg_max({{'title': title, 'content': content}}, (len(content), len(title), publish_time, -id)) as b, count(distinct (source, url)) as sources, coalesce(min(event_time), min(publish_time)) as event_time, min(publish_time) as first, max(publish_time) as last,
+list_max([{', '.join(kinds)}]) as k, list_filter([{themes}], lambda x: x is not null) as themes, {_sum(RULES.good)} as good, {_sum(RULES.bad)} as bad, {_sum(RULES.capital)} as cap from m group by 1),
+c as (select cluster, string_agg(code, ',' order by id) as codes, count(*) as n_codes from (select cluster, code, min(id) as id from (select cluster, id, right(content, 6) as code from m where id % 3 = 0) group by 1, 2) group by 1),
+e as (select a.*, coalesce(c.codes, '') as codes, coalesce(c.n_codes, 0) as n_codes, least(sources, 5) as s, case when b.title <> '' then b.title else substr(b.content, 1, 80) end as title, {plain("case when b.content <> '' then b.content else b.title end")} as brief,
+least(100e0, 25e0 + (good + bad) * 7 + least(sources, 5) * 5) as magnitude, greatest(0.25e0, 0.92e0 - (sources - 1) * 0.07e0) as novelty from a left join c using (cluster)), f as (select *, least(100e0, k.weight + magnitude * 0.35e0 + s * 3) as importance from e)
+select cluster, {uuid} as event_id, case when len(brief) <= 360 then brief else rtrim(substr(brief, 1, 360)) || '...' end as summary, title, n_items, sources, k.kind as event_type, k.hits::bigint as hits, array_to_string(themes, ',') as themes, codes,
+case when good + bad = 0 then 'NEUTRAL' when good > 0 and bad > 0 then 'MIXED' when good > 0 then 'POSITIVE' else 'NEGATIVE' end as direction, round(case when good + bad = 0 then 0e0 else (good - bad) / (good + bad)::double end, 6) + 0e0 as sentiment, round(least(0.96e0, 0.42e0 + least(k.hits, 5) * 0.07e0 + s * 0.04e0), 6) as confidence,
+round(novelty, 6) as novelty, round(magnitude, 6) as magnitude, round(least(100e0, cap * 18e0 + n_codes * 4e0), 6) as capital, case when k.kind in ('RISK', 'BLACK_SWAN', 'PRICE_CHANGE', 'MARKET') then 'INTRADAY' when k.kind in ('POLICY', 'MONETARY_POLICY', 'MACRO', 'GEOPOLITICAL') then 'LONG' else 'MEDIUM' end as horizon,
+round(importance, 6) as importance, round(least(100e0, 35 + importance * 0.4e0 + s * 4 + novelty * 8), 6) as heat, epoch(event_time)::bigint as event_t, epoch(first)::bigint as first_t, epoch(last)::bigint as last_t from f"""
+
+
+@query("cluster_events", _events_sql())
+def cluster_events(spark, d):
+    e = C.cluster_events(clustered_items(spark, d), RULES)
+    joined = [F.array_join(c, ",").alias(c) for c in ("themes", "codes")]
+    times = [F.unix_timestamp(a).alias(b) for a, b in (("event_time", "event_t"), ("first_publish_time", "first_t"), ("last_update_time", "last_t"))]
+    return e.select("cluster", "event_id", "summary", "title", "n_items", "sources", "event_type", F.col("hits").cast("long").alias("hits"), "direction", "horizon", *joined, *r6("sentiment", "confidence", "novelty", "magnitude", "capital", "importance", "heat"), *times)
+
+
+_LEADS = """with n as (select lpad(unnest([o_custkey, o_orderkey % 50])::varchar, 6, '0') as symbol, [o_orderkey % 7, o_custkey % 9] as t, ['POSITIVE', 'negative', 'MIXED', 'NEUTRAL'][o_orderkey % 4 + 1] as d, o_totalprice % 100 as i, o_totalprice % 77 as m from orders),
+s as (select symbol, t, upper(d) as d, least(greatest(50 + i * m / 100 * case upper(d) when 'POSITIVE' then 0.4e0 when 'NEGATIVE' then -0.5e0 when 'MIXED' then 0.1e0 else 0.15e0 end, 0), 100) as s from n),
+e as (select symbol, count(*) as n_events, avg(s) as event_score, bool_or(d = 'NEGATIVE') as review from s group by 1), h as (select s_nationkey as theme_id, case when s_nationkey % 2 = 0 then 'theme ' || s_nationkey else '' end as name, avg(s_acctbal % 100) as heat from supplier where s_nationkey % 5 <> 1 group by 1),
+t as (select symbol, avg(heat) as heat, list(case when name <> '' then name else x::varchar end order by x::varchar)[1:3] as labels from (select distinct symbol, unnest(t) as x from s) left join h on x = theme_id group by 1),
+j as (select *, least(greatest(event_score * 0.6e0 + (50 + (coalesce(heat, 50) - 50) * 0.5e0) * 0.4e0, 0), 100) as score from e left join t using (symbol))
+select symbol, round(score, 6) as score, n_events, round(event_score, 6) as event_score, round(coalesce(heat, 50), 6) as theme_heat, case when heat is null then '' else array_to_string(labels, ',') end as labels, review from j where score >= 50"""
+
+
+@query("symbol_leads", _LEADS)
+def symbol_leads(spark, d):
+    """Orders as events that name shares; suppliers' nations as themes, some without a name, some without a heat."""
+    o = table(spark, d, "orders")
+    code = lambda c: F.lpad(c.cast("string"), 6, "0")
+    direction = F.element_at(F.array(*map(F.lit, ("POSITIVE", "negative", "MIXED", "NEUTRAL"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    e = o.select(F.array(code(F.col("o_custkey")), code(F.col("o_orderkey") % 50)).alias("symbols"), F.array(F.col("o_orderkey") % 7, F.col("o_custkey") % 9).alias("theme_ids"), direction.alias("direction"), (F.col("o_totalprice") % 100).alias("importance"), (F.col("o_totalprice") % 77).alias("magnitude"))
+    n = F.col("s_nationkey")
+    h = table(spark, d, "supplier").where(n % 5 != 1).groupBy(n.alias("theme_id")).agg(F.avg(F.col("s_acctbal") % 100).alias("heat"))
+    h = h.withColumn("name", F.when(F.col("theme_id") % 2 == 0, F.concat(F.lit("theme "), "theme_id")).otherwise(""))
+    return C.symbol_leads(e, h).select("symbol", *r6("score"), "n_events", *r6("event_score", "theme_heat"), F.array_join("labels", ",").alias("labels"), "review")
+
+
 # ------------------------------------------------------------------ discovery
 
 
