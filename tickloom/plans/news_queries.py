@@ -248,6 +248,42 @@ def disc_event_scores(spark, d):
     return o.select("o_orderkey", F.round(D.event_contribution(F.col("dir"), F.col("i"), F.col("m"), F.col("o_orderkey") % 100, F.col("o_custkey") % 100), 6).alias("contribution"), F.round(D.event_risk(F.col("dir"), F.col("i"), F.col("m")), 6).alias("risk"))
 
 
+def _features_sql() -> str:
+    own = {"theme": "c_acctbal % 100", "capital": "(c_custkey % 100) * 1e0", "risk": "c_nationkey * 4e0"}
+    x = {}
+    for n in D.WEIGHTS:
+        mine = f"least(greatest({own.get(n, '50e0')}, 0), 100)"
+        x[n] = f"coalesce(t_{n}, {mine})" if n in D.THEME_SCORES or n == "crowding" else f"coalesce(e_score, {mine})" if n == "global_event" else f"greatest({mine}, coalesce(e_risk, 0))" if n == "risk" else mine
+    shares = D.normalized(D.WEIGHTS)
+    rows = ", ".join(f"{{'part': -round(x_{n} * {w!r}e0, 9), 'at': {k}, 'name': '{n}', 'x': x_{n}}}" for k, (n, w) in enumerate(shares.items()))
+    score = " ".join(f"{'-' if n in D.PENALTIES else '+'} x_{n} * {w!r}e0" for n, w in shares.items())
+    theme = "select s_nationkey as theme_id, " + ", ".join(f"avg((s_suppkey * {k + 2} + s_nationkey * 7) % 100) as {c}" for k, c in enumerate(D.THEME_SCORES.values())) + ", max((s_suppkey * 11 + s_nationkey) % 90)::double as crowding, ['HEATING', 'COOLING', 'DEAD'][s_nationkey % 3 + 1] as state, (s_nationkey % 10) / 10e0 as sure from supplier where s_nationkey % 4 <> 0 group by s_nationkey"
+    event = "select o_orderkey as event_id, case o_orderstatus when 'O' then 'P' when 'F' then 'N' else '' end as dir, o_totalprice % 100 as i, o_totalprice % 77 as m, i / 100 * m / 100 * (o_orderkey % 100) / 100 * (1 - (o_custkey % 100) / 100e0) as s, (o_orderkey % 8) / 8e0 as sure from orders"
+    means = ", ".join(f"avg({c}) as t_{n}" for n, c in D.THEME_SCORES.items())
+    return f"""with th as ({theme}), ev as ({event}), el as (select distinct stock_id, event_id from (select c_custkey as stock_id, o_orderkey as event_id from customer join orders on o_orderkey = c_custkey * 3 union all select c_custkey, o_orderkey from orders join customer on c_custkey = o_custkey)),
+t as (select stock_id, {means}, max(crowding) as t_crowding, sum(sure) as t_sure, count(*) as t_n, string_agg(case when crowding >= 70 then theme_id end, ',' order by theme_id) as crowded, string_agg(case when state in ('COOLING', 'DEAD') then theme_id end, ',' order by theme_id) as fading from {_LINKS} join th using (theme_id) group by 1),
+e as (select stock_id, avg(case dir when 'P' then least(100, 50 + s * 50) when 'N' then greatest(0, 50 - s * 50) else 50 end) as e_score, max(case when dir = 'N' then i * m / 100 else 0 end) as e_risk, sum(sure) as e_sure, count(*) as e_n from el join ev using (event_id) group by 1),
+j as (select c_custkey as stock_id, c_custkey % 4 / 4e0 as own, t.*, e.*, {", ".join(f"{v} as x_{n}" for n, v in x.items())} from customer left join t on t.stock_id = c_custkey left join e on e.stock_id = c_custkey where c_custkey % 9 <> 0),
+k as (select *, [{rows}] as parts from j) select stock_id, round((own + coalesce(t_sure, 0) + coalesce(e_sure, 0)) / (1 + coalesce(t_n, 0) + coalesce(e_n, 0)), 6) as confidence, round(least(greatest(0e0 {score}, 0), 100), 6) as score, array_to_string(list_transform(list_sort(parts)[1:6], lambda p: p.name), ',') as drivers,
+array_to_string(list_transform(list_filter(parts, lambda p: p.name in ('crowding', 'risk') or p.x < 50), lambda p: p.name), ',') as weak, coalesce(crowded, '') as crowded, coalesce(fading, '') as fading, {", ".join(f"round(x_{n}, 6) + 0e0 as {n}" for n in ("theme", "policy", "capital", "crowding", "risk", "global_event"))} from k"""
+
+
+@query("disc_features", _features_sql())
+def disc_features(spark, d):
+    """Customers as stocks, suppliers' nations as themes, orders as events; an event is linked by the stock's list or its own."""
+    c, n, k = F.col("c_custkey"), F.col("s_nationkey"), F.col("s_suppkey")
+    scores = F.create_map(F.lit("theme"), F.col("c_acctbal") % 100, F.lit("capital"), c % 100 * 1.0, F.lit("risk"), F.col("c_nationkey") * 4.0)
+    own = table(spark, d, "customer").select(c.alias("stock_id"), scores.alias("scores"), (c % 4 / 4).alias("confidence"), (c % 9 != 0).alias("eligible"))
+    t = table(spark, d, "supplier").where(n % 4 != 0).groupBy(n.alias("theme_id")).agg(*[F.avg((k * (i + 2) + n * 7) % 100).alias(x) for i, x in enumerate(D.THEME_SCORES.values())], F.max((k * 11 + n) % 90).cast("double").alias("crowding"))
+    t = t.withColumns({"state": F.element_at(F.array(*map(F.lit, ("HEATING", "COOLING", "DEAD"))), (F.col("theme_id") % 3 + 1).cast("int")), "confidence": F.col("theme_id") % 10 / 10})
+    o, price = F.col("o_orderkey"), F.col("o_totalprice")
+    direction = F.when(F.col("o_orderstatus") == "O", "POSITIVE").when(F.col("o_orderstatus") == "F", "NEGATIVE").otherwise("NEUTRAL")
+    e = table(spark, d, "orders").select(o.alias("event_id"), F.array("o_custkey").alias("stock_ids"), F.array().cast("array<int>").alias("theme_ids"), direction.alias("direction"), (price % 100).alias("importance"), (price % 77).alias("magnitude"), (o % 100).alias("novelty"), (F.col("o_custkey") % 100).alias("priced_in"), (o % 8 / 8).alias("confidence"))
+    f = D.candidate_features(own, t, e, D.linked(stocks(spark, d), themes(spark, d)), D.linked_events(stocks(spark, d), e))
+    lists = [F.array_join(F.col(x).cast("array<string>"), ",").alias(x) for x in ("drivers", "weak", "crowded", "fading")]
+    return f.select("stock_id", *r6("confidence", "score"), *lists, *[(F.round(F.col("scores")[x], 6) + F.lit(0.0)).alias(x) for x in ("theme", "policy", "capital", "crowding", "risk", "global_event")])
+
+
 def candidates(spark, d):
     c = table(spark, d, "customer")
     s = F.create_map(F.lit("theme"), F.col("c_acctbal") % 100, F.lit("capital"), F.col("c_custkey") % 100 * 1.0, F.lit("risk"), F.col("c_nationkey") * 4.0)
