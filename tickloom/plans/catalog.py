@@ -57,4 +57,4 @@ def load() -> dict[str, tuple[Query, str | None]]:
     return CATALOG
 
 
-MODULES = ("market_queries", "level_queries", "news_queries", "flow_queries", "action_queries")
+MODULES = ("market_queries", "level_queries", "news_queries", "flow_queries", "action_queries", "decision_queries")
