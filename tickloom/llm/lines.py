@@ -53,30 +53,36 @@ def _spot(doc: str = "doc", place: str = "place") -> Column:
     return F.xxhash64(doc, place)
 
 
-def cuts(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 1, size) of the segments of a line: the last ones are one longer where the length asks for it."""
-    size, rest = F.floor(length / (edits + 1)).cast("int"), (length % (edits + 1)).cast("int")
-    out, start = [], F.lit(1)
-    for i in range(edits + 1):
-        own = size + F.when(rest >= edits + 1 - i, 1).otherwise(0)
-        out.append((start, own))
-        start = start + own
+def probes(edits: int) -> list[tuple[int, int, int]]:
+    """(segment, how much shorter the other line is, how far the segment moves) of all that a line of so many edits must try."""
+    out = []
+    for shorter in range(edits + 1):
+        for i in range(edits + 1):
+            out += [(i, shorter, move) for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)]
     return out
 
 
+def segment(length: Column, i: Column, edits: int) -> tuple[Column, Column]:
+    """(start from 1, size) of a line's segment ``i`` of edits + 1: the last ones are one longer where the length asks for it."""
+    size, rest = (length / (edits + 1)).cast("int"), length % (edits + 1)
+    longer = i + rest - (edits + 1)  # so many segments before this one are longer
+    return 1 + i * size + F.greatest(F.lit(0), longer), size + F.when(longer >= 0, 1).otherwise(0)
+
+
 def _signed(rows: DataFrame, edits: int, least: int) -> DataFrame:
-    """Rows (sig, tag): tag is the line's id doubled, odd where the signature is one of the line's own segments."""
-    n = F.length("line")
-    made = []
-    for shorter in range(edits + 1):
-        length = n - shorter
-        for i, (start, size) in enumerate(cuts(length, edits)):
-            lo, hi = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            for move in range(lo, hi + 1):
-                own = shorter == 0 and move == 0
-                sig = F.xxhash64(F.lit(i), length, F.substring("line", start + move, size))
-                made.append(F.when((length >= least) & (start + move >= 1), F.struct(sig.alias("sig"), (F.shiftleft("line_id", 1) + int(own)).alias("tag"))))
-    return rows.where(n >= least).select(F.explode(F.array(*made)).alias("s")).where("s is not null").select("s.sig", "s.tag")
+    """Rows (sig, tag): tag is the line's id doubled, odd where the signature is one of the line's own segments.
+
+    A line is first repeated for each of its probes, and then one short expression signs them all: a list of a dozen long ones is
+    more than the compiler of the virtual machine takes.
+    """
+    tries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shorter).alias("shorter"), F.lit(move).alias("move")) for i, shorter, move in probes(edits)])
+    sized = rows.select("line", "line_id", F.length("line").alias("n")).where(F.col("n") >= least)
+    each = sized.select("line", "line_id", "n", F.explode(tries).alias("p")).where(F.col("n") - F.col("p.shorter") >= least)
+    length = F.col("n") - F.col("p.shorter")
+    start, size = segment(length, F.col("p.i"), edits)
+    own = F.when((F.col("p.shorter") == 0) & (F.col("p.move") == 0), 1).otherwise(0)
+    placed = each.select("line", "line_id", F.col("p.i").alias("i"), length.alias("length"), (start + F.col("p.move")).alias("start"), size.alias("size"), own.alias("own")).where("start >= 1")
+    return placed.select(F.xxhash64("i", "length", F.col("line").substr(F.col("start"), F.col("size"))).alias("sig"), (F.shiftleft("line_id", 1) + F.col("own")).alias("tag"))
 
 
 def _trimmed(a: Column, b: Column, body) -> Column:
