@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickloom.functions import objects as J
 from tickloom.functions import text as T
 from tickloom.operators import clustered as C
 from tickloom.operators import discovery as D
@@ -351,3 +352,22 @@ def rank_scores(spark, d):
     w = Window.partitionBy("s_nationkey")
     s = table(spark, d, "supplier").withColumns({"k": F.row_number().over(w.orderBy(F.desc("s_acctbal"), "s_suppkey")), "n": F.count("*").over(w)})
     return s.select("s_suppkey", F.round(D.rank_score(F.col("k"), F.col("n")), 6).alias("score"))
+
+
+#: What is put in the middle of each document, by its id: fractions, a list behind a broken object, a fenced object, none, another object.
+_PLANTED = """case doc_id % 5 when 0 then concat('so {"p": {"up": ', cast(doc_id % 61 / 100e0 as {0}), ', "down": ', cast((100 - doc_id % 61) / 100e0 as {0}), '}} or')
+when 1 then concat('{broken {"p": [{"name": "up", "probability": "', cast(doc_id % 61 as {0}), '%"}, {"label": "", "title": "down", "p": "low"}, ', cast(doc_id % 61 as {0}), ', true]} tail')
+when 2 then concat('```json {"p": {"up": ', cast(doc_id % 61 as {0}), ', "note": {"x": "}"}, "down": "very high"}} ``` {"p": {"up": 1}}')
+when 3 then 'no object } {' else '{"q": "}{"} {' end"""
+
+
+@query("text_probabilities", f"""select doc_id, case doc_id % 5 when 0 then length(m) - 6 when 1 then length(m) - 13 when 2 then length(m) - 29 when 4 then 11 end as object_chars,
+case doc_id % 5 when 0 then 'down=' || (100 - doc_id % 61) || '|up=' || doc_id % 61 when 1 then 'down=35|up=' || doc_id % 61 || '|{J.UNNAMED}3=' || doc_id % 61 when 2 then 'down=90|up=' || doc_id % 61 else '' end as pairs from (select doc_id, {_PLANTED.replace('{0}', 'varchar')} as m from documents)""")
+def text_probabilities(spark, d):
+    """The first object in each whole text, and the probabilities of its field p."""
+    t, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    planted = F.concat(t.substr(F.lit(1), half), F.expr(_PLANTED.replace("{0}", "string")), t.substr(half + 1, F.length(t)))
+    found = table(spark, d, "documents").select("doc_id", J.first_object(planted).alias("found"))
+    p = F.map_entries(J.probabilities(F.try_variant_get(F.try_parse_json("found"), "$.p", "variant")))
+    shown = F.transform(F.array_sort(p), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("long").cast("string")))
+    return found.select("doc_id", F.length("found").alias("object_chars"), F.array_join(shown, "|").alias("pairs"))
