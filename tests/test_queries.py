@@ -12,7 +12,7 @@ from tickloom.plans import catalog
 #: One of each family here; the driver compares all.
 NAMES = [
     "feat_rsi14", "feat_macd_hist", "feat_aroon_osc_25", "feat_ret_entropy_20", "feat_cs_rank_ret5", "factor_op_winsorize", "factor_op_ema_5", "factor_op_product_5", "formula_nested", "ohlcv_bars", "bars_valid", "bars_diff_sync", "upsert_last_wins", "keep_latest",
-    "bt_cost_stress", "bt_trades", "bt_trade_stats", "bt_subperiods", "rank_ic", "wf_folds", "reward", "indicators", "touch_outcomes", "volume_profile", "auc_brier", "clean_html", "canonical_url", "theme_heat", "disc_rank", "disc_states", "merge_leads", "source_chart_arrays", "dag_levels", "stream_bars", "stream_flip_events", "pa_directions", "pa_breakout_events", "risk_gate", "misfires_fire_once", "misfires_catch_up", "percentile_score", "pa_hl_legs", "pa_hl_count", "cron_next_fire", "known_at", "nearest_level", "disc_transitions", "timeframe_seconds", "bt_t_plus_one", "event_uuid", "cluster_events", "symbol_leads", "disc_features", "mtf_summary", "mtf_decision", "neighbour_timeframes", "text_probabilities",
+    "bt_cost_stress", "bt_trades", "bt_trade_stats", "bt_subperiods", "rank_ic", "wf_folds", "reward", "indicators", "touch_outcomes", "volume_profile", "auc_brier", "clean_html", "canonical_url", "theme_heat", "disc_rank", "disc_states", "merge_leads", "source_chart_arrays", "dag_levels", "stream_bars", "stream_flip_events", "pa_directions", "pa_breakout_events", "risk_gate", "misfires_fire_once", "misfires_catch_up", "percentile_score", "pa_hl_legs", "pa_hl_count", "cron_next_fire", "known_at", "nearest_level", "disc_transitions", "timeframe_seconds", "bt_t_plus_one", "event_uuid", "cluster_events", "symbol_leads", "disc_features", "mtf_summary", "mtf_decision", "neighbour_timeframes", "text_probabilities", "user_filter",
 ]
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.filters import filtered
 from tickloom.operators import levels as L
 from tickloom.operators import schedule as G
 from tickloom.plans.catalog import query
@@ -201,3 +202,15 @@ def stream_once(spark, d):
 def signal_status(spark, d):
     b = bars_from_events(spark, d).withColumn("bars", F.col("bar_idx") + 1)
     return Z.status(b, F.lit("2024-01-31").cast("timestamp"), 864000, 20).select("symbol", "bar_idx", "status")
+
+
+#: Orders in the middle of the prices of some states, or of the last days, but for one priority.
+_FILTER = {"and": [
+    {"or": [{"and": [{"column": "o_totalprice", "is": ">=", "value": 100000.5}, {"column": "o_totalprice", "is": "<", "value": 300000}, {"column": "o_orderstatus", "is": "in", "value": ["F", "O"]}]}, {"column": "o_orderdate", "is": ">", "value": "2000-06-01"}]},
+    {"not": {"column": "o_orderpriority", "is": "starts", "value": "5"}}, {"column": "o_custkey", "is": "null", "value": False},
+]}
+
+
+@query("user_filter", "select o_orderkey from orders where ((o_totalprice >= 100000.5 and o_totalprice < 300000 and o_orderstatus in ('F', 'O')) or o_orderdate > timestamp '2000-06-01') and not starts_with(o_orderpriority, '5') and o_custkey is not null")
+def user_filter(spark, d):
+    return filtered(table(spark, d, "orders"), _FILTER).select("o_orderkey")
