@@ -59,7 +59,10 @@ def kept_lines(rows):
     return {d: "\n".join(x for i, x in enumerate((t or "").split("\n")) if not x.strip() or (x not in near and first[x] == (d, i))) for d, t in rows}
 
 
-def test_line_dedup_is_brute_force(spark):
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_line_dedup_is_brute_force(spark, monkeypatch, hot):
+    """Also where no line is so frequent that it goes to all executors (``hot`` = 1)."""
+    monkeypatch.setattr(L, "HOT", hot)
     rng = random.Random(4)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([18, 20, 21, 25, 40]))) for _ in range(30)]
     rows = [(i, "\n".join(changed(rng.choice(base), rng.randint(0, 3), "abcdefgh", rng) for _ in range(rng.randint(0, 4)))) for i in range(150)]
