@@ -157,3 +157,20 @@ def test_pivots_are_known_later(bars):
 def test_position_size(spark):
     row = spark.range(1).select(Q.size_position(F.lit(100000.0), F.lit(10.05), F.lit(9.40), F.lit(0.5), cost=0.03).alias("q")).first()
     assert row.q == 200
+
+
+def test_prices_of_zero(spark):
+    """Logarithms of zero prices are infinite and become 0, as in the reference; an error or a null before."""
+    rows = [("A", i, 4.0, 8.0, 0.0 if i == 3 else 2.0, 0.0 if i == 30 else 4.0, 1.0) for i in range(60)]
+    bars = spark.createDataFrame(rows, "symbol string, bar_idx int, open double, high double, low double, close double, volume double").withColumn("bar_ts", F.timestamp_seconds(F.col("bar_idx") * 60))
+    high, low, close = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
+    with np.errstate(all="ignore"):
+        above = np.log(high / low)
+        garman = np.sqrt(np.maximum(0.5 * above**2 - (2 * np.log(2) - 1) * ret(np.maximum(close, 1e-12)) ** 2, 0))
+        rogers = np.sqrt(np.maximum(rolling(np.log(high / close) * np.log(high / 4) + np.log(low / close) * np.log(low / 4), 20).mean(1), 0))
+        want = {"GK_VOL": garman, "PARKINSON_VOL": np.sqrt(above**2 / (4 * np.log(2))), "RS_VOL": rogers}
+    for name, w in want.items():
+        w = np.where(np.isfinite(w), w, 0.0)
+        assert w[3] == 0 and (w > 0).any()
+        np.testing.assert_allclose(series(bars, [name]), w, atol=1e-12, err_msg=name)
+    assert np.isfinite(series(bars, ["YANG_ZHANG_VOL"])).all()

@@ -93,6 +93,11 @@ class Spark:
     def count_if(self, items: str, body: str) -> str:
         return f"size(filter({items}, v -> {body}))"
 
+    def log_ratio(self, x: str, y: str) -> str:
+        """Logarithm of a ratio as floating point has it: infinite where one side is 0, not a number where both are or the signs differ."""
+        zero = f"case when {x} > 0e0 then double('Infinity') when {x} <= 0e0 then double('NaN') end"
+        return f"(case when {y} = 0e0 then {zero} when {x} = 0e0 then double('-Infinity') when ({x} < 0e0) != ({y} < 0e0) then double('NaN') else ln({x} / {y}) end)"
+
     sort, position, top, bottom = "array_sort({0})", "array_position({0}, {1})", "array_max({0})", "array_min({0})"
 
 
@@ -121,6 +126,9 @@ class Duck(Spark):
     def count_if(self, items: str, body: str) -> str:
         return f"len(list_filter({items}, lambda v: {body}))"
 
+    def log_ratio(self, x: str, y: str) -> str:
+        return f"ln(({x} / {y}))"
+
 
 class Program:
     def __init__(self, dialect: Spark | None = None) -> None:

@@ -118,8 +118,8 @@ def _squared(x: X) -> X:
     return X(f"({x} * {x})")
 
 
-def _above(x: X, y: X) -> X:
-    return call("ln", x / y)
+def _above(p: Program, x: X, y: X) -> X:
+    return X(p.d.log_ratio(str(x), str(y)))
 
 
 def _price_place(p: Program) -> X:
@@ -172,10 +172,10 @@ FEATURES = {
     "PPO": ("momentum", 26, lambda p: sdiv(p.ema(C, 12) - p.ema(C, 26), p.ema(C, 26))),
     "ULT_OSC": ("momentum", 28, _ultimate),
     "RET_ACCEL": ("momentum", 2, lambda p: p.diff(_ret(p))),
-    "GK_VOL": ("volatility", 2, lambda p: call("sqrt", call("greatest", 0.5 * _squared(_above(H, L)) - (2 * LN2 - 1) * _squared(_ret(p)), 0))),
-    "PARKINSON_VOL": ("volatility", 2, lambda p: call("sqrt", _squared(_above(H, L)) / (4 * LN2))),
-    "YANG_ZHANG_VOL": ("volatility", 20, lambda p: call("sqrt", _squared(p.std0(_ret(p), 20)) + _squared(p.std0(_above(O, p.previous(C, O)), 20)))),
-    "RS_VOL": ("volatility", 20, lambda p: call("sqrt", call("greatest", p.mean0(_above(H, C) * _above(H, O) + _above(L, C) * _above(L, O), 20), 0))),
+    "GK_VOL": ("volatility", 2, lambda p: call("sqrt", call("greatest", 0.5 * _squared(_above(p, H, L)) - (2 * LN2 - 1) * _squared(_ret(p)), 0))),
+    "PARKINSON_VOL": ("volatility", 2, lambda p: call("sqrt", _squared(_above(p, H, L)) / (4 * LN2))),
+    "YANG_ZHANG_VOL": ("volatility", 20, lambda p: call("sqrt", _squared(p.std0(_ret(p), 20)) + _squared(p.std0(_above(p, O, p.previous(C, O)), 20)))),
+    "RS_VOL": ("volatility", 20, lambda p: call("sqrt", call("greatest", p.mean0(_above(p, H, C) * _above(p, H, O) + _above(p, L, C) * _above(p, L, O), 20), 0))),
     "AMIHUD_ILLIQ": ("volume", 2, lambda p: sdiv(call("abs", _ret(p)), call("greatest", V * C, 1e-9))),
     "KYLE_LAMBDA": ("volume", 2, lambda p: sdiv(_ret(p), call("greatest", V, 1e-9))),
     "CMF_20": ("volume", 20, lambda p: sdiv(p.sum0(((C - L) - (H - C)) / (H - L + 1e-9) * V, 20), p.sum0(V, 20))),
