@@ -42,6 +42,15 @@ def test_ties_nulls_and_codes(spark):
     assert C.cluster_events(spark.createDataFrame([], ITEM), C.Rules({})).collect() == []
 
 
+def test_numbers_of_documents_are_no_shares(spark, tmp_path):
+    """A document's own six digits were codes of its cluster's event, which they aren't in the SQL."""
+    from tickloom.plans import news_queries as Q
+
+    spark.createDataFrame([(0, "call 600999 now", "s"), (1, "id 000004 here", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = Q.cluster_events(spark, str(tmp_path)).first()
+    assert (r.codes, r.capital, r.n_items) == ("600000", 4.0, 2)
+
+
 def test_leads(spark):
     """A symbol named twice counts twice; themes without heat and null symbols don't; a negative event is told."""
     e = spark.createDataFrame([(["1", "1", None], ["t", "t", "x"], "positive", 100.0, 100.0), (["1", "2"], ["x"], "NEGATIVE", 50.0, 100.0), (["3"], [], None, 0.0, 0.0), ([], ["t"], "MIXED", 9.0, 9.0)], "symbols array<string>, theme_ids array<string>, direction string, importance double, magnitude double")

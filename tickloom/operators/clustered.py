@@ -49,12 +49,13 @@ def _masks(text: Column, terms: list[str]) -> list[Column]:
     return [sum(bit[k + 1 : k + BITS], bit[k]) for k in range(0, len(bit), BITS)]
 
 
-def cluster_events(items: DataFrame, rules: Rules, prefix: str = "news:") -> DataFrame:
+def cluster_events(items: DataFrame, rules: Rules, prefix: str = "news:", shares: Column | None = None) -> DataFrame:
     """``items`` (cluster, id, title, content, source, url, publish_time, event_time) as one event a cluster.
 
     Title and summary are those of the item with the longest content (ties: longest title, latest, smallest id). An empty title gives
     way to the content's first 80 signs. Nulls count as empty texts; an item without event_time doesn't set the event's, and a cluster without
-    any takes its first publication. Items' ids stay in ``items``; ``n_items`` counts them.
+    any takes its first publication. Items' ids stay in ``items``; ``n_items`` counts them. Share codes are read in title and content, or
+    only in ``shares`` where a feed names them apart: any six digits of a free text would pass for one.
     """
     terms = rules.terms()
     place = {w: k for k, w in enumerate(terms)}
@@ -77,7 +78,8 @@ def cluster_events(items: DataFrame, rules: Rules, prefix: str = "news:") -> Dat
     themes = [F.when(hits(words) > 0, F.lit(name)) for name, words in rules.themes.items()]
 
     # a cluster's codes: distinct ones only are gathered, in the order they come in
-    found = t.select("cluster", "id", F.posexplode(F.regexp_extract_all(both, F.lit(SHARE_CODE), F.lit(1))).alias("at", "code"))
+    named = both if shares is None else F.coalesce(shares, F.lit(""))
+    found = t.select("cluster", "id", F.posexplode(F.regexp_extract_all(named, F.lit(SHARE_CODE), F.lit(1))).alias("at", "code"))
     each = found.groupBy("cluster", "code").agg(F.min(F.struct("id", "at")).alias("at"))
     codes = each.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]).alias("codes"))
 
