@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.sources.shared import spread
+
 from tickloom.functions.ranges import running_total
 from tickloom.functions.recurrence import ema
 
@@ -238,10 +240,14 @@ def round_bonus(center: Column, atr: Column) -> Column:
     return F.when(center > 0, F.greatest(*each)).otherwise(0.0)
 
 
-def near(left: DataFrame, right: DataFrame, a: str, b: str, width: Column, most: float) -> DataFrame:
-    """Band join |a - b| <= width, where width is ``most`` at most: equi-join on buckets of ``most``, each right row in three of them."""
-    spread = right.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col(b) / most) + k)))
-    return left.withColumn("_b", F.floor(F.col(a) / most)).join(spread, "_b").where(F.abs(F.col(a) - F.col(b)) <= width).drop("_b")
+def near(left: DataFrame, right: DataFrame, a: str, b: str, width: Column, most: float, same: tuple[str, str] | None = None) -> DataFrame:
+    """Band join |a - b| <= width, where width is ``most`` at most: equi-join on buckets of ``most``, each right row in three of them, and on
+    the columns ``same`` (left, right) where both sides must agree."""
+    near = right.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col(b) / most) + k)))
+    l_keys, r_keys = (["_b", *([same[k]] if same else [])] for k in (0, 1))
+    l, r = spread(left.withColumn("_b", F.floor(F.col(a) / most)), *l_keys).alias("l"), spread(near, *r_keys).alias("r")  # noqa: E741
+    j = l.join(r, [F.col(f"l.{x}") == F.col(f"r.{y}") for x, y in zip(l_keys, r_keys, strict=True)])
+    return j.where(F.abs(F.col(f"l.{a}") - F.col(f"r.{b}")) <= width).select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in right.columns])
 
 
 def bucket(x: Column, edges: list[float]) -> Column:

@@ -143,7 +143,7 @@ def mtf_band_join(spark, d):
     p = table(spark, d, "part")
     a = p.select(F.col("p_partkey").alias("a"), F.col("p_size").alias("sa"), F.col("p_retailprice").alias("pa"))
     b = p.select(F.col("p_partkey").alias("b"), F.col("p_size").alias("sb"), F.col("p_retailprice").alias("pb"))
-    return Q.near(a, b, "pa", "pb", F.lit(5.0), 5.0).where("sa = sb and a < b").select("a", "b")
+    return Q.near(a, b, "pa", "pb", F.lit(5.0), 5.0, ("sa", "sb")).where("a < b").select("a", "b")
 
 
 @query("score_buckets", "select p_size, count(*) as n, len(list_filter([10, 20, 30, 40], lambda e: e <= p_size)) + 1 as bucket from part group by 1, 3")

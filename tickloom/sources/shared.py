@@ -1,11 +1,11 @@
-"""The folder that executors and driver share."""
+"""The folder that executors and driver share, and rows dealt for work that outgrows them."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def with_checkpoints(spark: SparkSession) -> str:
@@ -17,3 +17,8 @@ def with_checkpoints(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="tickloom-"))
     return (found or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt by ``columns`` to several tasks a core, however few bytes it has: for joins whose result is far larger than their sides."""
+    return df.repartition(max(64, 4 * df.sparkSession.sparkContext.defaultParallelism), *columns)
