@@ -79,11 +79,19 @@ def _first_object(text: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def first_object(texts: pd.Series) -> pd.Series:
-    """The first JSON object in each text, as it is written there; null where there is none, and for null texts."""
+def _first_objects(texts: pd.Series) -> pd.Series:
     return pd.Series([_first_object(t) for t in texts], dtype=object)
 
 
+def first_object(text: Column | str) -> Column:
+    """The first JSON object in each text, as it is written there; null where there is none, and for null texts. Only what lies from
+    the first opening brace to the last closing one goes to Python: no object reaches beyond."""
+    text = F.col(text) if isinstance(text, str) else text
+    first, last = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
+    held = (first > 0) & (last > first) & F.contains(text, F.lit("}"))
+    return _first_objects(F.when(held, text.substr(first, last - first + 1)))
+
+
 def _text(v: Column) -> Column:
     """A string or number of a variant, trimmed; empty for what is neither, and for words for nothing."""
     t = F.trim(F.try_variant_get(v, "$", "string"))
