@@ -152,11 +152,11 @@ def trading_days(spark, d):
 # ------------------------------------------------------------------ streams
 
 
-def _streamed(spark, df: DataFrame, transform, schema: DataFrame) -> DataFrame:
-    """A table as a stream through ``transform`` into Parquet, all of it; both lie in the shared folder."""
+def _streamed(spark, df: DataFrame, transform, schema: DataFrame, files: int = 4) -> DataFrame:
+    """A table as a stream of ``files`` a step through ``transform`` into Parquet, all of it; both lie in the shared folder."""
     base = f"{with_checkpoints(spark)}/stream-{uuid.uuid4().hex}"
     df.write.parquet(f"{base}/in")
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     out = transform(source)
     out.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
     return spark.read.schema(schema.schema).parquet(f"{base}/out")
@@ -168,7 +168,8 @@ def stream_bars(spark, d):
     # a last tick far ahead lets the watermark close every bar
     last = ticks.groupBy("symbol").agg(F.lit("2030-01-01").cast("timestamp").alias("ts"), F.lit(0.0).alias("price"), F.lit(0).cast("long").alias("seq"))
     f = lambda t: Z.stream_bars(t, late="60 days")
-    made = _streamed(spark, ticks.unionByName(last).coalesce(1), f, f(ticks))
+    # all files in one step, so that none is behind the watermark of another one
+    made = _streamed(spark, ticks.unionByName(last), f, f(ticks), 2**31 - 1)
     return made.where("bar_ts < '2029-01-01'").select("symbol", F.unix_timestamp("bar_ts").alias("t"), "open", "high", "low", "close", "volume")
 
 
