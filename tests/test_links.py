@@ -38,3 +38,18 @@ def test_bands_meet_within_equal_keys(spark):
     got = [(r.a, r.b) for r in near.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert Q.near(a, b, "pa", "pb", F.lit(2.0), 2.0).count() == sum(abs(x[2] - y[2]) <= 2 for x in rows for y in rows)
+
+
+def test_few_bytes_of_much_work_are_dealt(spark, sf):
+    from tickloom.plans import action_queries as A
+
+    assert A.cron_next_fire(spark, sf).rdd.getNumPartitions() >= 64
+
+
+def test_python_gets_what_lies_between_braces(spark):
+    """Before, whole texts went to Python."""
+    from tickloom.functions import objects as J
+
+    df = spark.createDataFrame([("x" * 50 + '} {"a": {"b": 1}} }' + "y" * 50,), ("{ open",), ("shut }",), (None,), ("",)], "t string")
+    out = df.select(J.first_object("t").alias("o"))
+    assert [r.o for r in out.collect()] == ['{"a": {"b": 1}}', None, None, None, None] and "reverse(t" in plan(out)

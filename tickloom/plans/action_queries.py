@@ -10,6 +10,7 @@ from tickloom.operators import revisions as V
 from tickloom.operators import schedule as G
 from tickloom.plans.catalog import query
 from tickloom.plans.market_queries import BE, r6, s6
+from tickloom.sources.shared import spread
 from tickloom.sources.bars import SUPPLIES_SQL, bars_from_events, bars_from_supplies, table
 
 _LAST = f"""(select *, row_number() over (partition by symbol order by bar_idx) - 1 as k, count(*) over (partition by symbol) as n, greatest(high - low, abs(high - coalesce(lag(close) over (partition by symbol order by bar_idx), close)), abs(low - coalesce(lag(close) over (partition by symbol order by bar_idx), close))) as tr
@@ -166,7 +167,8 @@ def cron_next_fire(spark, d):
         return F.element_at(F.array(*map(F.lit, values)), F.expr(f"cast({e} + 1 as int)"))
 
     c = table(spark, d, "customer").select("c_custkey", F.timestamp_seconds(F.lit(1709020800) + F.col("c_custkey") * 37 * 60).alias("cutoff"))
-    return N.next_fires(c, *map(chosen, _FIELDS), F.col("cutoff")).select("c_custkey", F.unix_timestamp("next_fire").alias("fires"))
+    # a customer has few bytes and much to work out: its own tasks, not the file's
+    return N.next_fires(spread(c), *map(chosen, _FIELDS), F.col("cutoff")).select("c_custkey", F.unix_timestamp("next_fire").alias("fires"))
 
 
 @query("known_at", """select a.o_orderkey, (select arg_max(r.o_orderkey, (r.o_orderdate, r.o_orderkey)) from orders r where r.o_custkey = a.o_custkey and r.o_orderdate + to_days(cast(r.o_orderkey % 400 as int)) <= a.o_orderdate + interval 5 days) as known_value from orders a""")
