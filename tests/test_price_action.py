@@ -79,3 +79,32 @@ def test_legs_of_blocks_are_those_of_one_pass(spark):
     assert len(last) == 13 and last["short"].bull_candidate == "none" and last["short"].bull_count == 0
     assert {r.bull_candidate for r in last.values()} | {r.bear_candidate for r in last.values()} >= {"none"}
     assert A.hl_legs(df.limit(0)).count() == 0
+
+
+def test_legs_meet_bars_once_and_odd_prices(spark):
+    """Bars are gathered once a block, not once for each bar before them; missing prices fail comparisons, and not-a-number is above all."""
+    rng = random.Random(5)
+    odd = [None, float("nan"), float("inf"), -0.0, 0.0]
+    bars = [tuple(rng.choice(odd) if rng.random() < 0.06 else float(rng.randint(-3, 9)) for _ in range(2)) for _ in range(900)]
+    df = spark.createDataFrame([("a", k, h, l) for k, (h, l) in enumerate(bars)], "symbol string, bar_idx int, high double, low double")  # noqa: E741
+    made = A.hl_legs(df, 40)
+    assert "collect_list" not in (plan := made._jdf.queryExecution().optimizedPlan().toString()) and "Window" not in plan
+    top = lambda x: (x != x, 0.0 if x != x else x)
+
+    class P(tuple):
+        """A price that compares as Spark's do."""
+
+        def __gt__(self, other):
+            return None not in (self[0], other[0]) and top(self[0]) > top(other[0])
+
+        def __lt__(self, other):
+            return other > self
+
+        def __neg__(self):
+            return P((None if self[0] is None else -self[0],))
+
+    own = [(P((h,)), P((l,))) for h, l in bars]  # noqa: E741
+    want = {(1, *x) for x in plain_legs(own)} | {(-1, *x) for x in plain_legs([(-l, -h) for h, l in own])}  # noqa: E741
+    assert {(r.side, r.origin, r.until, r.how, r["count"], r.last_trigger) for r in made.collect()} == want and len(want) > 40
+    mixed = df.unionByName(df.withColumn("symbol", F.lit(None).cast("string")))
+    assert A.hl_legs(mixed, 40).where("symbol is null").count() == 0 and A.hl_count(mixed).count() == 2

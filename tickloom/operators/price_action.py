@@ -6,10 +6,17 @@ collected. Votes are expressions over that array.
 
 from __future__ import annotations
 
-import pandas as pd
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.sources.shared import with_checkpoints
+
 LOOKBACK, LEAST = 120, 60
 #: Bars of the seeded averages of closes and of true ranges.
 SPAN, RANGE = 20, 14
@@ -192,75 +199,153 @@ def risk_gate(
 
 #: Fixed values of the pullback counter: bars beside a pivot, bars that a leg lives, bars that a symbol needs, the highest tag.
 PIVOT, LEG, HL_LEAST, HL_TAG = 2, 30, 6, 3
-#: Bars of a block; blocks carry the neighbouring bars that their legs reach.
-HL_BLOCK = 512
+#: Bars of a block; blocks carry the neighbouring bars that their legs reach. Bars worked on at once in a task.
+HL_BLOCK, HL_BARS = 512, 400_000
 _NEVER = 1 << 60
+_HOW = ("open", "broken", "expired")
+_LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
-def _leg(origin: Column, swing: Column, ahead: Column) -> Column:
-    """What becomes of a leg over the bars behind its confirmation: count, last trigger, end and why."""
-    start = F.struct(F.lit(0).alias("count"), F.lit(None).cast("long").alias("last"), F.lit(True).alias("armed"), F.lit(None).cast("double").alias("signal"), F.lit(None).cast("long").alias("until"), F.lit(None).cast("string").alias("how"))
+def _order(x: np.ndarray) -> np.ndarray:
+    """Integers in the order of Spark's doubles: not-a-number is above all and equal to itself, both zeros are equal."""
+    b = np.where(np.isnan(x), np.nan, x + 0.0).view(np.int64)
+    return b ^ (b >> 63 & _MOST)
 
-    def bar(s: Column, b: Column) -> Column:
-        ends = F.when(b["h"] > swing, "broken").when(b["bar_idx"] - origin > LEG, "expired")
-        live = s["how"].isNull() & ends.isNull()
-        armed = s["armed"] | F.coalesce(b["l"] < s["signal"], F.lit(False))
-        fires = live & armed & (b["h"] > b["ph"])
-        return F.struct(
-            F.when(fires, s["count"] + 1).otherwise(s["count"]).alias("count"), F.when(fires, b["bar_idx"]).otherwise(s["last"]).alias("last"), F.when(fires, False).when(live, armed).otherwise(s["armed"]).alias("armed"),
-            F.when(fires, b["pl"]).otherwise(s["signal"]).alias("signal"), F.when(s["how"].isNull() & ends.isNotNull(), b["bar_idx"]).otherwise(s["until"]).alias("until"), F.coalesce(s["how"], ends).alias("how"),
-        )
 
-    return F.aggregate(ahead, start, bar)
+def _legs(seg: np.ndarray, at: np.ndarray, own: np.ndarray, h: tuple, l: tuple) -> tuple:  # noqa: E741
+    """Pivots of all blocks at once, and what becomes of each one's leg over the bars behind its confirmation.
 
+    ``h`` and ``l`` hold the prices twice: for the left side of a comparison and for the right one, so that a missing price fails it.
+    """
+    pivot = own.copy()
+    for k in range(1, PIVOT + 1):
+        same = seg[k:] == seg[:-k]
+        pivot[:k] = pivot[-k:] = False
+        pivot[k:] &= same & (h[0][k:] > h[1][:-k])
+        pivot[:-k] &= same & (h[0][:-k] > h[1][k:])
+    p = np.flatnonzero(pivot)
+    end, swing, origin = np.searchsorted(seg, seg[p], "right"), h[1][p], at[p]
+    count, last, until, how = np.zeros(len(p), np.int32), np.full(len(p), -1), np.full(len(p), _NEVER), np.zeros(len(p), np.int8)
+    armed, signal, live = np.ones(len(p), bool), np.full(len(p), _LEAST), np.arange(len(p))
+    for d in range(PIVOT + 1, LEG + 2):
+        live = live[p[live] + d < end[live]]
+        j = p[live] + d
+        broken = h[0][j] > swing[live]
+        ended = broken | (at[j] - origin[live] > LEG)
+        until[live[ended]], how[live[ended]] = at[j[ended]], np.where(broken[ended], 1, 2)
+        live, j = live[~ended], j[~ended]
+        ready = armed[live] | (l[0][j] < signal[live])
+        fires = ready & (h[0][j] > h[1][j - 1])
+        armed[live] = ready & ~fires
+        f, j = live[fires], j[fires]
+        count[f] += 1
+        last[f], signal[f] = at[j], l[1][j - 1]
+    return p, origin, until, how, count, last
+
+
+def _leaves(seg: np.ndarray, start: np.ndarray, origin: np.ndarray, until: np.ndarray, size: int) -> np.ndarray:
+    """Each block's function, a row of ``LEG`` + 3: on which bar it leaves its symbol free, by the bar on which it finds it so (the last: never)."""
+    width, n = size + 2 * LEG, len(seg)
+    key = seg * width + origin - start[seg]
+    # the leg that follows each leg; none where the block has no later pivot
+    after = np.searchsorted(key, np.where(until < _NEVER, seg * width + until + 1 - PIVOT - start[seg], _MOST))
+    follows = (after < n) & (np.append(seg, -1)[after] == seg)
+    final = np.where(follows, after, np.arange(n))
+    while (final[final] != final).any():
+        final = final[final]
+    i = np.arange(LEG + 2)
+    first = np.searchsorted(key, np.arange(len(start))[:, None] * width + i - PIVOT)
+    has = np.append(seg, -1)[first] == np.arange(len(start))[:, None]
+    out = np.where(has, np.append(until[final] + 1, 0)[first], start[:, None] + i)
+    return np.hstack([out, np.full((len(start), 1), _NEVER)])
+
+
+def _blocks(size: int):
+    """From blocks of bars to their pivots' legs and their functions, for both sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few = max(1, HL_BARS // (size + LEG + PIVOT))
+        for whole in batches:
+            for batch in (whole.slice(k, few) for k in range(0, whole.num_rows, few)):
+                bars, block = batch.column("s").flatten(), batch.column("block").to_numpy()
+                seg = np.repeat(np.arange(len(block)), pc.list_value_length(batch.column("s")).to_numpy())
+                at, high, low = (bars.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                gone = [bars.field(k).is_null().to_numpy(zero_copy_only=False) for k in (1, 2)]
+                if not ((np.diff(at) > 0) | (np.diff(seg) > 0)).all():
+                    o = np.lexsort((at, seg))
+                    at, high, low, gone = at[o], high[o], low[o], [g[o] for g in gone]
+                own = at // size == block[seg]
+                n = np.bincount(seg[own], minlength=len(block))
+                for side in (1, -1):
+                    (h, no_h), (l, no_l) = ((high, gone[0]), (low, gone[1])) if side == 1 else ((-low, gone[1]), (-high, gone[0]))  # noqa: E741
+                    h, l = _order(h), _order(l)  # noqa: E741
+                    tops, lows = (np.where(no_h, _LEAST, h), np.where(no_h, _MOST, h)), (np.where(no_l, _MOST, l), np.where(no_l, _LEAST, l))
+                    p, origin, until, how, count, last = _legs(seg, at, own, tops, lows)
+                    ends = np.searchsorted(seg[p], np.arange(len(block) + 1)).astype(np.int32)
+                    legs = pa.StructArray.from_arrays([pa.array(origin), pa.array(until), pa.array(_HOW).take(pa.array(how)), pa.array(count), pa.array(last, mask=last < 0)], ["origin", "until", "how", "count", "last"])
+                    after = _leaves(seg[p], block * size, origin, until, size)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("symbol"), pa.array(np.full(len(block), side, np.int32)), batch.column("block"), pa.array(n), pa.ListArray.from_arrays(np.arange(len(block) + 1, dtype=np.int32) * (LEG + 3), after.ravel()), pa.ListArray.from_arrays(ends, legs)],
+                        ["symbol", "side", "block", "n", "after", "legs"],
+                    )
 
-def _free(size: int):
-    """From which bar on each block may begin a leg: the blocks' functions one after the other."""
+    return run
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        free, out = 0, []
-        for block, after in zip(pdf["block"], pdf["after"], strict=True):
-            out.append(free)
-            free = int(after[LEG + 2 if free >= _NEVER else max(0, free - block * size)])
-        return pdf[["symbol", "side", "block"]].assign(free=out)
+
+def _free(size: int):
+    """From which bar on each block may begin a leg: a symbol's functions one after the other, as they come in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, free = None, 0
+        for batch in batches:
+            after, out = batch.column("after").flatten().to_numpy().reshape(-1, LEG + 3), []
+            for k, (symbol, side, block) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("symbol", "side", "block")), strict=True)):
+                if now != (symbol, side):
+                    now, free = (symbol, side), 0
+                out.append(free)
+                free = int(after[k, LEG + 2 if free >= _NEVER else max(0, free - block * size)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("symbol", "side", "block")), pa.array(out, pa.int64())], ["symbol", "side", "block", "free"])
 
     return run
 
 
+def leg_blocks(bars: DataFrame, block: int = HL_BLOCK) -> DataFrame:
+    """Blocks of ``block`` bars (more than ``LEG``) by side, a written table: symbol, side, block, n (its bars), after (its function), legs (of all its pivots)."""
+    spark, kind = bars.sparkSession, dict(bars.dtypes)["symbol"]
+    own, place = F.floor(F.col("bar_idx") / block), F.col("bar_idx") % block
+    beside = F.array_compact(F.array(own, F.when(place >= block - PIVOT, own + 1), F.when((place <= LEG) & (own > 0), own - 1)))
+    bar = F.struct(F.col("bar_idx").cast("long").alias("bar_idx"), F.col("high").cast("double").alias("high"), F.col("low").cast("double").alias("low"))
+    rows = bars.select("symbol", F.explode(beside).alias("block"), bar.alias("bar"))
+    cells = rows.groupBy("symbol", "block").agg(F.collect_list("bar").alias("s"))
+    made = cells.mapInArrow(_blocks(block), f"symbol {kind}, side int, block long, n long, after array<long>, legs array<struct<origin: long, until: long, how: string, count: int, last: long>>")
+    path = f"{with_checkpoints(spark)}/legs-{uuid.uuid4().hex}"
+    made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def _living(blocks: DataFrame, block: int = HL_BLOCK) -> DataFrame:
+    """The legs of ``leg_blocks`` that live."""
+    blocks, kind = blocks.where("symbol is not null"), dict(blocks.dtypes)["symbol"]
+    functions = blocks.select("symbol", "side", "block", "after").repartition("symbol", "side").sortWithinPartitions("symbol", "side", "block")
+    free = functions.mapInArrow(_free(block), f"symbol {kind}, side int, block long, free long")
+    taken = lambda free, g: g["origin"] + PIVOT >= free
+    none = F.struct(F.col("free").alias("free"), F.filter("legs", lambda g: F.lit(False)).alias("legs"))
+    chosen = F.aggregate("legs", none, lambda s, g: F.when(taken(s["free"], g), F.struct((g["until"] + 1).alias("free"), F.concat(s["legs"], F.array(g)).alias("legs"))).otherwise(s))["legs"]
+    out = blocks.select("symbol", "side", "block", "legs").join(free, ["symbol", "side", "block"]).select("symbol", "side", F.explode(chosen).alias("g"))
+    return out.select("symbol", "side", "g.origin", F.when(F.col("g.how") != "open", F.col("g.until")).alias("until"), "g.how", "g.count", F.col("g.last").alias("last_trigger"))
+
+
 def hl_legs(bars: DataFrame, block: int = HL_BLOCK) -> DataFrame:
     """Pullback legs of each symbol, side 1 from swing highs (H counts) and -1 from swing lows (L counts, mirrored):
     symbol, side, origin, until, how (broken, expired, open), count, last_trigger.
 
     A leg begins at a fractal pivot while no other one lives, and ends where its pivot is passed or after ``LEG`` bars; a
     trigger is a bar above the one before it, armed again when a bar falls below the last signal bar. What a pivot's
-    leg would count depends on ``LEG`` bars behind it, so all pivots are worked on in blocks with those bars beside them. Which
-    legs live is a chain: a block is a function from the bar on which it finds its symbol free (one of ``LEG`` + 2, or never) to
-    the one on which it leaves it, and only these functions, one short row a block, are composed in a symbol's order.
+    leg would count depends on ``LEG`` bars behind it, so all pivots are worked on in blocks with those bars beside them, many
+    blocks at once in numpy. Which legs live is a chain: a block is a function from the bar on which it finds its symbol free (one of
+    ``LEG`` + 2, or never) to the one on which it leaves it, and only these functions, one short row a block, pass in a symbol's order.
     """
-    side = lambda s, h, l: F.struct(F.lit(s).alias("side"), h.alias("h"), l.alias("l"))  # noqa: E731, E741
-    both = bars.select("symbol", F.col("bar_idx").cast("long").alias("bar_idx"), F.explode(F.array(side(1, F.col("high"), F.col("low")), side(-1, -F.col("low"), -F.col("high")))).alias("x")).select("symbol", "bar_idx", "x.*")
-    own, place = F.floor(F.col("bar_idx") / block), F.col("bar_idx") % block
-    beside = F.array_compact(F.array(own, F.when(place >= block - PIVOT, own + 1), F.when((place <= LEG) & (own > 0), own - 1)))
-    w = Window.partitionBy("symbol", "side", "block").orderBy("bar_idx")
-    rows = both.withColumn("block", F.explode(beside)).withColumns({"ph": F.lag("h").over(w), "pl": F.lag("l").over(w)})
-    pivot = own == F.col("block")
-    for k in range(1, PIVOT + 1):
-        pivot &= (F.col("h") > F.lag("h", k).over(w)) & (F.col("h") > F.lead("h", k).over(w))
-    ahead = F.collect_list(F.struct("bar_idx", "h", "l", "ph", "pl")).over(w.rowsBetween(PIVOT + 1, LEG + 1))
-    pivots = rows.withColumns({"pivot": pivot, "ahead": ahead}).where("pivot").withColumn("leg", _leg(F.col("bar_idx"), F.col("h"), F.col("ahead")))
-    legs = pivots.select("symbol", "side", "block", F.struct(F.col("bar_idx").alias("origin"), F.coalesce("leg.until", F.lit(_NEVER)).alias("until"), F.coalesce("leg.how", F.lit("open")).alias("how"), F.col("leg.count").alias("count"), F.col("leg.last").alias("last")).alias("leg"))
-    blocks = legs.groupBy("symbol", "side", "block").agg(F.array_sort(F.collect_list("leg")).alias("legs"))
-    taken = lambda free, g: g["origin"] + PIVOT >= free
-    after = F.expr("sequence(0, %d)" % (LEG + 2))
-    leaves = lambda i: F.aggregate("legs", F.when(i == LEG + 2, F.lit(_NEVER)).otherwise(F.col("block") * block + i).cast("long"), lambda free, g: F.when(taken(free, g), g["until"] + 1).otherwise(free))
-    functions = blocks.select("symbol", "side", "block", F.transform(after, leaves).alias("after"))
-    kinds = dict(bars.dtypes)["symbol"]
-    free = functions.groupBy("symbol", "side").applyInPandas(_free(block), f"symbol {kinds}, side int, block long, free long")
-    none = F.struct(F.col("free").alias("free"), F.filter("legs", lambda g: F.lit(False)).alias("legs"))
-    chosen = F.aggregate("legs", none, lambda s, g: F.when(taken(s["free"], g), F.struct((g["until"] + 1).alias("free"), F.concat(s["legs"], F.array(g)).alias("legs"))).otherwise(s))["legs"]
-    out = blocks.join(free, ["symbol", "side", "block"]).select("symbol", "side", F.explode(chosen).alias("g"))
-    return out.select("symbol", "side", "g.origin", F.when(F.col("g.how") != "open", F.col("g.until")).alias("until"), "g.how", "g.count", F.col("g.last").alias("last_trigger"))
+    return _living(leg_blocks(bars, block), block)
 
 
 def hl_count(bars: DataFrame) -> DataFrame:
