@@ -350,8 +350,9 @@ def hl_legs(bars: DataFrame, block: int = HL_BLOCK) -> DataFrame:
 
 def hl_count(bars: DataFrame) -> DataFrame:
     """One row a symbol: triggers in the legs that live at its last bar, their tags, last triggers and pivots; no leg: 0 and none."""
-    n = bars.groupBy("symbol").agg(F.count("*").alias("n"))
-    live = hl_legs(bars).where("how = 'open'").groupBy("symbol").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{name}_{c}") for s, name in ((1, "bull"), (-1, "bear")) for c in ("count", "last_trigger", "origin")])
+    blocks = leg_blocks(bars)
+    n = blocks.where("side = 1").groupBy("symbol").agg(F.sum("n").alias("n"))
+    live = _living(blocks).where("how = 'open'").groupBy("symbol").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{name}_{c}") for s, name in ((1, "bull"), (-1, "bear")) for c in ("count", "last_trigger", "origin")])
     j = n.join(live, "symbol", "left")
     enough = F.col("n") >= HL_LEAST
 
