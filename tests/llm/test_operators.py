@@ -420,3 +420,37 @@ def test_languages_held_out(spark, sf, docs):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     blank = langid.identify(odd(spark, "score"), langid.Model()).collect()
     assert {r.lang_pred for r in blank} == {"und"}
+
+
+def test_op5_parts_words_of_letters_and_signs_itself():
+    """Words of plain letters, digits and signs are put together from their runs; only runs go to the library, each once."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, enc, rng = Tokenizer.from_file(path), token_records.Encoder(path), np.random.default_rng(6)
+    calls, plain_ids = [], enc._ids
+    enc._ids = lambda word: calls.append(word) or plain_ids(word)
+    letters, signs = ["ab", "straße", "x", "naïve", "s", "ll"], ["$$$", "!!", ",***", ".", "-", "_", "7", "42", "(", "@", "%%%"]
+    words = [f"{a}{b}{c}{i % 9}" for a in letters for i, b in enumerate(signs) for c in ["", *letters[:3], *signs[:4]]]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(60)] + ["", " ", "it's we'll 's$ a'$b x'7", "ª$ º7 ²$ a\x1cb$ Ā$ é$́"]
+    got = enc.encode(texts)
+    assert [np.frombuffer(x, enc.kind).tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(calls) == len(set(calls)) and 4 * len(calls) < len(set(" ".join(texts).split()))
+    assert enc.encode([]) == [] and enc.encode(["", "\n"]) == [b"", b""]
+
+
+def test_op5_checksums_of_all_lengths():
+    def plain(data: bytes) -> int:
+        x = 0xFFFFFFFF
+        for b in data:
+            x ^= b
+            for _ in range(8):
+                x = x >> 1 ^ (0x82F63B78 if x & 1 else 0)
+        return x ^ 0xFFFFFFFF
+
+    rng = np.random.default_rng(7)
+    data = [rng.bytes(n) for n in (*range(20), 1022, 1023, 1024, 1025, 2047, 2048, 2049, 5001)]
+    want = [plain(x) for x in data]
+    assert token_records.crc32c(data).tolist() == want
+    assert [int(token_records.crc32c([x])[0]) for x in data] == want

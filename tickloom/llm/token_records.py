@@ -28,9 +28,11 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,6 +55,11 @@ def _table() -> np.ndarray:
         for _ in range(8):
             t = np.where(t & 1, t >> 1 ^ np.uint32(0x82F63B78), t >> 1).astype(np.uint32)
         _TABLES["byte"] = t
+        # what two zero bytes do to the register's lower half
+        x = np.arange(1 << 16, dtype=np.uint32)
+        for _ in range(2):
+            x = t[x & 255] ^ x >> 8
+        _TABLES["pair"] = x
         # what CHUNK zero bytes do to each byte of the register
         step = np.zeros((4, 256), np.uint32)
         for place in range(4):
@@ -65,7 +72,7 @@ def _table() -> np.ndarray:
 
 
 def crc32c(data: list[bytes]) -> np.ndarray:
-    """CRC-32C of every item; all items and their chunks advance together.
+    """CRC-32C of every item; all items and their chunks advance together, two bytes at a time.
 
     A register over zero bytes that starts at zero stays zero, so items are padded
     in front; the usual start value is the first four bytes complemented.
@@ -81,18 +88,20 @@ def crc32c(data: list[bytes]) -> np.ndarray:
     big = np.flatnonzero(n >= 4)
     if not len(big):
         return out
-    chunks = -(-n[big] // CHUNK)
-    ends = np.cumsum(chunks) * CHUNK
+    size = min(CHUNK, int(n.max()) + 1 & ~1)
+    chunks = -(-n[big] // size)
+    ends = np.cumsum(chunks) * size
     flat = np.zeros(int(ends[-1]), np.uint8)
     for i, end in zip(big, ends, strict=True):
         flat[end - n[i] : end] = np.frombuffer(data[i], np.uint8)
     heads = (ends - n[big])[:, None] + np.arange(4)
     flat[heads] ^= 255
-    grid = flat.reshape(-1, CHUNK).T
+    grid, pair = flat.view("<u2").reshape(-1, size // 2).T, _TABLES["pair"]
     x = np.zeros(grid.shape[1], np.uint32)
     for row in np.ascontiguousarray(grid):
-        x = t[(x ^ row) & 255] ^ x >> np.uint32(8)
-    step, first = _TABLES["chunk"], ends // CHUNK - chunks
+        x = pair[(x ^ row) & 65535] ^ x >> np.uint32(16)
+    # items of several chunks: those are of CHUNK bytes
+    step, first = _TABLES["chunk"], ends // size - chunks
     total = x[first]
     for k in range(1, int(chunks.max())):
         at = np.flatnonzero(chunks > k)
@@ -159,15 +168,21 @@ class Encoder:
     letters are lowered. So a text's ids are its words' ids in order, and a stop or
     comma between a letter and white space is a word of its own. Words not seen yet
     go through the library together in one call; a word of letters alone ends at
-    the one piece that ends a word.
+    the one piece that ends a word. A word of plain letters, digits and signs is the
+    runs that the file's pattern parts it into.
     """
 
     #: Words remembered at most (some 150 MB); then the memory starts anew.
     MOST = 1_000_000
     #: A stop or comma behind another sign, or a letter that normalisation may part, belongs to that sign's run.
-    RUN = re.compile(r"(?:[^\w\s]|[_\u0130]|[^\x00-\u02ff])[.,](?=\s|$)")
+    RUN = re.compile(r"[.,](?=\s|$)(?:(?<=[^\w\s].)|(?<=[_\u0130].)|(?<=[^\x00-\u02ff].))")
     #: Signs that Python takes for white space and the library doesn't; words of a text that has them.
-    SEPARATORS, WORD = re.compile("[\x1c-\x1f]"), re.compile(r"(?:\S|[\x1c-\x1f])+")
+    SEPARATORS, WORD = "\x1c\x1d\x1e\x1f", re.compile(r"(?:\S|[\x1c-\x1f])+")
+    #: Letters from U+0130 on, which are not lowered alike by all.
+    WIDE = re.compile("[\u0130-\U0010ffff]")
+    #: Words of plain letters, digits and signs (no apostrophe, which may draw letters to it), and their runs.
+    MIXED = re.compile(r"[a-z\xdf-\xf6\xf8-\xff0-9!-&(-/:-@\[-`{-~]+")
+    PART = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -187,11 +202,15 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
     def learn(self, words: set[str]) -> None:
-        plain = [w for w in words if w.isalpha() and w.islower() and max(w) < "\u0130"]
-        for w in words.difference(plain):
+        letters = lambda words: [w for w in words if w.isalpha() and w.islower() and max(w) < "\u0130"]
+        rest = words.difference(plain := letters(words))
+        parted = {w: runs for w in rest if self.MIXED.fullmatch(w) and len(runs := self.PART.findall(w)) > 1}
+        runs = set().union(*parted.values()).difference(self.known, words)
+        plain += (more := letters(runs))
+        for w in rest.difference(parted) | runs.difference(more):
             self.known[w] = self._ids(w).tobytes()
-        for lo in range(0, len(plain), 20_000):
-            some = plain[lo : lo + 20_000]
+        for lo in range(0, len(plain), 1000):
+            some = plain[lo : lo + 1000]
             ids = np.array(self.lean.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(some):  # a word that the library parts after all
@@ -200,9 +219,11 @@ class Encoder:
             size, data = ids.itemsize, ids.tobytes()
             ends = (cuts * size).tolist()
             self.known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+        for w, runs in parted.items():
+            self.known[w] = b"".join([self.known[r] for r in runs])
 
     def words(self, text: str) -> list[str]:
-        if self.SEPARATORS.search(text):
+        if any(sign in text for sign in self.SEPARATORS):
             return self.WORD.findall(text)
         if self.RUN.search(text) is None:
             for sign in ".,":
@@ -211,16 +232,26 @@ class Encoder:
             if text[-1:] in (".", ","):
                 text = f"{text[:-1]} {text[-1]}"
         # letters below U+0130 are lowered alike by all; others are left to the library
-        return (text.lower() if text.isascii() or max(text) < "\u0130" else text).split()
+        return (text.lower() if text.isascii() or self.WIDE.search(text) is None else text).split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.words(t) for t in texts]
         if len(self.known) > self.MOST:
             self.known = {}
-        if new := set().union(*split) - self.known.keys():
+        # a word is looked up once for all its places
+        held = pa.array(list(chain.from_iterable(split)), pa.large_string()).dictionary_encode()
+        if not len(held):
+            return [b""] * len(texts)
+        distinct = held.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, distinct))
+        if new := {w for w, x in zip(distinct, ids, strict=True) if x is None}:
             self.learn(new)
-        known = self.known.__getitem__
-        return [b"".join(map(known, s)) for s in split]
+            ids = [self.known[w] if x is None else x for w, x in zip(distinct, ids, strict=True)]
+        ids = pa.array(ids, pa.large_binary()).take(held.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64)[np.cumsum([0, *map(len, split)])].tolist()
+        data = data.to_pybytes()
+        return [data[a:b] for a, b in pairwise(ends)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -235,7 +266,7 @@ def encoder(path: str) -> Encoder:
 # ------------------------------------------------------------- files
 
 
-def _pieces(pdf: pd.DataFrame, chars: int = 1_500_000) -> Iterator[pd.DataFrame]:
+def _pieces(pdf: pd.DataFrame, chars: int = 3_000_000) -> Iterator[pd.DataFrame]:
     """Runs of rows of bounded text, so that memory is bounded whatever a batch holds."""
     if len(pdf):
         run = np.cumsum(pdf["text"].str.len().fillna(0).to_numpy()) // chars
