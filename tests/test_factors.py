@@ -174,3 +174,30 @@ def test_prices_of_zero(spark):
         assert w[3] == 0 and (w > 0).any()
         np.testing.assert_allclose(series(bars, [name]), w, atol=1e-12, err_msg=name)
     assert np.isfinite(series(bars, ["YANG_ZHANG_VOL"])).all()
+
+
+def test_labels_of_zero_prices(spark):
+    """A close of 0 ended forward_label and score_formulas with DIVIDE_BY_ZERO; labels are as floating point has them, and scores leave out what isn't finite."""
+    close = [[4.0 + (i * 7 % 11) + k for i in range(40)] for k in range(2)]
+    close[0][5] = close[0][6] = close[1][9] = 0.0
+    rows = [(s, i, x, x + 1, max(x - 1, 0.0), x, 1.0 + i % 3) for s, own in zip("AB", close) for i, x in enumerate(own)]
+    bars = spark.createDataFrame(rows, "symbol string, bar_idx int, open double, high double, low double, close double, volume double").withColumn("bar_ts", F.timestamp_seconds(F.col("bar_idx") * 60))
+    got = {(r.symbol, r.bar_idx): r.label for r in M.forward_label(bars).collect()}
+    with np.errstate(all="ignore"):
+        labels = [np.log(np.array(own[1:]) / np.array(own[:-1])) for own in close]
+    for s, want in zip("AB", labels):
+        assert got[s, 39] is None
+        np.testing.assert_allclose([got[s, i] for i in range(39)], want, atol=1e-12)
+    assert got["A", 4] == -np.inf and np.isnan(got["A", 5]) and got["A", 6] == np.inf
+
+    ranks = lambda v: (v[:, None] > v).sum(1) + (v[:, None] == v).sum(1) / 2
+    score = []
+    token = formula.token("RET")
+    made = {(r.symbol, r.bar_idx): r.factor for r in formula.evaluate(bars, [token], keep=("symbol", "bar_idx")).collect()}
+    for s, want in zip("AB", labels):
+        x, fine = np.array([made[s, i] for i in range(39)]), np.isfinite(want)
+        score.append(np.corrcoef(ranks(x[fine]), ranks(want[fine]))[0, 1])
+    assert M.score_formulas(spark, bars, [[token]]).first().rank_ic == pytest.approx(np.mean(score))
+    # as the SQL has it; 0 where all are finite and don't vary
+    wide = M.forward_label(bars).withColumn("factor", F.col("open") + 0.0)
+    assert all(np.isnan(r.ic) for r in M.ic(wide).collect()) and {r.ic for r in M.ic(wide.where("bar_idx > 9").withColumn("factor", F.lit(1.0))).collect()} == {0.0}

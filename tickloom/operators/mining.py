@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import vocabulary as W
+from tickloom.functions.series import Spark
 
 
 def S():  # noqa: N802
@@ -18,8 +20,9 @@ def S():  # noqa: N802
 
 
 def forward_label(bars: DataFrame, horizon: int = 1) -> DataFrame:
-    """Log return from this close to the one ``horizon`` bars on; null at the end."""
-    return bars.withColumn("label", F.ln(F.lead("close", horizon).over(S()) / F.col("close")))
+    """Log return from this close to the one ``horizon`` bars on; null at the end, and as floating point has it where a close is 0."""
+    made = bars.withColumn("_next", F.lead("close", horizon).over(S()))
+    return made.withColumn("label", F.when(F.col("close").isNotNull(), F.expr(Spark().log_ratio("_next", "close")))).drop("_next")
 
 
 def average_rank(column: str, by: list[str]):
@@ -28,10 +31,10 @@ def average_rank(column: str, by: list[str]):
 
 
 def ic(rows: DataFrame, keys: tuple[str, ...] = ("symbol",), factor: str = "factor", label: str = "label") -> DataFrame:
-    """Pearson's correlation per key; 0 with less than two rows or no spread."""
+    """Pearson's correlation per key; 0 with less than two rows or no spread, not a number where a value isn't finite."""
     pair = rows.where(F.col(factor).isNotNull() & F.col(label).isNotNull())
-    c = F.corr(factor, label)
-    return pair.groupBy(*keys).agg(F.count("*").alias("n"), F.when((F.count("*") < 2) | c.isNull() | F.isnan(c), 0.0).otherwise(c).alias("ic"))
+    c, finite = F.corr(factor, label), F.greatest(F.max(F.abs(factor)), F.max(F.abs(label))) < math.inf
+    return pair.groupBy(*keys).agg(F.count("*").alias("n"), F.when((F.count("*") < 2) | c.isNull() | (F.isnan(c) & finite), 0.0).otherwise(c).alias("ic"))
 
 
 def rank_ic(rows: DataFrame, keys: tuple[str, ...] = ("symbol",), factor: str = "factor", label: str = "label") -> DataFrame:
@@ -133,11 +136,12 @@ class Sampler:
 
 
 def score_formulas(spark: SparkSession, bars: DataFrame, formulas: Sequence[Sequence[int]]) -> DataFrame:
-    """(formula, rank_ic) of many formulas in one plan that shares their common columns."""
+    """(formula, rank_ic) of many formulas in one plan that shares their common columns; bars whose label isn't finite don't count."""
     from tickloom.functions.series import Program
     from tickloom.plans.formula import compile_tokens
 
     p = Program()
-    wide = p.run(forward_label(bars), {f"x{i}": compile_tokens(p, t) for i, t in enumerate(formulas)}, ("symbol", "bar_idx", "label"))
+    labelled = forward_label(bars).withColumn("label", F.when(F.abs("label") < math.inf, F.col("label")))
+    wide = p.run(labelled, {f"x{i}": compile_tokens(p, t) for i, t in enumerate(formulas)}, ("symbol", "bar_idx", "label"))
     long = wide.select("symbol", "bar_idx", "label", F.explode(F.array(*[F.struct(F.lit(i).alias("formula"), F.col(f"x{i}").alias("factor")) for i in range(len(formulas))])).alias("f")).select("symbol", "bar_idx", "label", "f.*")
     return rank_ic(long, ("formula", "symbol")).groupBy("formula").agg(F.avg("rank_ic").alias("rank_ic"))
