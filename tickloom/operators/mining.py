@@ -30,10 +30,16 @@ def average_rank(column: str, by: list[str]):
     return F.rank().over(Window.partitionBy(*by).orderBy(column)) + (F.count("*").over(Window.partitionBy(*by, column)) - 1) / 2
 
 
+def _corr(x: str, y: str):
+    """Pearson's correlation; null with no spread, where ``corr`` ends with an error."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y))))
+
+
 def ic(rows: DataFrame, keys: tuple[str, ...] = ("symbol",), factor: str = "factor", label: str = "label") -> DataFrame:
     """Pearson's correlation per key; 0 with less than two rows or no spread, not a number where a value isn't finite."""
     pair = rows.where(F.col(factor).isNotNull() & F.col(label).isNotNull())
-    c, finite = F.corr(factor, label), F.greatest(F.max(F.abs(factor)), F.max(F.abs(label))) < math.inf
+    c, finite = _corr(factor, label), F.greatest(F.max(F.abs(factor)), F.max(F.abs(label))) < math.inf
     return pair.groupBy(*keys).agg(F.count("*").alias("n"), F.when((F.count("*") < 2) | c.isNull() | (F.isnan(c) & finite), 0.0).otherwise(c).alias("ic"))
 
 
@@ -78,7 +84,7 @@ def reward(rows: DataFrame, weights: dict[str, float] | None = None) -> DataFram
 
 
 def max_abs_corr(rows: DataFrame, factor: str, others: list[str]) -> DataFrame:
-    return rows.agg(F.coalesce(F.greatest(*[F.abs(F.corr(factor, c)) for c in others], F.lit(0.0)), F.lit(0.0)).alias("max_abs_corr"))
+    return rows.agg(F.coalesce(F.greatest(*[F.abs(_corr(factor, c)) for c in others], F.lit(0.0)), F.lit(0.0)).alias("max_abs_corr"))
 
 
 def repetition(tokens):
